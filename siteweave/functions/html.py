@@ -86,12 +86,7 @@ def compact_text_of(fragment: Column) -> Column:
     return strip(F.regexp_replace(raw, rf"{WS}*+{SEP}(?:{SEP}|{WS})*+", ""))
 
 
-def visible_text(html: Column) -> Column:
-    """PG2: visible text of a page."""
-    return text_of(visible_html(html))
-
-
-def attr(attrs: Column, name: str) -> Column:
+def attr(attrs: Column, name: str, decode: bool = True) -> Column:
     """Value of one attribute; null when the attribute is absent.
 
     The pattern walks over the preceding attributes one by one, so the name is
@@ -100,7 +95,8 @@ def attr(attrs: Column, name: str) -> Column:
     value = r"""("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
     skip = rf"""(?:[\s/]++|(?!{name}\s*=)[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+){{0,400}}+"""
     raw = blank_to_null(F.regexp_extract(attrs, rf"(?is)\A{skip}{name}\s*+=\s*+{value}", 1))
-    return decode_entities(F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2"), strict=True)
+    value = F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2")
+    return decode_entities(value, strict=True) if decode else value
 
 
 def open_tags(markup: Column, tag: str) -> Column:
@@ -118,7 +114,7 @@ def meta_content(metas: Column, name: str, ignore_case: bool) -> Column:
     """Raw ``content`` of the first ``<meta name=...>``; null when absent.  ``metas`` comes from open_tags."""
 
     def is_named(attrs: Column) -> Column:
-        found = attr(attrs, "name")
+        found = attr(attrs, "name", decode=False)
         return attrs.contains(name) & (found == name) if not ignore_case else F.lower(found) == name
 
     return attr(F.try_element_at(F.filter(metas, is_named), F.lit(1)), "content")
@@ -129,17 +125,11 @@ def script_bodies(html: Column) -> Column:
     return F.filter(F.regexp_extract_all(html, F.lit(SCRIPT_BODY), 1), lambda s: s != "")
 
 
-def json_ld_blocks(html: Column) -> Column:
-    """PG8: valid JSON-LD documents as VARIANT, in document order."""
-    bodies = F.filter(F.regexp_extract_all(html, F.lit(JSON_LD_BODY), 1), lambda s: s != "")
-    docs = F.transform(bodies, lambda s: F.try_parse_json(strip(s)))
-    return F.filter(docs, lambda d: d.isNotNull())
-
-
 def anchor_pieces(markup: Column) -> Column:
-    """One string per ``<a``: its attributes, ``>`` and what follows up to the next anchor."""
+    """One string per ``<a``: its attributes, ``>`` and what follows up to its end or the next anchor."""
     parts = F.split(markup, r"(?i)<a(?=[\s/>])", -1)
-    return T.let(parts, lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    pieces = T.let(parts, lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    return F.transform(pieces, lambda p: F.regexp_extract(p, r"(?is)\A(.*?)(?:</a\s*>|\z)", 1))
 
 
 def piece_attrs(piece: Column) -> Column:
@@ -148,4 +138,4 @@ def piece_attrs(piece: Column) -> Column:
 
 def piece_inner(piece: Column) -> Column:
     """Inner markup of the anchor a piece begins with."""
-    return F.regexp_extract(piece, rf"(?is)\A{ATTRS}>(.*?)(?:</a\s*>|\z)", 1)
+    return F.regexp_extract(piece, rf"(?s)\A{ATTRS}>(.*)\z", 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -40,22 +41,23 @@ def word_count(c: Column) -> Column:
     )).cast("bigint")
 
 
-def contains_any(c: Column, words: Sequence[str]) -> Column:
-    """True when any of the words is a substring."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | c.contains(word)
-    return hit
+def contains_any(c: Column | str, words: Sequence[str]) -> Column:
+    """True when any of the words is a substring.
+
+    Given SQL text (for page texts), the test is a chain of ``contains`` that
+    stays in generated code; given a column (for URLs and other short strings)
+    it is one alternation.
+    """
+    if isinstance(c, str):
+        return F.expr("(" + " OR ".join(f"contains({c}, '{word}')" for word in words) + ")")
+    return c.rlike("|".join(re.escape(word) for word in words))
 
 
 def ends_with_any(c: Column, suffixes: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for suffix in suffixes:
-        hit = hit | c.endswith(suffix)
-    return hit
+    return c.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + r")\z")
 
 
-def keyword_mask(c: Column, words: Sequence[str]) -> Column:
+def keyword_mask(sql: str, words: Sequence[str]) -> Column:
     """One bit per distinct keyword present (at most 63).
 
     A bit mask makes "count of distinct keywords over all pages of a site" a
@@ -63,10 +65,7 @@ def keyword_mask(c: Column, words: Sequence[str]) -> Column:
     map side, whatever the size of the site.
     """
     assert len(words) < 63
-    mask = F.lit(0).cast("bigint")
-    for i, word in enumerate(words):
-        mask = mask + F.when(c.contains(word), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    return mask
+    return F.expr(" + ".join(f"if(contains({sql}, '{word}'), {1 << i}L, 0L)" for i, word in enumerate(words)))
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:

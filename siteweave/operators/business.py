@@ -14,7 +14,7 @@ from siteweave.operators.facts import best_hit, first_hit
 SHORT_INDUSTRIES = {name: K.INDUSTRY_KEYWORDS[name][:n] for name, n in K.SHORT_INDUSTRY_SIZES.items()}
 
 
-def keyword_masks(lowered: Column, groups: dict[str, list[str]], prefix: str) -> list[Column]:
+def keyword_masks(lowered: str, groups: dict[str, list[str]], prefix: str) -> list[Column]:
     """One bit mask per keyword group."""
     return [T.keyword_mask(lowered, words).alias(f"{prefix}{i}") for i, words in enumerate(groups.values())]
 
@@ -35,7 +35,7 @@ def best_group(groups: dict[str, list[str]], prefix: str) -> Column:
 def industries(texts: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """BZ1: industry per site by count of distinct keywords."""
     groups = groups or K.INDUSTRY_KEYWORDS
-    masks = texts.select("site_id", *keyword_masks(F.lower("text"), groups, "k"))
+    masks = texts.select("site_id", *keyword_masks("lower(text)", groups, "k"))
     scores = masks.groupBy("site_id").agg(*mask_scores(groups, "k"))
     return scores.select("site_id", F.coalesce(best_group(groups, "k"), F.lit("Unknown")).alias("industry"))
 
@@ -84,7 +84,7 @@ def size_facts(texts: DataFrame, as_of_year: int) -> DataFrame:
 
 def budget(texts: DataFrame) -> DataFrame:
     """BZ14: High-End if any high keyword, else Mid-Budget, else Unknown (Q7)."""
-    lowered = F.lower("text")
+    lowered = "lower(text)"
     rows = texts.select("site_id", T.contains_any(lowered, K.BUDGET_KEYWORDS["High-End"]).alias("hi"),
                         T.contains_any(lowered, K.BUDGET_KEYWORDS["Mid-Budget"]).alias("mid"))
     return rows.groupBy("site_id").agg(budget_label(F.bool_or("hi"), F.bool_or("mid")).alias("segmentation"))
@@ -96,7 +96,7 @@ def budget_label(high: Column, mid: Column) -> Column:
 
 def older_budget(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """BZ15: segment with most distinct keywords, else by employees (over 100, over 20), else Unknown."""
-    masks = texts.select("site_id", *keyword_masks(F.lower("text"), K.BUDGET_KEYWORDS, "b"))
+    masks = texts.select("site_id", *keyword_masks("lower(text)", K.BUDGET_KEYWORDS, "b"))
     scores = masks.groupBy("site_id").agg(*mask_scores(K.BUDGET_KEYWORDS, "b"))
     number = F.substring_index("employees", "-", 1).try_cast("bigint")
     by_size = F.when(number > 100, "High-End").when(number > 20, "Mid-Budget").when(number.isNotNull(), "Low-End")

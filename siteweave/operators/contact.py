@@ -10,6 +10,7 @@ from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
 from siteweave.operators.facts import best_hit, first_hit, first_of, first_values
+from siteweave.operators.signals import anchor_rows, ld_rows
 
 PHONE_KINDS = ["mobile", "corporate", "support", "general"]
 
@@ -43,13 +44,12 @@ def email_is_valid(email: Column) -> Column:
     return (email != "") & (F.length(email) <= 254) & ~T.contains_any(F.lower(email), K.EMAIL_ASSET_EXTENSIONS) & email.rlike(K.EMAIL_VALID)
 
 
-def mailto(html: Column) -> Column:
+def mailto(anchors: Column) -> Column:
     """CT4: address of the page's first mailto link, null unless valid."""
-    hrefs = F.transform(H.anchor_pieces(H.visible_html(html)), lambda p: H.attr(H.piece_attrs(p), "href"))
+    hrefs = F.transform(F.filter(anchors, lambda p: F.lower(p).contains("mailto:")), lambda p: H.attr(H.piece_attrs(p), "href"))
     first = F.try_element_at(F.filter(hrefs, lambda h: F.lower(h).startswith("mailto:")), F.lit(1))
     address = F.substring_index(F.replace(first, F.lit("mailto:"), F.lit("")), "?", 1)
-    marked = F.when(F.lower(html).contains("mailto:"), address)
-    return F.when(email_is_valid(marked), marked)
+    return T.let(address, lambda a: F.when(email_is_valid(a), a))
 
 
 def emails_in(text: Column) -> Column:
@@ -58,10 +58,10 @@ def emails_in(text: Column) -> Column:
     return F.filter(found, email_is_valid)
 
 
-def emails(pages: DataFrame) -> DataFrame:
+def emails(signals: DataFrame) -> DataFrame:
     """CT4, CT5: per site the mailto address of the first page that has a valid one,
-    else the smallest address in any text (Q2).  Input: (site_id, page_id, html, text)."""
-    rows = pages.select("site_id", "page_id", mailto(F.col("html")).alias("m"), F.array_min(emails_in(F.col("text"))).alias("t"))
+    else the smallest address in any text (Q2)."""
+    rows = signals.select("site_id", "page_id", mailto(F.col("anchors")).alias("m"), F.array_min(emails_in(F.col("text"))).alias("t"))
     return rows.groupBy("site_id").agg(
         first_of(F.col("m"), "page_id").alias("mailto_email"), F.min("t").alias("text_email")
     ).withColumn("email", F.coalesce("mailto_email", "text_email"))
@@ -94,23 +94,18 @@ def addresses(texts: DataFrame) -> DataFrame:
     return sites.select("*", city(F.col("address")).alias("city"), state(F.col("address")).alias("state"))
 
 
-def social_hits(pages: DataFrame) -> DataFrame:
+def social_hits(signals: DataFrame) -> DataFrame:
     """CT9 candidates: (site_id, page_id, link_seq, platform, profile)."""
-    domains = [d for d, _ in K.SOCIAL_PLATFORMS]
-    marked = pages.where(T.contains_any(F.lower("html"), domains))
-    rows = marked.select("page_id", "url", F.posexplode(H.anchor_pieces(H.visible_html(F.col("html")))).alias("link_seq", "piece"))
-    rows = rows.select("page_id", "url", "link_seq", H.attr(H.piece_attrs(F.col("piece")), "href").alias("href"))
     lowered = F.lower("href")
     platforms = F.array_distinct(F.filter(
         F.array(*[F.when(lowered.contains(d), F.lit(p)) for d, p in K.SOCIAL_PLATFORMS]), lambda p: p.isNotNull()))
     profile = F.regexp_replace(F.substring_index("href", "?", 1), r"/+\z", "")
-    return rows.select(U.site_of(F.col("url")).alias("site_id"), "page_id", "link_seq", F.explode(platforms).alias("platform"),
-                       profile.alias("profile"))
+    return anchor_rows(signals).select("site_id", "page_id", "link_seq", F.explode(platforms).alias("platform"), profile.alias("profile"))
 
 
-def social_profiles(pages: DataFrame) -> DataFrame:
+def social_profiles(signals: DataFrame) -> DataFrame:
     """CT9: first profile per site and platform."""
-    return social_hits(pages).groupBy("site_id", "platform").agg(
+    return social_hits(signals).groupBy("site_id", "platform").agg(
         F.min(F.struct("page_id", "link_seq", "profile"))["profile"].alias("profile"))
 
 
@@ -147,11 +142,9 @@ def brand_from_host(url: Column) -> Column:
     return F.initcap(F.replace(label, F.lit("-"), F.lit(" ")))
 
 
-def ld_brand(pages: DataFrame) -> DataFrame:
+def ld_brand(signals: DataFrame) -> DataFrame:
     """CT1, JSON-LD rule: name of the first Organization or WebSite of a site."""
-    from siteweave.operators.pages import json_ld
-
-    docs = json_ld(pages)
+    docs = ld_rows(signals)
     kind = F.try_variant_get(F.col("doc"), '$["@type"]', "string")
     name = F.try_variant_get(F.col("doc"), "$.name", "string")
     rows = docs.where(kind.isin("Organization", "WebSite") & (name != "")).select("site_id", "page_id", "ld_seq", T.strip(name).alias("name"))
@@ -165,15 +158,13 @@ def brands(mains: DataFrame, ld: DataFrame) -> DataFrame:
         "site_id", F.coalesce("ld_brand", from_title, brand_from_host(F.col("main_url"))).alias("brand_name"))
 
 
-def older_brands(mains: DataFrame, pages: DataFrame) -> DataFrame:
+def older_brands(mains: DataFrame, signals: DataFrame) -> DataFrame:
     """CT1, older variant: the main title cut at a separator, else the first JSON-LD name of any type."""
-    from siteweave.operators.pages import json_ld
-
     title = F.col("title")
     cut = title
     for sep in reversed(K.TITLE_SEPARATORS):
         cut = F.when(title.contains(sep), T.strip(F.substring_index(title, sep, 1))).otherwise(cut)
     name = F.try_variant_get(F.col("doc"), "$.name", "string")
-    ld = json_ld(pages).where(name != "").groupBy("site_id").agg(
+    ld = ld_rows(signals).where(name != "").groupBy("site_id").agg(
         F.min(F.struct("page_id", "ld_seq", name.alias("name")))["name"].alias("ld_name"))
     return mains.join(ld, "site_id", "left").select("site_id", F.coalesce(cut, "ld_name").alias("brand_name"))

@@ -54,8 +54,9 @@ def _id(node: Column) -> Column:
     return F.coalesce(_attr(node, "id"), F.lit(""))
 
 
-def _has_class(node: Column, name: str) -> Column:
-    return F.concat(F.lit(" "), _css(node), F.lit(" ")).contains(f" {name} ")
+def _has_class(node: Column, *names: str) -> Column:
+    """One of the names is a class of the node."""
+    return F.coalesce(_attr(node, "class").rlike(rf"(?:^|\s)(?:{'|'.join(names)})(?:\s|$)"), F.lit(False))
 
 
 def _node(seq: Column) -> Column:
@@ -109,7 +110,7 @@ def _near(node: Column, words: list[str], tag: str | None = None) -> Column:
     """Any of the five nearest ancestors has one of the words in its class or id (or is ``tag``)."""
     def hit(seq: Column) -> Column:
         n = _node(seq)
-        found = T.contains_any(F.lower(_css(n)), words) | T.contains_any(F.lower(_id(n)), words)
+        found = F.lower(F.concat_ws("\x01", _attr(n, "class"), _attr(n, "id"))).rlike("|".join(words))
         return found | (n["tag"] == tag) if tag else found
 
     return F.coalesce(F.exists(F.slice(node["anc"], 1, 5), hit), F.lit(False))
@@ -146,7 +147,8 @@ def clickable_links(dom: DataFrame) -> DataFrame:
         footer_parent = F.exists(n["anc"], lambda s: _node(s)["tag"] == "footer")
         block = F.try_element_at(
             F.filter(n["anc"], lambda s: _node(s)["tag"].isin(K.CONTEXT_TAGS)), F.lit(1))
-        raw = _text(_node(block), " ", 501)
+        context = T.let(_text(_node(block), " ", 501), lambda raw: F.when(
+            F.length(raw) > 500, F.concat(F.substring(T.collapse(raw), 1, 500), F.lit("..."))).otherwise(raw))
         css = _css(n)
         return F.struct(
             n["seq"].alias("elem_seq"),
@@ -155,8 +157,7 @@ def clickable_links(dom: DataFrame) -> DataFrame:
             css.alias("css_classes"),
             menu_parent.alias("menu_parent"),
             (footer_parent & ~menu_parent).alias("footer_parent"),
-            F.coalesce(F.when(F.length(raw) > 500, F.concat(F.substring(T.collapse(raw), 1, 500), F.lit("...")))
-                       .otherwise(raw), F.lit("")).alias("context"),
+            F.coalesce(context, F.lit("")).alias("context"),
         )
 
     anchors = F.filter(_nodes(), lambda n: (n["tag"] == "a") & _attr(n, "href").isNotNull())
@@ -221,19 +222,16 @@ def logos(dom: DataFrame) -> DataFrame:
         lambda n: lowered(n, "id").contains("logo"),
         lambda n: lowered(n, "alt").contains("logo"),
         lambda n: under(n, lambda a: _has_class(a, "logo")),
-        lambda n: under(n, lambda a: _id(a) == "logo"),
+        lambda n: under(n, lambda a: _attr(a, "id") == "logo"),
         first_child_of_header,
         lambda n: under(n, lambda a: _has_class(a, "navbar-brand")),
         lambda n: under(n, lambda a: _has_class(a, "header-logo")),
         lambda n: under(n, lambda a: _has_class(a, "site-logo")),
-        lambda n: under(n, lambda a: F.coalesce(_attr(a, "class"), F.lit("")).contains("brand")),
+        lambda n: under(n, lambda a: _attr(a, "class").contains("brand")),
     ]
 
     def rank(n: Column) -> Column:
-        r = F.lit(None).cast("int")
-        for i, test in reversed(list(enumerate(selectors))):
-            r = F.when(test(n), F.lit(i)).otherwise(r)
-        return r
+        return F.coalesce(*[F.when(test(n), F.lit(i)) for i, test in enumerate(selectors)])
 
     def source(n: Column) -> Column:
         return F.coalesce(*[T.blank_to_null(_attr(n, a)) for a in ("src", "data-src", "data-lazy-src")])
@@ -283,12 +281,7 @@ def card_products(dom: DataFrame) -> DataFrame:
     base = F.col("url")
 
     def with_class(names: list[str], tags: list[str] | None = None):
-        def test(n: Column) -> Column:
-            hit = n["tag"].isin(tags) if tags else F.lit(False)
-            for name in names:
-                hit = hit | _has_class(n, name)
-            return hit
-        return test
+        return lambda n: (n["tag"].isin(tags) | _has_class(n, *names)) if tags else _has_class(n, *names)
 
     def card(c: Column) -> Column:
         name = _first(F.filter(_below(c), with_class(K.CARD_TITLE_CLASSES, K.CARD_TITLE_TAGS)))
@@ -311,31 +304,31 @@ def clean_about(raw: Column) -> Column:
     """MD6: sentences over 20 characters without navigation phrases, 2000 characters."""
     sentences = F.transform(F.split(T.collapse(T.strip(raw)), "[.!?]+", -1), T.strip)
     good = F.filter(sentences, lambda s: (F.length(s) > 20) & ~T.contains_any(F.lower(s), K.ABOUT_UNWANTED))
-    joined = F.array_join(good, ". ")
-    return F.when(F.length(joined) > 2000, F.concat(F.substring(joined, 1, 2000), F.lit("..."))).otherwise(joined)
+    return T.let(F.array_join(good, ". "), lambda joined: F.when(
+        F.length(joined) > 2000, F.concat(F.substring(joined, 1, 2000), F.lit("..."))).otherwise(joined))
 
 
 def about_texts(dom: DataFrame) -> DataFrame:
     """MD3: text of the first main content area over 100 characters, else of the body."""
-    drop = F.filter(_nodes(), lambda n: n["tag"].isin(K.ABOUT_DROP_TAGS))
-    slim = dom.select("page_id", "url", "nodes", "texts", drop.alias("drop"))
+    dropped = F.filter(_nodes(), lambda n: n["tag"].isin(K.ABOUT_DROP_TAGS))
+    slim = dom.select("page_id", "url", "nodes", "texts", dropped.alias("dropped"))
+    outside = F.filter(_nodes(), lambda n: ~F.exists(F.col("dropped"), lambda d: (d["seq"] <= n["seq"]) & (n["seq"] < d["stop"])))
+    slim = slim.select("page_id", "url", "texts", "dropped", outside.alias("nodes"))
 
     def kept_text(n: Column) -> Column:
         inside = F.transform(_texts_of(n), lambda t, i: F.when(
-            F.exists(F.col("drop"), lambda d: (d["t0"] <= n["t0"] + i) & (n["t0"] + i < d["t1"])), None).otherwise(t))
+            F.exists(F.col("dropped"), lambda d: (d["t0"] <= n["t0"] + i) & (n["t0"] + i < d["t1"])), None).otherwise(t))
         return F.array_join(inside, " ")
 
     def area(tag: str | None, css: str | None, ident: str | None) -> Column:
-        def test(n: Column) -> Column:
-            shape = (n["tag"] == tag) if tag else _has_class(n, css) if css else (_id(n) == ident)
-            return shape & ~F.exists(F.col("drop"), lambda d: (d["seq"] <= n["seq"]) & (n["seq"] < d["stop"]))
-        raw = kept_text(_first(F.filter(_nodes(), test)))
-        return F.when(F.length(raw) > 100, clean_about(raw))
-
-    body = _first(F.filter(_nodes(), lambda n: n["tag"] == "body"))
-    fallback = F.when(body.isNotNull(), F.substring(clean_about(kept_text(body)), 1, 2000))
-    chosen = F.coalesce(*[area(*s) for s in K.CONTENT_SELECTORS], fallback)
-    return slim.select("page_id", "url", T.blank_to_null(chosen).alias("about_text"))
+        return _first(F.filter(_nodes(), lambda n: (n["tag"] == tag) if tag else _has_class(n, css) if css else (_attr(n, "id") == ident)))
+
+    areas = F.transform(F.array(*[area(*s) for s in K.CONTENT_SELECTORS]), kept_text)
+    body = kept_text(_first(F.filter(_nodes(), lambda n: n["tag"] == "body")))
+    picked = slim.select("page_id", "url", _first(F.filter(areas, lambda t: F.length(t) > 100)).alias("area"), body.alias("body"))
+    cleaned = picked.select("page_id", "url", F.col("area").isNotNull().alias("from_area"), clean_about(F.coalesce("area", "body")).alias("t"))
+    chosen = F.when(F.col("from_area"), F.col("t")).otherwise(F.substring("t", 1, 2000))
+    return cleaned.select("page_id", "url", T.blank_to_null(chosen).alias("about_text"))
 
 
 def about_sections(dom: DataFrame) -> DataFrame:

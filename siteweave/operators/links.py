@@ -9,27 +9,19 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.operators.signals import anchor_rows
 from siteweave.operators.topk import top_k
 
 SECTIONS = {"internal": 0, "external": 1, "social": 2, "contact": 3}
 
 
-def discovered(pages: DataFrame) -> DataFrame:
-    """LK1, LK10: every followable anchor of every page, resolved, in document order.
-
-    JVM only: the page is cut at its anchors, one row per piece.
-    """
-    rows = pages.select("page_id", "url", F.posexplode(H.anchor_pieces(H.visible_html(F.col("html")))).alias("link_seq", "piece"))
-    raw = rows.select(
-        "page_id", F.col("url").alias("source_page"), "link_seq",
-        H.attr(H.piece_attrs(F.col("piece")), "href").alias("href"),
-        H.compact_text_of(H.piece_inner(F.col("piece"))).alias("anchor_text"),
-    )
+def discovered(signals: DataFrame) -> DataFrame:
+    """LK1, LK10: every followable anchor of every page, resolved, in document order."""
     href = F.col("href")
-    kept = raw.where(href.isNotNull() & (href != "") & ~href.startswith("#") & ~href.startswith("javascript:"))
+    kept = anchor_rows(signals).where((href != "") & ~href.startswith("#") & ~href.startswith("javascript:"))
     resolved = kept.select(
-        "page_id", "source_page", F.col("link_seq").cast("bigint").alias("link_seq"),
-        U.resolve(F.col("source_page"), href).alias("url"), "anchor_text",
+        "page_id", "site_id", "source_page", "link_seq", U.resolve(F.col("source_page"), href).alias("url"),
+        H.compact_text_of(H.piece_inner(F.col("piece"))).alias("anchor_text"),
     )
     return resolved.where(~T.ends_with_any(F.lower(F.col("url")), K.EXCLUDED_EXTENSIONS))
 
@@ -54,14 +46,12 @@ def exact_social(url: Column) -> Column:
     return hit
 
 
-def classified(links: DataFrame, site: Column | None = None) -> DataFrame:
-    """LK4, LK6 (discovery flavour): add site, type and flags.
+def classified(links: DataFrame) -> DataFrame:
+    """LK4, LK6 (discovery flavour): add type and flags.
 
     The site of a link is the site of the page it stands on, so nothing is joined.
     """
-    site_id = U.site_of(F.col("source_page")) if site is None else site
-    rows = links.withColumn("site_id", site_id)
-    rows = rows.withColumn("link_type", link_type(F.col("url"), F.col("site_id")))
+    rows = links.withColumn("link_type", link_type(F.col("url"), F.col("site_id")))
     internal, lowered = F.col("link_type") == "internal", F.lower(F.col("url"))
     return rows.select(
         "*",
@@ -71,9 +61,9 @@ def classified(links: DataFrame, site: Column | None = None) -> DataFrame:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
+def page_links(signals: DataFrame) -> DataFrame:
     """LK1 + LK4 + LK6 in one narrow step."""
-    return classified(discovered(pages))
+    return classified(discovered(signals))
 
 
 def guarded(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,40 +11,31 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
-from siteweave.operators.pages import json_ld
+from siteweave.operators.signals import anchor_rows, ld_rows
 
 
-def _row(pages: DataFrame, method: str, url: Column) -> DataFrame:
-    return pages.select("page_id", F.col("page_url").alias("source_page"), F.lit(method).alias("method"), url.alias("map_url"))
+def _rows(rows: DataFrame, method: str, url: Column) -> DataFrame:
+    return rows.select("page_id", "site_id", "source_page", F.lit(method).alias("method"), url.alias("map_url"))
 
 
-def direct(pages: DataFrame) -> DataFrame:
+def direct(signals: DataFrame) -> DataFrame:
     """MP1: anchors that lead to a map host."""
-    marked = pages.where(T.contains_any(F.lower("html"), K.MAP_HOSTS))
-    rows = marked.select("page_id", F.col("url").alias("page_url"), F.explode(H.anchor_pieces(H.visible_html(F.col("html")))).alias("piece"))
-    rows = rows.withColumn("href", H.attr(H.piece_attrs(F.col("piece")), "href")).where("href is not null")
-    out = _row(rows, "direct", U.resolve(F.col("page_url"), F.col("href")))
+    out = _rows(anchor_rows(signals), "direct", U.resolve(F.col("source_page"), F.col("href")))
     return out.where(T.contains_any(F.lower("map_url"), K.MAP_HOSTS))
 
 
-def iframes(pages: DataFrame) -> DataFrame:
+def iframes(signals: DataFrame) -> DataFrame:
     """MP2: iframes that embed a map."""
-    marked = pages.where(T.contains_any(F.lower("html"), K.MAP_IFRAME_HOSTS))
-    tags = H.open_tags(H.visible_html(F.col("html")), "iframe")
-    rows = marked.select("page_id", F.col("url").alias("page_url"), F.explode(tags).alias("attrs"))
+    rows = signals.select("page_id", "site_id", F.col("url").alias("source_page"), F.explode("iframes").alias("attrs"))
     rows = rows.withColumn("src", H.attr(F.col("attrs"), "src")).where("src is not null")
-    out = _row(rows, "iframe", U.resolve(F.col("page_url"), F.col("src")))
+    out = _rows(rows, "iframe", U.resolve(F.col("source_page"), F.col("src")))
     return out.where(T.contains_any(F.lower("map_url"), K.MAP_IFRAME_HOSTS))
 
 
-def scripts(pages: DataFrame) -> DataFrame:
+def scripts(signals: DataFrame) -> DataFrame:
     """MP3: map URLs in script text, distinct per page."""
-    marked = pages.where(T.contains_any(F.lower("html"), K.MAP_HOSTS))
-    def urls(body: Column) -> Column:
-        return F.concat(*[F.regexp_extract_all(body, F.lit("(?i)" + p), 0) for p in K.MAP_SCRIPT_PATTERNS])
-    found = F.array_distinct(F.flatten(F.transform(H.script_bodies(F.col("html")), urls)))
-    rows = marked.select("page_id", F.col("url").alias("page_url"), F.explode(found).alias("u"))
-    return _row(rows, "javascript", F.col("u"))
+    rows = signals.select("page_id", "site_id", F.col("url").alias("source_page"), F.explode("script_maps").alias("u"))
+    return _rows(rows, "javascript", F.col("u"))
 
 
 def _text_at(doc: str, path: str) -> Column:
@@ -61,16 +54,16 @@ def structured_url(doc: str = "doc") -> Column:
     )
 
 
-def structured(pages: DataFrame) -> DataFrame:
+def structured(signals: DataFrame) -> DataFrame:
     """MP4: one row per JSON-LD document that tells a place."""
-    rows = json_ld(pages).select("page_id", F.col("url").alias("page_url"), structured_url().alias("u")).where("u is not null")
-    return _row(rows, "structured", F.col("u"))
+    rows = ld_rows(signals).select("page_id", "site_id", F.col("url").alias("source_page"), structured_url().alias("u"))
+    return _rows(rows.where("u <> ''"), "structured", F.col("u"))
 
 
-def all_maps(pages: DataFrame) -> DataFrame:
+def all_maps(signals: DataFrame) -> DataFrame:
     """MP1-MP4 as one table: (page_id, site_id, source_page, method, map_url)."""
-    found = direct(pages).unionByName(iframes(pages)).unionByName(scripts(pages)).unionByName(structured(pages))
-    return found.withColumn("site_id", U.site_of(F.col("source_page")))
+    parts = [direct(signals), iframes(signals), scripts(signals), structured(signals)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def priority(url: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
-from siteweave.functions import urls as U
 from siteweave.operators.business import social_count
 
 
@@ -17,41 +16,37 @@ def instagram_handle(profile: Column) -> Column:
     return F.concat(F.lit("@"), T.first_group(profile, r"instagram\.com/([^/?]+)"))
 
 
-def names_creators(text: Column) -> Column:
+def names_creators(text: str = "text") -> Column:
     """MK2 for one page."""
-    return T.contains_any(F.lower(text), K.CREATOR_KEYWORDS)
+    return T.contains_any(f"lower({text})", K.CREATOR_KEYWORDS)
 
 
 def creator_sites(texts: DataFrame) -> DataFrame:
     """MK2 per site."""
-    return texts.groupBy("site_id").agg(F.bool_or(names_creators(F.col("text"))).alias("worked_with_creators"))
+    return texts.groupBy("site_id").agg(F.bool_or(names_creators()).alias("worked_with_creators"))
 
 
-def video_sources(pages: DataFrame) -> DataFrame:
+def video_sources(signals: DataFrame) -> DataFrame:
     """MK3: embeds and anchors that lead to a video, every occurrence in page order."""
-    html = F.col("html")
-    marked = pages.where(T.contains_any(html, K.VIDEO_EMBED_PLATFORMS))
-    clean = H.visible_html(html)
     embeds = F.filter(
-        F.transform(H.open_tags(clean, "(?:video|iframe)"),
-                    lambda a: F.coalesce(T.blank_to_null(H.attr(a, "src")), T.blank_to_null(H.attr(a, "data-src")))),
+        F.transform(F.col("embeds"), lambda a: F.coalesce(T.blank_to_null(H.attr(a, "src")), T.blank_to_null(H.attr(a, "data-src")))),
         lambda s: T.contains_any(s, K.VIDEO_EMBED_PLATFORMS))
-    anchors = F.filter(F.transform(H.anchor_pieces(clean), lambda p: H.attr(H.piece_attrs(p), "href")),
+    linked = F.filter(F.col("anchors"), lambda p: T.contains_any(p, ["youtube", "vimeo", "tiktok"]))
+    anchors = F.filter(F.transform(linked, lambda p: H.attr(H.piece_attrs(p), "href")),
                        lambda h: T.contains_any(h, K.VIDEO_ANCHOR_PARTS))
-    return marked.select(U.site_of(F.col("url")).alias("site_id"), "page_id",
-                         F.posexplode(F.concat(embeds, anchors)).alias("video_seq", "video_url"))
+    return signals.select("site_id", "page_id", F.posexplode(F.concat(embeds, anchors)).alias("video_seq", "video_url"))
 
 
-def videos(pages: DataFrame) -> DataFrame:
+def videos(signals: DataFrame) -> DataFrame:
     """MK3: distinct video links per site, with the first page that shows them."""
-    return video_sources(pages).groupBy("site_id", "video_url").agg(F.min("page_id").alias("first_page"))
+    return video_sources(signals).groupBy("site_id", "video_url").agg(F.min("page_id").alias("first_page"))
 
 
-def first_videos(pages: DataFrame, k: int = 10) -> DataFrame:
+def first_videos(signals: DataFrame, k: int = 10) -> DataFrame:
     """MK3, older variant: the first ten occurrences, repeats kept."""
     from siteweave.operators.topk import top_k
 
-    return top_k(video_sources(pages), ["site_id"], [F.col("page_id"), F.col("video_seq")], k).select(
+    return top_k(video_sources(signals), ["site_id"], [F.col("page_id"), F.col("video_seq")], k).select(
         "site_id", F.col("rn").cast("bigint").alias("rank"), "video_url")
 
 
@@ -71,21 +66,15 @@ def engagement_map() -> Column:
     return F.map_from_entries(entries)
 
 
-def text_features(lowered: Column) -> list[Column]:
-    """FT1 for one page."""
-    return [T.contains_any(lowered, words).alias(name) for name, words in K.FEATURE_KEYWORDS.items()]
+def text_features(lowered: str = "lower(text)") -> list[Column]:
+    """FT1 for one page; the keyword rule for social presence is kept apart (FT2)."""
+    return [T.contains_any(lowered, words).alias(name) for name, words in K.FEATURE_KEYWORDS.items()] + [
+        T.contains_any(lowered, K.SOCIAL_TEXT_KEYWORDS).alias("social_in_text")]
 
 
-def has_video_marker(html: Column) -> Column:
-    """FT3 for one page."""
-    return T.contains_any(F.lower(html), K.VIDEO_MARKERS)
-
-
-def features(pages: DataFrame) -> DataFrame:
-    """FT1, FT3 per site over (site_id, html, text); the text keyword rule for social presence is kept apart (FT2)."""
-    lowered = F.lower("text")
-    rows = pages.select("site_id", *text_features(lowered), T.contains_any(lowered, K.SOCIAL_TEXT_KEYWORDS).alias("social_in_text"),
-                        has_video_marker(F.col("html")).alias("video_presence"))
+def features(signals: DataFrame) -> DataFrame:
+    """FT1, FT3 per site."""
+    rows = signals.select("site_id", *text_features(), F.col("video_marker").alias("video_presence"))
     names = [c for c in rows.columns if c != "site_id"]
     return rows.groupBy("site_id").agg(*[F.bool_or(c).alias(c) for c in names])
 
@@ -96,6 +85,5 @@ def social_presence(links: DataFrame) -> DataFrame:
 
 
 def main_page_features(mains: DataFrame) -> DataFrame:
-    """FT4 over (site_id, main_url, html) of main pages."""
-    return mains.select("site_id", F.col("main_url").startswith("https://").alias("ssl_secure"),
-                        F.lower("html").contains("viewport").alias("mobile_responsive"))
+    """FT4 over (site_id, main_url, viewport) of main pages."""
+    return mains.select("site_id", F.col("main_url").startswith("https://").alias("ssl_secure"), F.col("viewport").alias("mobile_responsive"))

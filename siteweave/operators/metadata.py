@@ -13,12 +13,12 @@ from siteweave.operators import pages as P
 from siteweave.operators.facts import first_values
 
 
-def page_titles(pages: DataFrame) -> DataFrame:
-    """MD1: titles of all pages, one row each, in page order."""
-    return pages.select(U.site_of(F.col("url")).alias("site_id"), "page_id", H.title(H.visible_html(F.col("html"))).alias("title")).where("title is not null")
+def page_titles(signals: DataFrame) -> DataFrame:
+    """MD1: titles of all pages, one row each; the order is that of page_id."""
+    return signals.select("site_id", "page_id", "title").where("title is not null")
 
 
-def about_pages(texts: DataFrame, links: DataFrame) -> DataFrame:
+def about_pages(signals: DataFrame, links: DataFrame) -> DataFrame:
     """MD2: the longest about page of each site (ties to the lowest page_id).
 
     About pages are named by an about link of the site or recognised by
@@ -27,22 +27,21 @@ def about_pages(texts: DataFrame, links: DataFrame) -> DataFrame:
     reduced to (site, length, page) before the shuffle.
     """
     named = links.where("is_about").select("site_id", "url").distinct().withColumn("named", F.lit(True))
-    rows = texts.select("site_id", "url", "page_id", F.length("text").alias("n"), P.is_about_page(F.col("url"), F.col("text")).alias("own"))
+    rows = signals.select("site_id", "url", "page_id", F.length("text").alias("n"), P.is_about_page().alias("own"))
     about = rows.join(named, ["site_id", "url"], "left").where(F.col("own") | F.col("named"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), "page_id", "url"))
     return about.groupBy("site_id").agg(best.alias("b")).select("site_id", "b.page_id", "b.url")
 
 
-def keyword_list(html: Column) -> Column:
+def keyword_list(metas: Column) -> Column:
     """MD7 for one page: keywords over two characters."""
-    words = F.transform(F.split(H.meta_content(H.open_tags(H.visible_html(html), "meta"), "keywords", ignore_case=True), ","), T.strip)
+    words = F.transform(F.split(H.meta_content(metas, "keywords", ignore_case=True), ","), T.strip)
     return F.filter(words, lambda w: F.length(w) > 2)
 
 
-def keywords(pages: DataFrame, k: int = 20) -> DataFrame:
+def keywords(signals: DataFrame, k: int = 20) -> DataFrame:
     """MD7: the first 20 distinct meta keywords per site, sorted (Q2)."""
-    marked = pages.where(F.lower("html").contains("keywords"))
-    rows = marked.select(U.site_of(F.col("url")).alias("site_id"), "page_id", F.explode(keyword_list(F.col("html"))).alias("keyword"))
+    rows = signals.select("site_id", "page_id", F.explode(keyword_list(F.col("metas"))).alias("keyword"))
     return first_values(rows, "keyword", ["site_id"], k).withColumnRenamed("joined", "keywords")
 
 
@@ -63,14 +62,14 @@ def about_fallback(sections: DataFrame, limit: int = 3000, rows_kept: int = 60)
     return kept.groupBy("site_id").agg(F.substring(F.array_join(joined, "\n\n"), 1, limit).alias("about_text"))
 
 
-def about(pages: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+def about(pages: DataFrame, signals: DataFrame, links: DataFrame) -> DataFrame:
     """MD2-MD5: about text and URL per site.
 
     Only the chosen page of each site is parsed for its main text, and only
     pages with an about-like attribute of sites left without one are parsed
     for sections.
     """
-    best = about_pages(texts, links)
+    best = about_pages(signals, links)
     body = pages.select("page_id", "url", "html")
     main = D.about_texts(D.parse(body.join(best.select("page_id"), "page_id", "left_semi")))
     named = best.join(main.select("page_id", "about_text"), "page_id").where("about_text is not null")

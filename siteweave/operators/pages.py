@@ -86,11 +86,9 @@ def is_contact_page(url: Column, text: Column) -> Column:
     return F.lower(url).contains("contact") | F.lower(text).contains("contact")
 
 
-def is_about_page(url: Column, text: Column) -> Column:
-    """PG11."""
-    return T.contains_any(F.lower(url), K.ABOUT_URL_KEYWORDS) | T.contains_any(
-        F.lower(text), K.ABOUT_TEXT_PHRASES
-    )
+def is_about_page(url: str = "url", text: str = "text") -> Column:
+    """PG11 over two named columns."""
+    return T.contains_any(F.lower(url), K.ABOUT_URL_KEYWORDS) | T.contains_any(f"lower({text})", K.ABOUT_TEXT_PHRASES)
 
 
 # --- head of the document ----------------------------------------------------------
@@ -119,7 +117,7 @@ def icon_href(link_tags: Column) -> Column:
     """PG15: href of the first icon link by kind of ``rel``."""
     def href_of(rel: str) -> Column:
         def has_rel(attrs: Column) -> Column:
-            return attrs.contains(rel) & (T.collapse(T.strip(H.attr(attrs, "rel"))) == rel)
+            return attrs.contains(rel.split(" ")[-1]) & (T.collapse(T.strip(H.attr(attrs, "rel", decode=False))) == rel)
 
         first = F.try_element_at(F.filter(link_tags, has_rel), F.lit(1))
         return T.blank_to_null(H.attr(first, "href"))
@@ -158,51 +156,37 @@ def safe_name(url: Column) -> Column:
 
 # --- tables -------------------------------------------------------------------------------
 
-def with_markup(pages: DataFrame) -> DataFrame:
-    """Add the site and ``markup``: html without comments, scripts, styles and templates."""
-    return pages.select("*", U.site_of(F.col("url")).alias("site_id"), H.visible_html(F.col("html")).alias("markup"))
-
-
-def with_text(pages: DataFrame) -> DataFrame:
-    """Add the site and the visible text."""
-    return pages.select(
-        "*",
-        U.site_of(F.col("url")).alias("site_id"),
-        H.visible_text(F.col("html")).alias("text"),
-    )
-
-
-def page_texts(pages: DataFrame) -> DataFrame:
+def page_texts(signals: DataFrame) -> DataFrame:
     """PG2, PG3."""
-    text = with_text(pages).select("page_id", "text")
-    return text.withColumn("word_count", T.word_count(F.col("text")))
+    return signals.select("page_id", "text", T.word_count(F.col("text")).alias("word_count"))
 
 
-def page_heads(pages: DataFrame) -> DataFrame:
-    """PG4, PG5, PG6, PG15."""
-    markup, metas = F.col("markup"), F.col("metas")
-    staged = with_markup(pages).select(
-        "page_id", "url", H.title(markup).alias("title"), H.open_tags(markup, "meta").alias("metas"),
-        icon_href(H.open_tags(markup, "link")).alias("icon"))
-    return staged.select(
-        "page_id",
-        "title",
+def head_columns() -> list[Column]:
+    """PG4, PG5, PG6, PG15 from the signals of a page."""
+    metas = F.col("metas")
+    return [
+        F.col("title"),
         site_title(F.col("title")).alias("site_title"),
         H.meta_content(metas, "description", ignore_case=False).alias("description"),
         site_meta(metas, "description", 500).alias("meta_description"),
         site_meta(metas, "keywords", 300).alias("meta_keywords"),
-        favicon(F.col("icon"), F.col("url")).alias("favicon_url"),
-    )
+        favicon(icon_href(F.col("icons")), F.col("url")).alias("favicon_url"),
+    ]
 
 
-def page_kinds(pages: DataFrame) -> DataFrame:
+def page_heads(signals: DataFrame) -> DataFrame:
+    """PG4, PG5, PG6, PG15."""
+    return signals.select("page_id", *head_columns())
+
+
+def page_kinds(signals: DataFrame) -> DataFrame:
     """PG9, PG10, PG11."""
-    p = with_text(pages)
-    return p.select(
-        "page_id",
-        page_type(F.col("url")).alias("page_type"),
-        is_contact_page(F.col("url"), F.col("text")).alias("is_contact_page"),
-        is_about_page(F.col("url"), F.col("text")).alias("is_about_page"),
+    url, text = F.col("url"), F.col("text")
+    return signals.select(
+        "page_id", "site_id",
+        page_type(url).alias("page_type"),
+        is_contact_page(url, text).alias("is_contact_page"),
+        is_about_page().alias("is_about_page"),
     )
 
 
@@ -220,28 +204,13 @@ def fetch_labels(pages: DataFrame) -> DataFrame:
     )
 
 
-def images(pages: DataFrame) -> DataFrame:
+def images(signals: DataFrame) -> DataFrame:
     """PG18: resolved image URLs with an accepted file extension, one row each."""
-    tags = H.open_tags(H.visible_html(F.col("html")), "img")
-    rows = pages.where(F.lower("html").contains("<img")).select("page_id", "url", F.posexplode(tags).alias("img_seq", "attrs"))
-    src = rows.select("page_id", "img_seq", U.resolve(F.col("url"), H.attr(F.col("attrs"), "src")).alias("image_url"))
+    rows = signals.select("page_id", "url", F.posexplode("images").alias("img_seq", "attrs"))
+    rows = rows.select("page_id", "url", "img_seq", H.attr(F.col("attrs"), "src").alias("src")).where("src is not null")
+    found = rows.select("page_id", F.col("img_seq").cast("bigint").alias("img_seq"), U.resolve(F.col("url"), F.col("src")).alias("image_url"))
     base = F.lower(F.regexp_extract(U.path_of(F.col("image_url")), r"([^/]*)\z", 1))
-    return src.where(T.ends_with_any(base, K.IMAGE_EXTENSIONS)).select(
-        "page_id", F.col("img_seq").cast("bigint").alias("img_seq"), "image_url"
-    )
-
-
-def json_ld(pages: DataFrame) -> DataFrame:
-    """PG8: one row per valid JSON-LD document, as VARIANT.
-
-    Pages without the marker are dropped by a substring test before the
-    regular expression runs.
-    """
-    marked = pages.where(F.col("html").contains("application/ld+json"))
-    return marked.select(
-        "page_id", "url", U.site_of(F.col("url")).alias("site_id"),
-        F.posexplode(H.json_ld_blocks(F.col("html"))).alias("ld_seq", "doc"),
-    )
+    return found.where(T.ends_with_any(base, K.IMAGE_EXTENSIONS))
 
 
 def page_names(pages: DataFrame) -> DataFrame:
