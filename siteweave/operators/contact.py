@@ -9,6 +9,7 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.functions.rows import unnest, unnest_structs
 from siteweave.operators.facts import best_hit, first_hit, first_of, first_values
 from siteweave.operators.signals import anchor_rows, ld_rows
 
@@ -33,9 +34,11 @@ def phones_in(text: Column, kind: str) -> Column:
 
 def phones(texts: DataFrame) -> DataFrame:
     """CT2: per site and kind the first three distinct phones."""
-    kinds = F.concat(*[F.transform(phones_in(F.col("text"), kind), lambda p, kind=kind: F.struct(F.lit(kind).alias("kind"), p.alias("phone")))
-                       for kind in PHONE_KINDS])
-    rows = texts.where(F.col("text").rlike(r"\d{4}")).select("site_id", "page_id", F.inline(kinds))
+    def tagged(kind: str) -> Column:
+        return F.transform(phones_in(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phone")))
+
+    found = F.concat(*[tagged(kind) for kind in PHONE_KINDS])
+    rows = unnest_structs(texts.where(F.col("text").rlike(r"\d{4}")), ["site_id", "page_id"], found)
     return first_values(rows, "phone", ["site_id", "kind"], 3).withColumnRenamed("joined", "phones")
 
 
@@ -100,7 +103,7 @@ def social_hits(signals: DataFrame) -> DataFrame:
     platforms = F.array_distinct(F.filter(
         F.array(*[F.when(lowered.contains(d), F.lit(p)) for d, p in K.SOCIAL_PLATFORMS]), lambda p: p.isNotNull()))
     profile = F.regexp_replace(F.substring_index("href", "?", 1), r"/+\z", "")
-    return anchor_rows(signals).select("site_id", "page_id", "link_seq", F.explode(platforms).alias("platform"), profile.alias("profile"))
+    return unnest(anchor_rows(signals), ["site_id", "page_id", "link_seq", profile.alias("profile")], platforms, "platform").drop("pos")
 
 
 def social_profiles(signals: DataFrame) -> DataFrame:

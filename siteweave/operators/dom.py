@@ -18,6 +18,7 @@ from siteweave import constants as K
 from siteweave.functions import text as T
 from siteweave.functions import tree
 from siteweave.functions import urls as U
+from siteweave.functions.rows import unnest_structs
 
 cloudpickle.register_pickle_by_value(tree)
 
@@ -95,7 +96,7 @@ def elements(dom: DataFrame) -> DataFrame:
             F.transform(n["anc"], ancestor).alias("ancestors"),
         ),
     )
-    return dom.select("page_id", "url", F.inline(rows))
+    return unnest_structs(dom, ["page_id", "url"], rows)
 
 
 def meta_tags(dom: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def discovery_places(dom: DataFrame) -> DataFrame:
                 .otherwise(_text(_node(n["parent"]), "", 100)), 1, 100).alias("context"),
         ),
     )
-    return dom.select("page_id", "url", F.inline(rows))
+    return unnest_structs(dom, ["page_id", "url"], rows)
 
 
 def clickable_links(dom: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def clickable_links(dom: DataFrame) -> DataFrame:
         )
 
     anchors = F.filter(_nodes(), lambda n: (n["tag"] == "a") & _attr(n, "href").isNotNull())
-    rows = dom.select("page_id", base, F.inline(F.transform(anchors, place)))
+    rows = unnest_structs(dom, ["page_id", base], F.transform(anchors, place))
     href = F.col("href")
     kept = rows.where((href != "") & ~href.startswith("javascript:") & ~href.startswith("mailto:")
                       & ~href.startswith("tel:"))
@@ -271,7 +272,7 @@ def microdata_products(dom: DataFrame) -> DataFrame:
         value(prop(i, "priceCurrency")).alias("currency"),
         _attr(prop(i, "url", "a"), "href").alias("href"),
     ))
-    flat = dom.select("page_id", base, F.inline(rows)).where("name is not null and price is not null")
+    flat = unnest_structs(dom, ["page_id", base], rows).where("name is not null and price is not null")
     return flat.select("page_id", F.lit("microdata").alias("src"), "name", "price", "currency",
                        U.resolve(base, F.coalesce("href", base)).alias("url"))
 
@@ -293,7 +294,7 @@ def card_products(dom: DataFrame) -> DataFrame:
         )
 
     cards = F.filter(_nodes(), with_class(K.CARD_CLASSES))
-    flat = dom.select("page_id", base, F.inline(F.transform(cards, card))).where("name is not null and price is not null")
+    flat = unnest_structs(dom, ["page_id", base], F.transform(cards, card)).where("name is not null and price is not null")
     return flat.select("page_id", F.lit("card").alias("src"), "name", "price", "currency",
                        U.resolve(base, F.coalesce("href", base)).alias("url"))
 
@@ -339,6 +340,6 @@ def about_sections(dom: DataFrame) -> DataFrame:
         return F.transform(found, lambda n: F.struct(F.lit(i).alias("selector"), n["seq"].alias("elem_seq"), _text(n).alias("raw")))
 
     every = F.concat(*[hits(i, *s) for i, s in enumerate(K.ABOUT_SECTION_SELECTORS)])
-    rows = dom.select("page_id", "url", F.inline(every)).where(F.length("raw") > 100)
+    rows = unnest_structs(dom, ["page_id", "url"], every).where(F.length("raw") > 100)
     return rows.select("page_id", "url", "selector", "elem_seq", clean_about(F.col("raw")).alias("section_text")) \
         .where("section_text <> ''")

@@ -9,6 +9,7 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.functions.rows import unnest
 from siteweave.operators.signals import anchor_rows
 from siteweave.operators.topk import top_k
 
@@ -82,7 +83,7 @@ def by_section(links: DataFrame) -> DataFrame:
         ),
         lambda s: s.isNotNull(),
     )
-    return links.withColumn("section", F.explode(sections))
+    return unnest(links, links.columns, sections, "section").drop("pos")
 
 
 def first_links(links: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.functions.rows import unnest
 from siteweave.operators.signals import anchor_rows, ld_rows
 
 
@@ -26,7 +27,7 @@ def direct(signals: DataFrame) -> DataFrame:
 
 def iframes(signals: DataFrame) -> DataFrame:
     """MP2: iframes that embed a map."""
-    rows = signals.select("page_id", "site_id", F.col("url").alias("source_page"), F.explode("iframes").alias("attrs"))
+    rows = unnest(signals, ["page_id", "site_id", F.col("url").alias("source_page")], "iframes", "attrs")
     rows = rows.withColumn("src", H.attr(F.col("attrs"), "src")).where("src is not null")
     out = _rows(rows, "iframe", U.resolve(F.col("source_page"), F.col("src")))
     return out.where(T.contains_any(F.lower("map_url"), K.MAP_IFRAME_HOSTS))
@@ -34,7 +35,7 @@ def iframes(signals: DataFrame) -> DataFrame:
 
 def scripts(signals: DataFrame) -> DataFrame:
     """MP3: map URLs in script text, distinct per page."""
-    rows = signals.select("page_id", "site_id", F.col("url").alias("source_page"), F.explode("script_maps").alias("u"))
+    rows = unnest(signals, ["page_id", "site_id", F.col("url").alias("source_page")], "script_maps", "u")
     return _rows(rows, "javascript", F.col("u"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
+from siteweave.functions.rows import unnest
 from siteweave.operators.business import social_count
 
 
@@ -34,7 +35,7 @@ def video_sources(signals: DataFrame) -> DataFrame:
     linked = F.filter(F.col("anchors"), lambda p: T.contains_any(p, ["youtube", "vimeo", "tiktok"]))
     anchors = F.filter(F.transform(linked, lambda p: H.attr(H.piece_attrs(p), "href")),
                        lambda h: T.contains_any(h, K.VIDEO_ANCHOR_PARTS))
-    return signals.select("site_id", "page_id", F.posexplode(F.concat(embeds, anchors)).alias("video_seq", "video_url"))
+    return unnest(signals, ["site_id", "page_id"], F.concat(embeds, anchors), "video_url", "video_seq")
 
 
 def videos(signals: DataFrame) -> DataFrame:

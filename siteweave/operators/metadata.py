@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.functions.rows import unnest
 from siteweave.operators import dom as D
 from siteweave.operators import pages as P
 from siteweave.operators.facts import first_values
@@ -41,7 +42,7 @@ def keyword_list(metas: Column) -> Column:
 
 def keywords(signals: DataFrame, k: int = 20) -> DataFrame:
     """MD7: the first 20 distinct meta keywords per site, sorted (Q2)."""
-    rows = signals.select("site_id", "page_id", F.explode(keyword_list(F.col("metas"))).alias("keyword"))
+    rows = unnest(signals, ["site_id", "page_id"], keyword_list(F.col("metas")), "keyword")
     return first_values(rows, "keyword", ["site_id"], k).withColumnRenamed("joined", "keywords")
 
 

@@ -12,6 +12,7 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.functions.rows import unnest
 
 
 # --- labels of one fetch -----------------------------------------------------
@@ -206,9 +207,9 @@ def fetch_labels(pages: DataFrame) -> DataFrame:
 
 def images(signals: DataFrame) -> DataFrame:
     """PG18: resolved image URLs with an accepted file extension, one row each."""
-    rows = signals.select("page_id", "url", F.posexplode("images").alias("img_seq", "attrs"))
+    rows = unnest(signals, ["page_id", "url"], "images", "attrs", "img_seq")
     rows = rows.select("page_id", "url", "img_seq", H.attr(F.col("attrs"), "src").alias("src")).where("src is not null")
-    found = rows.select("page_id", F.col("img_seq").cast("bigint").alias("img_seq"), U.resolve(F.col("url"), F.col("src")).alias("image_url"))
+    found = rows.select("page_id", "img_seq", U.resolve(F.col("url"), F.col("src")).alias("image_url"))
     base = F.lower(F.regexp_extract(U.path_of(F.col("image_url")), r"([^/]*)\z", 1))
     return found.where(T.ends_with_any(base, K.IMAGE_EXTENSIONS))
 
