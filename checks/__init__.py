@@ -1,0 +1,9 @@
+"""Registered queries over the given tables, with reference SQL."""
+
+
+def load() -> dict:
+    """All checks, in order of registration."""
+    from checks import page_checks, site_checks  # noqa: F401
+    from checks.registry import CHECKS
+
+    return CHECKS

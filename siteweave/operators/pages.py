@@ -162,13 +162,18 @@ def page_texts(signals: DataFrame) -> DataFrame:
     return signals.select("page_id", "text", T.word_count(F.col("text")).alias("word_count"))
 
 
+def description() -> Column:
+    """PG5, page level: exact name, content as it stands."""
+    return H.meta_content(F.col("metas"), "description", ignore_case=False)
+
+
 def head_columns() -> list[Column]:
     """PG4, PG5, PG6, PG15 from the signals of a page."""
     metas = F.col("metas")
     return [
         F.col("title"),
         site_title(F.col("title")).alias("site_title"),
-        H.meta_content(metas, "description", ignore_case=False).alias("description"),
+        description().alias("description"),
         site_meta(metas, "description", 500).alias("meta_description"),
         site_meta(metas, "keywords", 300).alias("meta_keywords"),
         favicon(icon_href(F.col("icons")), F.col("url")).alias("favicon_url"),

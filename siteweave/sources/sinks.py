@@ -42,7 +42,7 @@ def page_records(signals: DataFrame, trees: DataFrame, found: DataFrame) -> Data
     own_maps = found.groupBy("page_id").agg(F.sort_array(F.collect_set("map_url")).alias("google_maps_found"))
     metas = D.meta_tags(trees).select("page_id", "meta_tags")
     kinds = P.page_kinds(signals).drop("site_id")
-    heads = signals.select("page_id", "site_id", "url", "title", *P.head_columns()[3:4], "status_code", "load_time", "ld")
+    heads = signals.select("page_id", "site_id", "url", "title", P.description().alias("description"), "status_code", "load_time", "ld")
     words = P.page_texts(signals).select("page_id", "word_count")
     docs = F.filter(F.transform(F.coalesce("ld", F.array().cast("array<string>")), F.trim), lambda d: F.try_parse_json(d).isNotNull())
     return (heads.join(kinds, "page_id").join(words, "page_id").join(metas, "page_id").join(own_maps, "page_id", "left").select(
