@@ -255,32 +255,29 @@ def _price(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[^\d.]", "").try_cast("double")
 
 
-def microdata_products(dom: DataFrame) -> DataFrame:
-    """BZ6: items of type Product with their name, price and currency."""
-    base = F.col("url")
-
+def _microdata() -> Column:
+    """BZ6: array of items of type Product with their name, price and currency."""
     def prop(item: Column, name: str, tag: str | None = None) -> Column:
-        return _first(F.filter(_below(item), lambda n: (_attr(n, "itemprop") == name) & ((n["tag"] == tag) if tag else F.lit(True))))
+        def test(n: Column) -> Column:
+            named = _attr(n, "itemprop") == name
+            return named & (n["tag"] == tag) if tag else named
+        return _first(F.filter(_below(item), test))
 
     def value(n: Column) -> Column:
         return F.coalesce(T.blank_to_null(_attr(n, "content")), _text(n, ""))
 
     items = F.filter(_nodes(), lambda n: F.coalesce(_attr(n, "itemtype") == K.MICRODATA_PRODUCT, F.lit(False)))
-    rows = F.transform(items, lambda i: F.struct(
+    return F.transform(items, lambda i: F.struct(
+        F.lit("microdata").alias("src"),
         T.blank_to_null(_text(prop(i, "name"), "")).alias("name"),
         _price(value(prop(i, "price"))).alias("price"),
         value(prop(i, "priceCurrency")).alias("currency"),
         _attr(prop(i, "url", "a"), "href").alias("href"),
     ))
-    flat = unnest_structs(dom, ["page_id", base], rows).where("name is not null and price is not null")
-    return flat.select("page_id", F.lit("microdata").alias("src"), "name", "price", "currency",
-                       U.resolve(base, F.coalesce("href", base)).alias("url"))
-
 
-def card_products(dom: DataFrame) -> DataFrame:
-    """BZ7: product cards found by class."""
-    base = F.col("url")
 
+def _cards() -> Column:
+    """BZ7: array of product cards found by class."""
     def with_class(names: list[str], tags: list[str] | None = None):
         return lambda n: (n["tag"].isin(tags) | _has_class(n, *names)) if tags else _has_class(n, *names)
 
@@ -289,14 +286,20 @@ def card_products(dom: DataFrame) -> DataFrame:
         price = _text(_first(F.filter(_below(c), with_class(K.CARD_PRICE_CLASSES))), "")
         link = _first(F.filter(_below(c), lambda n: (n["tag"] == "a") & _attr(n, "href").isNotNull()))
         return F.struct(
+            F.lit("card").alias("src"),
             T.blank_to_null(_text(name, "")).alias("name"), _price(price).alias("price"),
             T.first_group(price, f"({K.CURRENCY_SYMBOLS})").alias("currency"), _attr(link, "href").alias("href"),
         )
 
-    cards = F.filter(_nodes(), with_class(K.CARD_CLASSES))
-    flat = unnest_structs(dom, ["page_id", base], F.transform(cards, card)).where("name is not null and price is not null")
-    return flat.select("page_id", F.lit("card").alias("src"), "name", "price", "currency",
-                       U.resolve(base, F.coalesce("href", base)).alias("url"))
+    return F.transform(F.filter(_nodes(), with_class(K.CARD_CLASSES)), card)
+
+
+def products(dom: DataFrame) -> DataFrame:
+    """BZ6, BZ7 in one pass: (page_id, page_url, src, name, price, currency, url)."""
+    base = F.col("page_url")
+    found = unnest_structs(dom, ["page_id", F.col("url").alias("page_url")], F.concat(_microdata(), _cards()))
+    named = found.where(F.col("name").isNotNull() & F.col("price").isNotNull())
+    return named.select("page_id", "page_url", "src", "name", "price", "currency", U.resolve(base, F.coalesce("href", base)).alias("url"))
 
 
 # --- about text -------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from siteweave.functions.rows import unnest
 from siteweave.operators import dom as D
 from siteweave.operators import pages as P
 from siteweave.operators.facts import first_values
+from siteweave.session import materialise
 
 
 def page_titles(signals: DataFrame) -> DataFrame:
@@ -70,13 +71,15 @@ def about(pages: DataFrame, signals: DataFrame, links: DataFrame) -> DataFrame:
     pages with an about-like attribute of sites left without one are parsed
     for sections.
     """
-    best = about_pages(signals, links)
+    best = materialise(about_pages(signals, links), "about_pages")
     body = pages.select("page_id", "url", "html")
     main = D.about_texts(D.parse(body.join(best.select("page_id"), "page_id", "left_semi")))
     named = best.join(main.select("page_id", "about_text"), "page_id").where("about_text is not null")
-    named = named.select("site_id", "about_text", F.col("url").alias("about_url"))
-    words = F.lower("html").rlike(r"""(?s)(?:id|class)\s*=\s*["'][^"']*(?:about|story|mission|company)""")
-    left = body.where(words).withColumn("site_id", U.site_of(F.col("url"))).join(named.select("site_id"), "site_id", "left_anti")
+    # read twice below, so stored
+    named = materialise(named.select("site_id", "about_text", F.col("url").alias("about_url")), "about_texts")
+    words = F.lower("html").rlike(r"""(?:id|class)\s*=\s*["'][^"']*(?:about|story|mission|company)""")
+    wanted = signals.select("site_id", "page_id").join(named.select("site_id"), "site_id", "left_anti")
+    left = body.where(words).join(wanted.select("page_id"), "page_id", "left_semi")
     sections = D.about_sections(D.parse(left)).withColumn("site_id", U.site_of(F.col("url")))
     rest = about_fallback(sections).withColumn("about_url", F.lit(None).cast("string"))
     return named.unionByName(rest)

@@ -24,7 +24,8 @@ def _artifacts(c: Column) -> Column:
 def section_field(name: str) -> Column:
     """RC1: first labelled value, '' when absent."""
     label, tail = K.REPORT_FIELDS[name]
-    return _artifacts(T.strip(F.regexp_extract(CONTENT, f"(?im){re.escape(label)}:{tail}", 1))).alias(name)
+    found = F.regexp_extract(CONTENT, f"(?im){re.escape(label)}:{tail}", 1)
+    return T.let(found, lambda v: _artifacts(T.strip(v))).alias(name)
 
 
 def _flat(c: Column) -> Column:

@@ -111,7 +111,7 @@ def video_columns(signals: DataFrame) -> DataFrame:
 
 def main_columns(pages: DataFrame, signals: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """PG4-PG6, PG15, PG16, FT4 and the status of the main page."""
-    mains = L.main_pages(pages, seeds)
+    mains = L.main_pages(signals, seeds)
     heads = signals.join(mains.select("page_id", "main_url"), "page_id").select(
         "site_id", "page_id", "main_url", F.col("status_code").alias("main_status"), *P.head_columns(),
         F.col("viewport").alias("mobile_responsive"), F.col("main_url").startswith("https://").alias("ssl_secure"))
@@ -130,16 +130,21 @@ def site_summary(pages: DataFrame, seeds: DataFrame | None = None, stats: DataFr
     chosen = capped_pages(pages, seeds, limit)
     signals = materialise(page_signals(chosen), "signals")
     links = materialise(L.page_links(signals), "links")
-    found = M.all_maps(signals)
-    structure = stats if stats is not None else L.site_structure(chosen, links).withColumn("max_depth", F.lit(0).cast("bigint"))
-    products = PR.product_columns(PR.price_extremes(PR.cheapest_offers(PR.all_products(signals, chosen))))
-    sites = side_by_side([
-        text_facts(signals, as_of_year), main_columns(chosen, signals, seeds), structure,
-        L.counts(links).drop("total_links"), map_columns(found, signals), C.social_columns(C.social_profiles(signals)),
-        C.ld_brand(signals), phone_columns(signals), MD.keywords(signals), MD.about(chosen, signals, links),
-        video_columns(signals), products,
-    ]).where("pages_analysed is not null")
-    return finish(sites, analysis_date)
+    structure = stats if stats is not None else L.site_structure(signals, links).withColumn("max_depth", F.lit(0).cast("bigint"))
+    offers = materialise(PR.all_products(signals, pages), "offers")
+    parts = {
+        "text": text_facts(signals, as_of_year),
+        "main": main_columns(pages, signals, seeds),
+        "links": side_by_side([structure, L.counts(links).drop("total_links")]),
+        "maps": map_columns(materialise(M.all_maps(signals), "map_links"), signals),
+        "lists": side_by_side([C.social_columns(C.social_profiles(signals)), C.ld_brand(signals), phone_columns(signals),
+                               MD.keywords(signals), video_columns(signals)]),
+        "products": PR.product_columns(PR.price_extremes(PR.cheapest_offers(offers))),
+        "about": MD.about(pages, signals, links),
+    }
+    # one job per extractor: small plans, and a failed job repeats only its own part
+    sites = side_by_side([materialise(df, name) for name, df in parts.items()]).where("pages_analysed is not null")
+    return finish(materialise(sites, "sites"), analysis_date)
 
 
 def finish(sites: DataFrame, analysis_date: str = "") -> DataFrame:
