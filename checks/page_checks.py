@@ -19,12 +19,11 @@ from siteweave.operators import metadata as MD
 from siteweave.operators import pages as P
 from siteweave.operators.dedup import content_hash, unique_pages
 from siteweave.operators.signals import ld_rows, page_signals
-from siteweave.session import spread
 from siteweave.sources import readers, sinks
 
 
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(TB.crawl(spark, sf))
+    return TB.crawl(spark, sf)
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:

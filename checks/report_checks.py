@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from checks import tables as TB
 from checks.registry import check
 from siteweave import constants as K
 from siteweave.plans import compiler as CP
-from siteweave.session import ensure_checkpoint_dir
+from siteweave.session import shared_folder
 from siteweave.streaming import intake
 
 # A report per supplier, in both engines' SQL; some values are missing on purpose.
@@ -244,8 +242,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 @check("st1_each_url_once", "SELECT DISTINCT url FROM pages")

@@ -245,7 +245,7 @@ SIZES = ", " + _best("emp", EMP) + ", " + _best("rev", REV) + f", yr AS (SELECT
 
 
 @check("bz2_bz3_bz4_size_facts", O.WITH + SIZES + """ SELECT site_id, emp.v AS employees, rev.v AS annual_revenue, yr.v AS founded_year
-FROM (SELECT DISTINCT site_id FROM texts WHERE regexp_matches(text, '[0-9]')) s LEFT JOIN emp USING (site_id) LEFT JOIN rev USING (site_id) LEFT JOIN yr USING (site_id)""")
+FROM (SELECT DISTINCT site_id FROM texts) s LEFT JOIN emp USING (site_id) LEFT JOIN rev USING (site_id) LEFT JOIN yr USING (site_id)""")
 def bz2(spark, sf):
     return B.size_facts(signals(spark, sf), 2026)
 

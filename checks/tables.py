@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import corpus as C
+from siteweave.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; small ones come as one split and are dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def derived(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:
@@ -17,8 +21,6 @@ def derived(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:
     frames = {}
     for name in names:
         frames[f"t_{name}"] = table(spark, sf, name)
-    import re
-
     for name in names:
         text = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {{t_{name}}}", text)
     # literal braces of the SQL must survive formatting

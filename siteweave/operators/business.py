@@ -74,9 +74,13 @@ def founded(as_of_year: int) -> Column:
 
 
 def size_facts(texts: DataFrame, as_of_year: int) -> DataFrame:
-    """BZ2, BZ3, BZ4 per site; pages without a digit are dropped first."""
+    """BZ2, BZ3, BZ4 per site.
+
+    No filter on the text: it would be pushed below the projection that makes
+    the text and evaluate that a second time.
+    """
     t = F.col("text")
-    hits = texts.where(t.rlike("[0-9]")).select(
+    hits = texts.select(
         "site_id", "page_id", employees_hit(t).alias("emp"), revenue_hit(t).alias("rev"), *year_hits(t))
     return hits.groupBy("site_id").agg(
         best_hit("emp").alias("employees"), best_hit("rev").alias("annual_revenue"), founded(as_of_year).alias("founded_year"))

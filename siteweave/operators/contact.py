@@ -38,7 +38,7 @@ def phones(texts: DataFrame) -> DataFrame:
         return F.transform(phones_in(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phone")))
 
     found = F.concat(*[tagged(kind) for kind in PHONE_KINDS])
-    rows = unnest_structs(texts.where(F.col("text").rlike(r"\d{4}")), ["site_id", "page_id"], found)
+    rows = unnest_structs(texts, ["site_id", "page_id"], found)
     return first_values(rows, "phone", ["site_id", "kind"], 3).withColumnRenamed("joined", "phones")
 
 

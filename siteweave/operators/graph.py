@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave import constants as K
 from siteweave.operators.links import complexity
-from siteweave.session import cut
+from siteweave.session import materialise, shared_folder
 
 
 def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_SITE,
@@ -28,45 +26,46 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_S
     first new URL.  A site has at most ``max_urls`` opened pages in all, which
     bounds the per-site windows.
 
-    Each level is checkpointed to the shared folder, so a lost executor costs
-    one level.  The loop fetches one row per level, to see whether it is done.
+    Each level is written to the shared folder and read back, so a lost
+    executor costs one level and plans stay small.  The loop itself fetches
+    one row per level, to see whether it is done.
     """
-    links = cut(edges.groupBy("site_id", "source", "url").agg(F.min("link_seq").alias("link_seq")))
-    frontier = cut(starts.select("site_id", "url", F.lit(1).cast("bigint").alias("position"),
-                                 F.lit(1).cast("bigint").alias("known")))
-    levels: list[DataFrame] = []
+    spark = starts.sparkSession
+    links = materialise(edges.groupBy("site_id", "source", "url").agg(F.min("link_seq").alias("link_seq")), "edges")
+    folder = shared_folder(spark, "levels")
+    schema = "site_id string, url string, parent bigint, position bigint, known bigint"
+
+    def level(depth: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
+
+    one = F.lit(1).cast("bigint")
+    starts.select("site_id", "url", F.lit(0).cast("bigint").alias("parent"), one.alias("position"), one.alias("known")) \
+        .write.parquet(f"{folder}/depth=0")
     by_site = Window.partitionBy("site_id")
-    for depth in range(max_depth + 1):
+    for depth in range(max_depth):
+        frontier = level(depth).where(F.col("known") < max_urls)
         if frontier.isEmpty():
             break
-        seen = reduce(DataFrame.unionByName, [lv.select("site_id", "url") for lv in levels] + [frontier.select("site_id", "url")])
-        open_pages = frontier.where(F.col("known") < max_urls)
-        if depth < max_depth:
-            found = open_pages.select("site_id", F.col("url").alias("source"), F.col("position").alias("parent"), "known").join(
-                links, ["site_id", "source"])
-            new = found.groupBy("site_id", "url").agg(
-                F.min(F.struct("parent", "link_seq")).alias("at"), F.max("known").alias("known")
-            ).join(seen, ["site_id", "url"], "left_anti")
-            # known + URLs first seen on earlier parents = URLs known when the parent is opened
-            ranked = new.withColumn("before", F.col("known") + F.rank().over(by_site.orderBy("at.parent")) - 1)
-            kept = ranked.where(F.col("before") < max_urls).withColumn(
-                "position", F.col("known") + F.row_number().over(by_site.orderBy("at")))
-            following = cut(kept.select(
-                "site_id", "url", F.col("at.parent").alias("parent"), "position",
-                (F.col("known") + F.count("*").over(by_site)).alias("known")))
-            # the parent whose links reach the cap is the last one opened
-            full = following.where(F.col("position") >= max_urls).groupBy("site_id").agg(F.min("parent").alias("last"))
-        else:
-            following, full = None, None
-        level = frontier.withColumn("depth", F.lit(depth))
-        level = level.join(full, "site_id", "left") if full is not None else level.withColumn("last", F.lit(None).cast("bigint"))
-        levels.append(level.select(
-            "site_id", "url", "depth", "position",
-            ((F.col("known") < max_urls) & (F.col("last").isNull() | (F.col("position") <= F.col("last")))).alias("processed")))
-        if following is None:
-            break
-        frontier = following
-    return reduce(DataFrame.unionByName, levels)
+        seen = spark.read.schema(schema).parquet(f"{folder}/depth=*").select("site_id", "url")
+        found = frontier.select("site_id", F.col("url").alias("source"), F.col("position").alias("parent"), "known").join(
+            links, ["site_id", "source"])
+        new = found.groupBy("site_id", "url").agg(
+            F.min(F.struct("parent", "link_seq")).alias("at"), F.max("known").alias("known")
+        ).join(seen, ["site_id", "url"], "left_anti")
+        # known + URLs first seen on earlier parents = URLs known when the parent is opened
+        ranked = new.withColumn("before", F.col("known") + F.rank().over(by_site.orderBy("at.parent")) - 1)
+        kept = ranked.where(F.col("before") < max_urls).withColumn(
+            "position", F.col("known") + F.row_number().over(by_site.orderBy("at")))
+        kept.select(
+            "site_id", "url", F.col("at.parent").cast("bigint").alias("parent"), "position",
+            (F.col("known") + F.count("*").over(by_site)).alias("known"),
+        ).write.parquet(f"{folder}/depth={depth + 1}")
+    levels = spark.read.schema(schema + ", depth int").option("basePath", folder).parquet(folder)
+    # the parent whose links reach the cap is the last one opened on its level
+    full = levels.where((F.col("position") >= max_urls) & (F.col("depth") > 0)).groupBy("site_id", (F.col("depth") - 1).alias("depth")).agg(
+        F.min("parent").alias("last"))
+    opened = (F.col("known") < max_urls) & (F.col("last").isNull() | (F.col("position") <= F.col("last")))
+    return levels.join(full, ["site_id", "depth"], "left").select("site_id", "url", "depth", "position", opened.alias("processed"))
 
 
 def site_edges(links: DataFrame) -> DataFrame:
