@@ -229,7 +229,7 @@ RESOLVE_CASES = [
     ("../p{k}", "http://h.example.com/a/p{k}"), ("./p{k}", "http://h.example.com/a/b/p{k}"), ("x/../p{k}", "http://h.example.com/a/b/p{k}"),
     ("//cdn.example.com/{k}", "http://cdn.example.com/{k}"), ("?q={k}", "http://h.example.com/a/b/c{k}?q={k}"), ("#f{k}", "http://h.example.com/a/b/c{k}?x=1#f{k}"),
     ("/r/../s/./{k}", "http://h.example.com/s/{k}"), ("../../../z{k}", "http://h.example.com/z{k}"), ("d//e{k}/..", "http://h.example.com/a/b/d/"),
-    ("http:rel{k}", "http://h.example.com/rel{k}"), ("mailto:m{k}@example.com", "mailto:m{k}@example.com"), ("/q//w{k}?a=../b", "http://h.example.com/q//w{k}?a=../b"),
+    ("http:rel{k}", "http://h.example.com/a/b/rel{k}"), ("mailto:m{k}@example.com", "mailto:m{k}@example.com"), ("/q//w{k}?a=../b", "http://h.example.com/q//w{k}?a=../b"),
     ("https://o.example.com/../{k}", "https://o.example.com/../{k}"), (".", "http://h.example.com/a/b/"), ("..", "http://h.example.com/a/"), ("", "http://h.example.com/a/b/c{k}?x=1#y"),
 ]
 

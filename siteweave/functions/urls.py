@@ -70,14 +70,9 @@ def resolve(base: Column, href: Column) -> Column:
         return T.let(F.regexp_extract(ref, r"^([^?#]*)", 1), with_path)
 
     def any_form(ref: Column) -> Column:
-        own = F.lower(F.regexp_extract(ref, _SCHEME, 1))
-        # "https:page" with the base's own scheme is a relative reference
-        rest = F.regexp_replace(ref, _SCHEME, "")
-        opaque = (own != "") & (own == F.lower(scheme)) & ~rest.startswith("//")
         return (
             F.when(ref == "", base)
-            .when(opaque, F.concat(root, F.when(rest.startswith("/"), F.lit("")).otherwise(F.lit("/")), rest))
-            .when(own != "", ref)
+            .when(ref.rlike(_SCHEME), ref)
             .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
             .when(ref.startswith("#"), F.concat(without_fragment(base), ref))
             .when(ref.startswith("?"), F.concat(root, path_of(base), ref))
@@ -85,4 +80,7 @@ def resolve(base: Column, href: Column) -> Column:
         )
 
     cleaned = F.regexp_replace(href, r"[\t\r\n]|\A[\x00-\x20]+", "")
-    return T.let(cleaned, any_form)
+    # "https:page" with the base's own scheme is a relative reference
+    bare = T.let(cleaned, lambda ref: F.when(
+        F.lower(F.regexp_extract(ref, _SCHEME, 1)) == F.lower(scheme), F.regexp_replace(ref, _SCHEME + "(?!//)", "")).otherwise(ref))
+    return T.let(bare, any_form)

@@ -37,7 +37,9 @@ def capped_pages(pages: DataFrame, seeds: DataFrame | None = None, limit: int =
 
     This is the engine's page budget per site, a feature with a parameter; it
     also bounds what later steps collect per site.  Only the cut-off URL of
-    each oversized site is joined back, so pages are filtered where they are.
+    each oversized site is joined back.  That table is stored first: its size
+    is then known, and the optimizer broadcasts it only if it is small, which
+    leaves the page bodies where they are.
     """
     mains = L.main_pages(pages, seeds).select("page_id", F.lit(True).alias("is_main"))
     rows = pages.select("page_id", "url", U.site_of(F.col("url")).alias("site_id"))
@@ -45,6 +47,7 @@ def capped_pages(pages: DataFrame, seeds: DataFrame | None = None, limit: int =
     cut = top_k(marked, ["site_id"], [F.col("later"), F.col("url"), F.col("page_id")], limit).where(F.col("rn") == limit)
     cut = cut.select("site_id", F.col("url").alias("cut_url"), F.col("page_id").alias("cut_page"))
     first = marked.where("is_main").join(cut, "site_id").select("site_id", "cut_url", "cut_page", F.col("page_id").alias("main_page"))
+    first = materialise(first, "page_budget")
     keyed = pages.withColumn("site_id", U.site_of(F.col("url"))).join(first, "site_id", "left")
     kept = keyed.where(
         F.col("cut_url").isNull() | (F.col("page_id") == F.col("main_page")) | (F.col("url") < F.col("cut_url"))
@@ -111,7 +114,7 @@ def video_columns(signals: DataFrame) -> DataFrame:
 
 def main_columns(pages: DataFrame, signals: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """PG4-PG6, PG15, PG16, FT4 and the status of the main page."""
-    mains = L.main_pages(signals, seeds)
+    mains = materialise(L.main_pages(signals, seeds), "main_pages")
     heads = signals.join(mains.select("page_id", "main_url"), "page_id").select(
         "site_id", "page_id", "main_url", F.col("status_code").alias("main_status"), *P.head_columns(),
         F.col("viewport").alias("mobile_responsive"), F.col("main_url").startswith("https://").alias("ssl_secure"))

@@ -89,7 +89,7 @@ def test_json_ld_valid_invalid_and_arrays(spark):
 
 
 def test_brand_rules(spark):
-    cases = {"Acme - Best Serum": "Acme", "Cream Shop | Acme": "Acme", "Alpha Beta": "Alpha Beta", "Acme Inc. rocks": "Acme", "A :: B": "A", "Red — Blue": "Red"}
+    cases = {"Acme - Best Serum": "Acme", "Cream Shop | Acme": "Acme", "Alpha Beta": "Alpha Beta", "Acme Inc. rocks": "Acme Inc. rocks", "Acme Group rocks": "Acme", "A :: B": "A", "Red — Blue": "Red"}
     df = spark.createDataFrame([(t,) for t in cases], "title string")
     assert {r.title: r.b for r in df.select("title", C.brand_from_title(F.col("title")).alias("b")).collect()} == cases
 
