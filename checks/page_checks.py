@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import corpus as C
 from checks import oracle as O
 from checks import tables as TB
 from checks.registry import check
