@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import decontam, langid, mixing, pii, simhash
+from siteweave.llm import anchors, decontam, langid, mixing, pii, simhash, suffixes
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.dedup(_read(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     hits = decontam.scan_hits(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
     return decontam.judged(hits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -39,7 +44,12 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = anchors.dedup(_read(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_decontamination, op5_language_id, op6_simhash, op8_pii_surrogates, op9_mixing)}
+    op1_suffix_dedup, op4_decontamination, op5_language_id, op6_simhash, op8_pii_surrogates, op9_mixing, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
