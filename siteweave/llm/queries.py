@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import anchors, decontam, langid, mixing, pii, simhash, suffixes
+from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, simhash, suffixes
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.dedup(_read(spark, sf, "embeddings"))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return pii.replace(_read(spark, sf, "documents").select("doc_id", "text"))
 
@@ -50,6 +54,6 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op4_decontamination, op5_language_id, op6_simhash, op8_pii_surrogates, op9_mixing, op10_substring_dedup)}
+    op1_suffix_dedup, op4_decontamination, op5_language_id, op6_simhash, op7_embedding_dedup, op8_pii_surrogates, op9_mixing, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
