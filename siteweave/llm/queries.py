@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, simhash, suffixes, wrappers
+from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, quality, simhash, suffixes, wrappers
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return wrappers.extract(_read(spark, sf, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(_read(spark, sf, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     hits = decontam.scan_hits(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
     return decontam.judged(hits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -58,6 +62,6 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_html_extraction, op4_decontamination, op5_language_id, op6_simhash, op7_embedding_dedup, op8_pii_surrogates, op9_mixing, op10_substring_dedup)}
+    op1_suffix_dedup, op2_html_extraction, op3_quality, op4_decontamination, op5_language_id, op6_simhash, op7_embedding_dedup, op8_pii_surrogates, op9_mixing, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
