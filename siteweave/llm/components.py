@@ -18,12 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     joined back to the edges.
     """
     now = store(_down(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen or not mark.n:
-            break
-        seen = mark
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,10 +27,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                                 F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         now = store(_down(small), "small")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Has every larger node one edge, and is no smaller node a larger one elsewhere?"""
+    sides = edges.select("u", F.lit(1).alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+    return not sides.groupBy("u").agg(F.sum("n").alias("n"), F.count("*").alias("sides")).where("n > 1 or n = 1 and sides > 1").limit(1).count()
+
+
 def _down(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node."""
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

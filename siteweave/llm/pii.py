@@ -58,9 +58,8 @@ SYLLABLES = {
 
 
 def luhn(digits: str) -> bool:
-    odd = [int(c) for c in digits[::-1]]
-    return sum(odd[::2]) % 10 == sum(sum(divmod(2 * d, 10)) for d in odd[1::2]) % 10 == 0 or (
-        sum(odd[::2]) + sum(sum(divmod(2 * d, 10)) for d in odd[1::2])) % 10 == 0
+    doubled = sum(sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])
+    return (sum(int(c) for c in digits[::-2]) + doubled) % 10 == 0
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -73,9 +72,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         elif kind in ("card", "ssn", "phone", "iban"):
             value = regex.sub(r"[^\p{L}\d+]", "", value)
         elif kind == "name":
+            # given name and surname are entities of their own: "Mr John Smith" and "Mr Smith" stay one person
             title = _GENDER.search(text[max(0, m.start() - 12): m.start()])
-            gender = next(g for g, ts in TITLES.items() if title and title[1] in ts) if title else "n"
-            kind, value = f"name_{gender}", " ".join(value.lower().split())
+            gender = next((g for g, ts in TITLES.items() if title and title[1] in ts), "n")
+            words = list(regex.finditer(r"\S+", value))
+            for k, w in enumerate(words):
+                out.append((m.start() + w.start(), m.start() + w.end(), "surname" if k == len(words) - 1 else f"given_{gender}", w[0].lower()))
+            continue
         out.append((m.start(), m.end(), kind, value))
     return out
 
@@ -133,11 +136,10 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
         return value[:keep] + draw.like(value[keep:])
     if kind == "iban":
         return value[:2] + draw.like(value[2:])
-    if kind.startswith("name"):
+    if kind.startswith(("given", "surname")):
         script = "cyrillic" if regex.search(r"\p{Cyrillic}", value) else "greek" if regex.search(r"\p{Greek}", value) else "latin"
-        words = ["".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3)) for _ in value.split()]
-        words[0] += ENDINGS[script][kind[-1]]
-        return " ".join(words)
+        word = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(4))
+        return word + ("" if kind == "surname" else ENDINGS[script][kind[-1]])
     hexadecimal = not regex.search(r"[^0-9a-f]", value)
     prefix = regex.match(r"AKIA|ASIA|(?:sk|ghp|gho|xox[bp]|glpat)[-_]", value)
     at = prefix.end() if prefix else 0
@@ -151,23 +153,22 @@ def dress(kind: str, said: str, canonical: str) -> str:
         return "".join(next(rest, "") if c.isalnum() or c == "+" else c for c in said)
     if kind == "email":
         return canonical.upper() if said.isupper() else canonical
-    if kind.startswith("name"):
-        own = said.split()
-        return " ".join(w.upper() if o.isupper() and len(o) > 1 else w.capitalize() for o, w in zip(own, canonical.split()))
+    if kind.startswith(("given", "surname")):
+        return canonical.upper() if said.isupper() and len(said) > 1 else canonical.capitalize()
     return canonical
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct ``(text_key, kind, value)`` of all texts; the key is the text's hash."""
+    """Distinct ``(__text_key, kind, value)`` of all texts; the key is the text's hash."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {(k, kind, value) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, _, kind, value in find(text)}
             out = sorted(rows)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))],
-                                             ["text_key", "kind", "value"])
+                                             ["__text_key", "kind", "value"])
 
-    rows = docs.where(F.col(text_col).rlike(MAYBE)).select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, "text_key bigint, kind string, value string")
+    rows = docs.where(F.col(text_col).rlike(MAYBE)).select(F.xxhash64(text_col).alias("__text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(task, "__text_key bigint, kind string, value string")
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -201,11 +202,11 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
     found = store(mentions(base, text_col), "mentions")
     table = assign(store(found.select("kind", "value").distinct(), "entities"), key)
     entry = F.struct("kind", "value", "surrogate")
-    by_text = found.join(table, ["kind", "value"]).groupBy("text_key").agg(F.collect_set(entry).alias("__entries"))  # entities of one text
+    by_text = found.join(table, ["kind", "value"]).groupBy("__text_key").agg(F.collect_set(entry).alias("__entries"))  # entities of one text
     by_text = store(by_text, "by_text")
     maybe = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
     plain = base.where(~maybe).withColumn("n_entities", F.lit(0).cast("bigint"))
-    held = base.where(maybe).withColumn("__key", F.xxhash64(text_col)).join(by_text, F.col("__key") == F.col("text_key"), "left").drop("__key", "text_key")
+    held = base.where(maybe).withColumn("__own_key", F.xxhash64(text_col)).join(by_text, F.col("__own_key") == F.col("__text_key"), "left").drop("__own_key", "__text_key")
     schema = plain.schema
     place = base.columns.index(text_col)
 
