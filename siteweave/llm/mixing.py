@@ -90,7 +90,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ahead = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("group", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("start")).join(shares, "group")
     inside = Window.partitionBy("group", "range").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(store(starts, "starts"), ["group", "range"])
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+        store(starts, "starts").hint("merge"), ["group", "range"])  # dealt by the window's keys already; never sent to all tasks
     copies = []
     for k in range(cap):
         place = F.col("start") + F.col("inside") + F.col("source_size") * k
