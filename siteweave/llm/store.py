@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 from siteweave.session import shared_folder
@@ -9,9 +11,13 @@ from siteweave.session import shared_folder
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and outlives lost executors."""
-    path = shared_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") and sc.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))  # one process, as in tests; a cluster names its shared folder
+    path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def buckets(df: DataFrame) -> int:
