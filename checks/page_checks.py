@@ -130,7 +130,7 @@ def heads(spark, sf):
 @check("pg7_meta_tags", O.WITH + r"""SELECT page_id, CAST(len(regexp_extract_all(markup, '<meta ')) AS BIGINT) AS metas,
   regexp_extract(markup, '<meta charset="([^"]*)"', 1) AS charset FROM base""")
 def pg7(spark, sf):
-    metas = D.meta_tags(D.parse(crawl(spark, sf)))
+    metas = signals(spark, sf).select("page_id", P.meta_maps(F.col("metas")).alias("meta_tags"))
     return metas.select("page_id", F.size("meta_tags").cast("bigint").alias("metas"),
                         F.array_max(F.transform("meta_tags", lambda m: F.try_element_at(m, F.lit("charset")))).alias("charset"))
 
@@ -285,11 +285,26 @@ def lk13(spark, sf):
     return L.counts(links(spark, sf))
 
 
-@check("lk14_internal_buckets", O.WITH + """, b AS (SELECT site_id, url, page_id, link_seq, CASE WHEN is_about THEN 'About Pages' WHEN is_contact THEN 'Contact Pages' ELSE 'General Pages' END AS bucket
-  FROM links WHERE link_type = 'internal'), r AS (SELECT *, row_number() OVER (PARTITION BY site_id, bucket ORDER BY page_id, link_seq) AS rn FROM b)
+PLACED_SQL = """, placed AS (SELECT l.*, contains(b.markup, 'site-header') AND l.link_seq < len(regexp_extract_all(split_part(b.markup, '</nav>', 1), '<a ')) AS is_navigation,
+    contains(b.markup, '<footer') AND l.link_seq >= len(regexp_extract_all(split_part(b.markup, '<footer', 1), '<a ')) AS is_footer
+  FROM links l JOIN base b USING (page_id))"""
+
+
+def placed(spark: SparkSession, sf: str) -> DataFrame:
+    return L.placed_links(D.parse(crawl(spark, sf)))
+
+
+@check("lk1_lk7_placed_links", O.WITH + PLACED_SQL + """ SELECT page_id, site_id, source_page, url, anchor_text, link_type, is_contact, is_about, is_google_maps, is_navigation, is_footer FROM placed""")
+def lk1_placed(spark, sf):
+    return placed(spark, sf).drop("link_seq", "context")
+
+
+@check("lk14_internal_buckets", O.WITH + PLACED_SQL + """, b AS (SELECT site_id, url, page_id, link_seq, CASE WHEN is_about THEN 'About Pages' WHEN is_contact THEN 'Contact Pages'
+    WHEN is_navigation THEN 'Navigation Links' WHEN is_footer THEN 'Footer Links' ELSE 'General Pages' END AS bucket
+  FROM placed WHERE link_type = 'internal'), r AS (SELECT *, row_number() OVER (PARTITION BY site_id, bucket ORDER BY page_id, link_seq) AS rn FROM b)
 SELECT site_id, bucket, count(*) AS links, string_agg(url, ' ' ORDER BY rn) FILTER (rn <= 5) AS urls, greatest(count(*) - 5, 0) AS more FROM r GROUP BY 1, 2""")
 def lk14(spark, sf):
-    return L.internal_buckets(links(spark, sf)).withColumn("urls", F.array_join("urls", " "))
+    return L.internal_buckets(placed(spark, sf)).drop("first").withColumn("urls", F.array_join("urls", " "))
 
 
 @check("lk15_external_domains", O.WITH + """, d AS (SELECT site_id, regexp_extract(url, '^(?:[A-Za-z]+:)?//([^/?#]*)', 1) AS domain, count(*) AS links, min(page_id * 100000 + link_seq) AS seen
@@ -312,7 +327,7 @@ def reached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pages = crawl(spark, sf)
     every = L.page_links(page_signals(pages))
     starts = L.main_pages(pages).select("site_id", F.col("main_url").alias("url"))
-    return G.reach(starts, G.site_edges(every), max_urls=10**9), every
+    return G.reach(starts, G.site_edges(every), max_depth=45), every
 
 
 BFS_SQL = """, bfs(site_id, url, depth) AS (
@@ -345,7 +360,7 @@ def lk17_parts(spark, sf):
     edges = TB.derived(spark, sf, TREE_SQL, "part")
     node = lambda c: (F.col(c).cast("int") % 60).cast("string").alias(c)
     starts = edges.select("site_id", F.lit("1").alias("url")).distinct()
-    return big(G.reach(starts, edges.select("site_id", node("source"), node("url"), "link_seq")).select("site_id", "url", "depth"), "depth")
+    return big(G.reach(starts, edges.select("site_id", node("source"), node("url"), "link_seq"), max_depth=45).select("site_id", "url", "depth"), "depth")
 
 
 @check("lk18_stored_structure", O.WITH + """, u AS (SELECT site_id, main_url AS url FROM mains UNION SELECT site_id, url FROM links WHERE link_type = 'internal'),
@@ -418,7 +433,7 @@ def snk2_records(spark, sf):
 
     pages = crawl(spark, sf)
     sig = page_signals(pages)
-    rows = sinks.page_records(sig, D.parse(pages), M.all_maps(sig))
+    rows = sinks.page_records(sig, M.all_maps(sig), reached(spark, sf)[0])
     return rows.withColumn("meta_tags", F.to_json("meta_tags")).withColumn("json_ld", F.to_json("json_ld")).withColumn(
         "google_maps_found", F.to_json("google_maps_found"))
 

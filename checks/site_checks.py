@@ -468,14 +468,10 @@ def ss5(spark, sf):
     return S.batch_outcome(readers.seeds(pages), L.main_pages(P.accepted(pages)))
 
 
-def capped(spark: SparkSession, sf: str) -> DataFrame:
-    return S.capped_pages(crawl(spark, sf))
-
-
 @check("lk20_capped_pages", O.WITH + """, r AS (SELECT b.page_id, b.url, row_number() OVER (PARTITION BY b.site_id ORDER BY b.page_id <> m.page_id, b.url, b.page_id) AS rn FROM base b JOIN mains m USING (site_id))
 SELECT page_id, url FROM r WHERE rn <= 100""")
 def capped_100(spark, sf):
-    return S.capped_pages(crawl(spark, sf), limit=100).select("page_id", "url")
+    return S.capped_pages(crawl(spark, sf), 100).select("page_id", "url")
 
 
 SUMMARY_SQL = O.MAPS + LD_NAMES + SIZES + f""", t AS (SELECT m.site_id, m.main_url, b.status_code, nullif({TITLE}, '') AS t FROM mains m JOIN base b USING (page_id)),
@@ -508,9 +504,9 @@ def ss7(spark, sf):
 
 @check("ss6_sitemap_report")
 def ss6(spark, sf):
-    pages = capped(spark, sf)
+    pages = crawl(spark, sf)
     sites = S.site_summary(pages, analysis_date="2026-01-02 03:04:05")
-    return R.sitemap_report(sites, L.page_links(page_signals(pages)))
+    return R.sitemap_report(sites, L.placed_links(D.parse(pages)))
 
 
 @check("snk4_master_json")

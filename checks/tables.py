@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import corpus as C
-from siteweave.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; small ones come as one split and are dealt out to all cores."""
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A given table, dealt out to all cores."""
+    scratch(spark)
+    return spark.read.parquet(f"{sf}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
+
+
+def scratch(spark: SparkSession) -> None:
+    """A local session that names no shared folder gets a folder of its own; any other has to name one."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") and sc.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
 
 
 def derived(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:

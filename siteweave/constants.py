@@ -391,3 +391,6 @@ COMPILED_COLUMNS = (
        "social_links_count", "contact_links_count", "about_us_text", "keywords", "notes_for_sdr",
        "discovery_summary", "status"]
 )
+
+# fixed value: an attribute that may name an about section
+ABOUT_MARKER = r"""(?:id|class)\s*=\s*["'][^"']*(?:about|story|mission|company)"""

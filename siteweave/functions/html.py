@@ -22,7 +22,8 @@ _ENTITIES = "\x02".join(f"{name}\x03{chr(code)}" for name, code in name2codepoin
 _C1 = "".join(map(chr, range(128, 160)))
 _CP1252 = bytes(range(128, 160)).decode("cp1252", "replace")
 # attributes of one tag: quoted values may hold '>', unquoted ones may hold quotes
-ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,400}+"""
+# groups of 400, each matched for good, keep the matcher's stack small without a bound on their number
+ATTRS = r"""(?:(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){1,400}+){0,4000}+"""
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script(?=[\s/>]).*?(?:</script\s*>|\z)"
@@ -93,7 +94,7 @@ def attr(attrs: Column, name: str, decode: bool = True) -> Column:
     never found inside another attribute's value.
     """
     value = r"""("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
-    skip = rf"""(?:[\s/]++|(?!{name}\s*=)[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+){{0,400}}+"""
+    skip = rf"""(?:(?:[\s/]++|(?!{name}\s*=)[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+){{1,400}}+){{0,4000}}+"""
     raw = blank_to_null(F.regexp_extract(attrs, rf"(?is)\A{skip}{name}\s*+=\s*+{value}", 1))
     value = F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2")
     return decode_entities(value, strict=True) if decode else value

@@ -21,4 +21,5 @@ def unique_pages(pages: DataFrame) -> DataFrame:
     task.  The page bodies are then filtered by the surviving ids.
     """
     keep = pages.groupBy("content_hash").agg(F.min("page_id").alias("page_id"))
-    return pages.join(keep.select("page_id"), "page_id", "left_semi")
+    # the hash comes with the ids, so the bodies that are joined are not hashed again
+    return pages.drop("content_hash").join(keep, "page_id").select(*pages.columns)

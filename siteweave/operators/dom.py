@@ -99,12 +99,6 @@ def elements(dom: DataFrame) -> DataFrame:
     return unnest_structs(dom, ["page_id", "url"], rows)
 
 
-def meta_tags(dom: DataFrame) -> DataFrame:
-    """PG7: attribute maps of all meta tags of a page, in order."""
-    metas = F.transform(F.filter(_nodes(), lambda n: n["tag"] == "meta"), lambda n: n["attrs"])
-    return dom.select("page_id", "url", metas.alias("meta_tags"))
-
-
 # --- links with their place on the page --------------------------------------------------
 
 def _near(node: Column, words: list[str], tag: str | None = None) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteweave import constants as K
 from siteweave.operators.links import complexity
 from siteweave.session import materialise, shared_folder
 
 
-def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_SITE,
-          max_depth: int = K.MAX_CRAWL_DEPTH) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame, max_urls: int | None = None, max_depth: int | None = None) -> DataFrame:
     """LK17: URLs discovered from the main URL of each site, level by level, all sites at once.
 
     ``starts(site_id, url)``, ``edges(site_id, source, url, link_seq)`` with
@@ -19,12 +19,15 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_S
     ``position`` is the place in the site's queue, ``processed`` tells whether
     the page was opened before the site reached ``max_urls``.
 
+    Without ``max_urls`` every page is opened, so no queue is kept: ``position``
+    is null and a level costs joins and aggregates by (site, url) only.
+
     The cap acts between pages, as in a queue: a page is opened only while
     fewer than ``max_urls`` URLs are known, and then all its links count.
     Within a level, new URLs are ordered by (position of the parent, place on
     the page); the number known before a parent is opened is the rank of its
-    first new URL.  A site has at most ``max_urls`` opened pages in all, which
-    bounds the per-site windows.
+    first new URL.  A site has at most ``max_urls`` opened pages in all, whose
+    links are what the per-site windows rank.
 
     Each level is written to the shared folder and read back, so a lost
     executor costs one level and plans stay small.  The loop itself fetches
@@ -42,8 +45,8 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_S
     starts.select("site_id", "url", F.lit(0).cast("bigint").alias("parent"), one.alias("position"), one.alias("known")) \
         .write.parquet(f"{folder}/depth=0")
     by_site = Window.partitionBy("site_id")
-    for depth in range(max_depth):
-        frontier = level(depth).where(F.col("known") < max_urls)
+    for depth in count() if max_depth is None else range(max_depth):
+        frontier = level(depth) if max_urls is None else level(depth).where(F.col("known") < max_urls)
         if frontier.isEmpty():
             break
         seen = spark.read.schema(schema).parquet(f"{folder}/depth=*").select("site_id", "url")
@@ -52,6 +55,10 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_S
         new = found.groupBy("site_id", "url").agg(
             F.min(F.struct("parent", "link_seq")).alias("at"), F.max("known").alias("known")
         ).join(seen, ["site_id", "url"], "left_anti")
+        if max_urls is None:
+            none = F.lit(None).cast("bigint")
+            new.select("site_id", "url", none.alias("parent"), none.alias("position"), "known").write.parquet(f"{folder}/depth={depth + 1}")
+            continue
         # known + URLs first seen on earlier parents = URLs known when the parent is opened
         ranked = new.withColumn("before", F.col("known") + F.rank().over(by_site.orderBy("at.parent")) - 1)
         kept = ranked.where(F.col("before") < max_urls).withColumn(
@@ -61,6 +68,8 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int = K.MAX_PAGES_PER_S
             (F.col("known") + F.count("*").over(by_site)).alias("known"),
         ).write.parquet(f"{folder}/depth={depth + 1}")
     levels = spark.read.schema(schema + ", depth int").option("basePath", folder).parquet(folder)
+    if max_urls is None:
+        return levels.select("site_id", "url", "depth", F.lit(None).cast("bigint").alias("position"), F.lit(True).alias("processed"))
     # the parent whose links reach the cap is the last one opened on its level
     full = levels.where((F.col("position") >= max_urls) & (F.col("depth") > 0)).groupBy("site_id", (F.col("depth") - 1).alias("depth")).agg(
         F.min("parent").alias("last"))

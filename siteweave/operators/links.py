@@ -10,21 +10,40 @@ from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
 from siteweave.functions.rows import unnest
+from siteweave.operators import dom as D
 from siteweave.operators.signals import anchor_rows
 from siteweave.operators.topk import top_k
+from siteweave.session import materialise
 
-SECTIONS = {"internal": 0, "external": 1, "social": 2, "contact": 3}
+
+def _followable(anchors: DataFrame, *more: Column | str) -> DataFrame:
+    """LK10: anchors that lead somewhere, resolved; excluded file types are left out."""
+    href = F.col("href")
+    kept = anchors.where((href != "") & ~href.startswith("#") & ~href.startswith("javascript:"))
+    resolved = kept.select("page_id", "site_id", "source_page", "link_seq", U.resolve(F.col("source_page"), href).alias("url"), *more)
+    return resolved.where(~T.ends_with_any(F.lower(F.col("url")), K.EXCLUDED_EXTENSIONS))
 
 
 def discovered(signals: DataFrame) -> DataFrame:
     """LK1, LK10: every followable anchor of every page, resolved, in document order."""
-    href = F.col("href")
-    kept = anchor_rows(signals).where((href != "") & ~href.startswith("#") & ~href.startswith("javascript:"))
-    resolved = kept.select(
-        "page_id", "site_id", "source_page", "link_seq", U.resolve(F.col("source_page"), href).alias("url"),
-        H.compact_text_of(H.piece_inner(F.col("piece"))).alias("anchor_text"),
-    )
-    return resolved.where(~T.ends_with_any(F.lower(F.col("url")), K.EXCLUDED_EXTENSIONS))
+    return _followable(anchor_rows(signals), H.compact_text_of(H.piece_inner(F.col("piece"))).alias("anchor_text"))
+
+
+def placed_links(dom: DataFrame) -> DataFrame:
+    """LK1 with the link's place: navigation and footer flags (LK7) and context (LK9), classified.
+
+    Ancestors are known to the tree only, so these links come from it; for
+    questions without them :func:`page_links` stays in the JVM.
+    """
+    anchors = D.discovery_places(dom).withColumnsRenamed({"url": "source_page", "elem_seq": "link_seq"})
+    anchors = anchors.withColumn("site_id", U.site_of(F.col("source_page"))).withColumn("link_seq", F.col("link_seq").cast("bigint"))
+    return classified(_followable(anchors, "anchor_text", "is_navigation", "is_footer", "context"))
+
+
+def with_depth(links: DataFrame, reached: DataFrame) -> DataFrame:
+    """LK1: the depth of each link, one below its page; null where the page was not reached."""
+    depth = reached.select("site_id", F.col("url").alias("source_page"), (F.col("depth") + 1).cast("int").alias("depth"))
+    return links.join(depth, ["site_id", "source_page"], "left")
 
 
 def link_type(url: Column, site: Column) -> Column:
@@ -93,7 +112,8 @@ def first_links(links: DataFrame) -> DataFrame:
     large site spreads over all tasks because the URL is part of the key.
     """
     order = F.struct("page_id", "link_seq")
-    payload = F.struct("source_page", "anchor_text", "is_contact", "is_about")
+    places = [c for c in ("depth", "is_navigation", "is_footer", "context") if c in links.columns]
+    payload = F.struct("source_page", "anchor_text", "is_contact", "is_about", *places)
     first = by_section(links).groupBy("site_id", "section", "url").agg(
         F.min(F.struct(order.alias("pos"), payload.alias("row"))).alias("first")
     )
@@ -122,23 +142,22 @@ def bucket(is_about: Column, is_contact: Column, is_navigation: Column, is_foote
 
 
 def internal_buckets(links: DataFrame, shown: int = 5) -> DataFrame:
-    """LK14: per site and bucket the number of links, the first five URLs and how many are left.
+    """LK14: per site and bucket the number of links, the first five URLs, how many are left and where the first one stands.
 
-    ``links`` holds is_navigation / is_footer where known; they default to false.
+    ``links`` come from :func:`placed_links`.
     """
-    nav = F.col("is_navigation") if "is_navigation" in links.columns else F.lit(False)
-    foot = F.col("is_footer") if "is_footer" in links.columns else F.lit(False)
     rows = links.where(F.col("link_type") == "internal").select(
-        "site_id", bucket(F.col("is_about"), F.col("is_contact"), nav, foot).alias("bucket"),
+        "site_id", bucket(F.col("is_about"), F.col("is_contact"), F.col("is_navigation"), F.col("is_footer")).alias("bucket"),
         "page_id", "link_seq", "url",
     )
+    rows = materialise(rows, "buckets")  # read twice: once for the totals, once for the first URLs
     keys = ["site_id", "bucket"]
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("links"))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("links"), F.min(F.struct("page_id", "link_seq")).alias("first"))
     firsts = top_k(rows, keys, [F.col("page_id"), F.col("link_seq")], shown).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rn", "url"))).alias("shown"))
     return totals.join(firsts, keys).select(
         *keys, "links", F.col("shown.url").alias("urls"),
-        F.greatest(F.col("links") - shown, F.lit(0)).alias("more"),
+        F.greatest(F.col("links") - shown, F.lit(0)).alias("more"), "first",
     )
 
 
@@ -162,15 +181,11 @@ def site_structure(pages: DataFrame, links: DataFrame) -> DataFrame:
     counted by many tasks.
     """
     main = main_pages(pages).select("site_id", F.col("main_url").alias("url"), F.lit(0).alias("n"))
-    targets = links.where(F.col("link_type") == "internal").select("site_id", "url", F.lit(1).alias("n"))
-    others = links.where(F.col("link_type") != "internal").groupBy("site_id").agg(F.count("*").alias("outside"))
-    per_url = main.unionByName(targets).groupBy("site_id", "url").agg(F.sum("n").alias("n"))
-    sites = per_url.groupBy("site_id").agg(F.count("*").alias("total_pages"), F.sum("n").alias("inside"))
-    return sites.join(others, "site_id", "left").select(
-        "site_id", "total_pages",
-        (F.col("inside") + F.coalesce("outside", F.lit(0))).alias("total_links"),
-        complexity(F.col("total_pages")).alias("complexity"),
-    )
+    inside = F.when(F.col("link_type") == "internal", F.col("url"))
+    per_url = main.unionByName(links.select("site_id", inside.alias("url"), F.lit(1).alias("n"))).groupBy("site_id", "url").agg(F.sum("n").alias("n"))
+    # links that lead elsewhere have no URL here: they count as links, not as pages
+    sites = per_url.groupBy("site_id").agg(F.count("url").alias("total_pages"), F.sum("n").alias("total_links"))
+    return sites.select("site_id", "total_pages", "total_links", complexity(F.col("total_pages")).alias("complexity"))
 
 
 def main_pages(pages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -199,6 +214,5 @@ def pages_to_analyse(pages: DataFrame, links: DataFrame, limit: int = K.MAX_PAGE
 def unprocessed(pages: DataFrame, processed: DataFrame) -> DataFrame:
     """LK21: pages whose URL was not handled before, each URL once."""
     done = processed.select("url").distinct()
-    fresh = pages.join(done, "url", "left_anti")
-    keep = fresh.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return fresh.join(keep.select("page_id"), "page_id", "left_semi")
+    keep = pages.select("url", "page_id").join(done, "url", "left_anti").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return pages.join(keep.select("page_id"), "page_id", "left_semi")

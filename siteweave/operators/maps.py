@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
-from siteweave.functions.rows import unnest
+from siteweave.functions.rows import unnest, unnest_structs
 from siteweave.operators.signals import anchor_rows, ld_rows
 
 
@@ -62,9 +60,25 @@ def structured(signals: DataFrame) -> DataFrame:
 
 
 def all_maps(signals: DataFrame) -> DataFrame:
-    """MP1-MP4 as one table: (page_id, site_id, source_page, method, map_url)."""
-    parts = [direct(signals), iframes(signals), scripts(signals), structured(signals)]
-    return reduce(DataFrame.unionByName, parts)
+    """MP1-MP4 as one table: (page_id, site_id, source_page, method, map_url).
+
+    The pieces of a page are tagged by method and unnested together, so the
+    pages are read once.
+    """
+    def tagged(method: str, pieces: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.transform(F.coalesce(F.col(pieces), none), lambda p: F.struct(F.lit(method).alias("method"), p.alias("piece")))
+
+    pieces = F.concat(tagged("direct", "anchors"), tagged("iframe", "iframes"), tagged("javascript", "script_maps"), tagged("structured", "ld"))
+    rows = unnest_structs(signals, ["page_id", "site_id", F.col("url").alias("source_page")], pieces)
+    method, piece = F.col("method"), F.col("piece")
+    target = F.when(method == "direct", H.attr(H.piece_attrs(piece), "href")).when(method == "iframe", H.attr(piece, "src"))
+    docs = rows.select("page_id", "site_id", "source_page", "method", "piece", target.alias("target"),
+                       F.when(method == "structured", F.try_parse_json(T.strip(piece))).alias("doc"))
+    url = F.when(method.isin("direct", "iframe"), U.resolve(F.col("source_page"), F.col("target"))).when(method == "javascript", piece).otherwise(structured_url())
+    found = docs.select("page_id", "site_id", "source_page", "method", url.alias("map_url")).where("map_url <> ''")
+    lowered = F.lower("map_url")
+    return found.where(F.when(method == "direct", T.contains_any(lowered, K.MAP_HOSTS)).when(method == "iframe", T.contains_any(lowered, K.MAP_IFRAME_HOSTS)).otherwise(True))
 
 
 def priority(url: Column) -> Column:

@@ -47,7 +47,7 @@ def keywords(signals: DataFrame, k: int = 20) -> DataFrame:
     return first_values(rows, "keyword", ["site_id"], k).withColumnRenamed("joined", "keywords")
 
 
-def about_fallback(sections: DataFrame, limit: int = 3000, rows_kept: int = 60) -> DataFrame:
+def about_fallback(sections: DataFrame, limit: int = 3000) -> DataFrame:
     """MD5: distinct sections over 50 characters in page order, joined by a blank line, 3000 characters.
 
     Every kept section has over 50 characters, so the first ``limit / 50``
@@ -59,7 +59,7 @@ def about_fallback(sections: DataFrame, limit: int = 3000, rows_kept: int = 60)
     order = F.struct("page_id", "selector", "elem_seq")
     first = long.groupBy("site_id", F.md5(F.lower("section_text")).alias("digest")).agg(
         F.min(F.struct(order.alias("pos"), "section_text")).alias("s"))
-    kept = top_k(first.select("site_id", "s.pos", "s.section_text"), ["site_id"], [F.col("pos")], rows_kept)
+    kept = top_k(first.select("site_id", "s.pos", "s.section_text"), ["site_id"], [F.col("pos")], limit // 50 + 1)
     joined = F.transform(F.array_sort(F.collect_list(F.struct("rn", "section_text"))), lambda s: s["section_text"])
     return kept.groupBy("site_id").agg(F.substring(F.array_join(joined, "\n\n"), 1, limit).alias("about_text"))
 
@@ -77,9 +77,8 @@ def about(pages: DataFrame, signals: DataFrame, links: DataFrame) -> DataFrame:
     named = best.join(main.select("page_id", "about_text"), "page_id").where("about_text is not null")
     # read twice below, so stored
     named = materialise(named.select("site_id", "about_text", F.col("url").alias("about_url")), "about_texts")
-    words = F.lower("html").rlike(r"""(?:id|class)\s*=\s*["'][^"']*(?:about|story|mission|company)""")
-    wanted = signals.select("site_id", "page_id").join(named.select("site_id"), "site_id", "left_anti")
-    left = body.where(words).join(wanted.select("page_id"), "page_id", "left_semi")
+    wanted = signals.where("about_marker").select("site_id", "page_id").join(named.select("site_id"), "site_id", "left_anti")
+    left = body.join(wanted.select("page_id"), "page_id", "left_semi")
     sections = D.about_sections(D.parse(left)).withColumn("site_id", U.site_of(F.col("url")))
     rest = about_fallback(sections).withColumn("about_url", F.lit(None).cast("string"))
     return named.unionByName(rest)

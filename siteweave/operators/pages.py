@@ -13,6 +13,7 @@ from siteweave.functions import html as H
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
 from siteweave.functions.rows import unnest
+from siteweave.session import materialise
 
 
 # --- labels of one fetch -----------------------------------------------------
@@ -219,11 +220,27 @@ def images(signals: DataFrame) -> DataFrame:
     return found.where(T.ends_with_any(base, K.IMAGE_EXTENSIONS))
 
 
+def meta_maps(metas: Column) -> Column:
+    """PG7: attribute maps of all meta tags of a page, in order; of a repeated attribute the last one counts."""
+    def pairs(attrs: Column) -> Column:
+        found = F.regexp_extract_all(attrs, F.lit(r"""(?s)([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""), 0)
+        return F.transform(found, lambda p: F.struct(
+            F.lower(F.regexp_extract(p, r"\A([^\s=]+)", 1)).alias("k"),
+            F.when(p.contains("="), H.decode_entities(F.regexp_replace(
+                F.regexp_extract(p, r"(?s)\A[^\s=]+\s*=\s*(.*)\z", 1), r"""(?s)\A(["'])(.*)\1\z""", "$2"), strict=True)).alias("v")))
+
+    def as_map(attrs: Column) -> Column:
+        return T.let(pairs(attrs), lambda ps: F.map_from_entries(F.filter(ps, lambda p, i: ~F.exists(
+            F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))))
+
+    return F.transform(metas, as_map)
+
+
 def page_names(pages: DataFrame) -> DataFrame:
     """PG19 over (site_id, page_id, url); the index is the page's position in its site.
 
-    The position comes from per-site, per-bucket counts and a rank inside the
-    bucket, so no task ranks a whole site.
+    The position comes from counts and ranks in ranges of a site's pages, so no
+    task ranks a whole site.
     """
     numbered = site_positions(pages.select("page_id", "url", U.site_of(F.col("url")).alias("site_id")))
     return numbered.select(
@@ -233,15 +250,18 @@ def page_names(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_positions(rows: DataFrame, bucket_width: int = 4096) -> DataFrame:
+def site_positions(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """Zero-based position of each page in its site by page_id, without one task per site.
 
-    Rows are ranked inside (site, range of page_id); the range's offset is the
-    running count of the ranges before it, a table of one row per range.
+    Rows are dealt out in ranges of (site, page_id) of about equal numbers of
+    rows, whatever the ids are like; a range's offset in a site is the running
+    count of those before it.  The dealt rows are stored, so that both uses see
+    the same ranges.
     """
     from pyspark.sql import Window
 
-    keyed = rows.withColumn("__b", F.floor(F.col("page_id") / bucket_width))
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = materialise(rows.repartitionByRange(n, "site_id", "page_id").withColumn("__b", F.spark_partition_id()), "positions")
     sizes = keyed.groupBy("site_id", "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("site_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -51,6 +51,8 @@ def page_signals(pages: DataFrame) -> DataFrame:
         F.when(marked, F.filter(F.regexp_extract_all(html, F.lit(H.JSON_LD_BODY), 1), lambda s: s != "")).alias("ld"),
         T.contains_any("lower(html)", K.VIDEO_MARKERS).alias("video_marker"),
         F.lower(html).contains("viewport").alias("viewport"),
+        T.contains_any("html", [K.MICRODATA_PRODUCT] + K.CARD_CLASSES).alias("product_marker"),
+        F.lower(html).rlike(K.ABOUT_MARKER).alias("about_marker"),
     )
 
 

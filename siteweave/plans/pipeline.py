@@ -2,32 +2,76 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.operators import dom as D
 from siteweave.operators import graph as G
 from siteweave.operators import links as L
+from siteweave.operators import maps as M
 from siteweave.operators import pages as P
 from siteweave.operators.signals import page_signals
 from siteweave.plans import compiler, reports, summary
+from siteweave.session import materialise
 from siteweave.sources import sinks
 
 
-def analyse(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "") -> DataFrame:
-    """Accept pages, walk the link graph, summarise every site."""
+@dataclass
+class Crawl:
+    """Tables of one analysed crawl; all but the pages are stored."""
+
+    pages: DataFrame
+    signals: DataFrame
+    links: DataFrame
+    reached: DataFrame
+    sites: DataFrame
+
+
+def crawl(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",
+          max_urls: int | None = None, max_depth: int | None = None) -> Crawl:
+    """Accept pages, read signals and links once, walk the link graph, summarise every site.
+
+    Signals and links are stored first; the graph, its counts and the summary
+    read those.  Nothing is cut unless ``max_urls`` or ``max_depth`` is given:
+    they bound the walk, and so the totals and depth it finds.
+    """
     good = P.accepted(pages)
-    links = L.page_links(page_signals(good))
-    starts = L.main_pages(good, seeds).select("site_id", F.col("main_url").alias("url"))
-    reached = G.reach(starts, G.site_edges(links))
-    return summary.site_summary(good, seeds, G.crawl_stats(reached, links), as_of_year, analysis_date)
+    signals = materialise(page_signals(good), "signals")
+    links = materialise(L.placed_links(D.parse(good)), "links")
+    starts = L.main_pages(signals, seeds).select("site_id", F.col("main_url").alias("url"))
+    reached = materialise(G.reach(starts, G.site_edges(links), max_urls, max_depth), "reached")
+    stats = materialise(G.crawl_stats(reached, links), "crawl_stats")
+    sites = summary.site_summary(good, seeds, stats, as_of_year, analysis_date, signals, links)
+    return Crawl(good, signals, links, reached, sites)
 
 
-def write_all(sites: DataFrame, out: str) -> None:
-    """SNK1 (head), SNK4, SNK5, SNK7."""
+def analyse(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",
+            max_urls: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """The site records of :func:`crawl`."""
+    return crawl(pages, seeds, as_of_year, analysis_date, max_urls, max_depth).sites
+
+
+def write_sites(sites: DataFrame, out: str) -> None:
+    """SNK1 (head), SNK4, SNK5, SNK7: what follows from the site records."""
     sinks.write_csv(summary.flatten(sites), f"{out}/summary_csv")
-    sinks.write_text(sinks.master_json(sites), f"{out}/master_json", "document")
-    sinks.write_text(sinks.sitemap_head(sites), f"{out}/sitemap_json", "document")
-    sinks.write_text(reports.business_report(sites), f"{out}/reports")
+    sinks.write_documents(sinks.master_json(sites), f"{out}/master_json")
+    sinks.write_documents(sinks.sitemap_head(sites), f"{out}/sitemap_json")
+    sinks.write_documents(reports.business_report(sites), f"{out}/reports")
+
+
+def write_all(done: Crawl, out: str) -> None:
+    """SNK1-SNK5, SNK7, SNK8 and SS6 of a crawl."""
+    write_sites(done.sites, out)
+    sinks.write_documents(sinks.sitemap_parts(L.with_depth(done.links, done.reached)), f"{out}/sitemap_links")
+    sinks.write_documents(reports.sitemap_report(done.sites, done.links), f"{out}/sitemap_reports")
+    records = materialise(sinks.page_records(done.signals, M.all_maps(done.signals), done.reached), "page_records")
+    sinks.write_documents(sinks.page_json(records), f"{out}/page_json")
+    sinks.write_documents(sinks.html_files(done.pages), f"{out}/html")
+    content = done.signals.select("page_id", F.col("text").alias("content"))
+    bodies = records.select("page_id", "url", "title", F.col("meta_tags").alias("meta")).join(content, "page_id")
+    sinks.write_documents(sinks.unique_page_json(bodies), f"{out}/unique_pages")
 
 
 def compile_csv(report_rows: DataFrame, out: str) -> None:

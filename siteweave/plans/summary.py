@@ -32,14 +32,11 @@ from siteweave.operators.topk import top_k
 from siteweave.session import materialise
 
 
-def capped_pages(pages: DataFrame, seeds: DataFrame | None = None, limit: int = K.MAX_PAGES_PER_SITE) -> DataFrame:
+def capped_pages(pages: DataFrame, limit: int, seeds: DataFrame | None = None) -> DataFrame:
     """LK20 on stored pages: at most ``limit`` per site, main page first, then by URL.
 
-    This is the engine's page budget per site, a feature with a parameter; it
-    also bounds what later steps collect per site.  Only the cut-off URL of
-    each oversized site is joined back.  That table is stored first: its size
-    is then known, and the optimizer broadcasts it only if it is small, which
-    leaves the page bodies where they are.
+    Ranks and cuts see ids and URLs only; page bodies are filtered by the ids
+    that are left, so no site's bodies meet in one task.
     """
     mains = L.main_pages(pages, seeds).select("page_id", F.lit(True).alias("is_main"))
     rows = pages.select("page_id", "url", U.site_of(F.col("url")).alias("site_id"))
@@ -47,12 +44,10 @@ def capped_pages(pages: DataFrame, seeds: DataFrame | None = None, limit: int =
     cut = top_k(marked, ["site_id"], [F.col("later"), F.col("url"), F.col("page_id")], limit).where(F.col("rn") == limit)
     cut = cut.select("site_id", F.col("url").alias("cut_url"), F.col("page_id").alias("cut_page"))
     first = marked.where("is_main").join(cut, "site_id").select("site_id", "cut_url", "cut_page", F.col("page_id").alias("main_page"))
-    first = materialise(first, "page_budget")
-    keyed = pages.withColumn("site_id", U.site_of(F.col("url"))).join(first, "site_id", "left")
-    kept = keyed.where(
+    kept = rows.join(first, "site_id", "left").where(
         F.col("cut_url").isNull() | (F.col("page_id") == F.col("main_page")) | (F.col("url") < F.col("cut_url"))
         | ((F.col("url") == F.col("cut_url")) & (F.col("page_id") <= F.col("cut_page"))))
-    return kept.select(*pages.columns)
+    return pages.join(materialise(kept.select("page_id"), "page_budget"), "page_id", "left_semi").select(*pages.columns)
 
 
 def text_facts(signals: DataFrame, as_of_year: int) -> DataFrame:
@@ -99,7 +94,7 @@ def phone_columns(signals: DataFrame) -> DataFrame:
 
 
 def map_columns(found: DataFrame, signals: DataFrame) -> DataFrame:
-    """MP5-MP7 per site with the list of links; the list is bounded by the page budget of a site."""
+    """MP5-MP7 per site; the record shows the list of a site's distinct map links."""
     stats = M.site_maps(found.select("site_id").distinct(), found).withColumnRenamed("status", "maps_status")
     lists = found.groupBy("site_id").agg(F.sort_array(F.collect_set("map_url")).alias("all_maps"))
     on_contact = M.contact_page_maps(found, P.page_kinds(signals))
@@ -107,7 +102,7 @@ def map_columns(found: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def video_columns(signals: DataFrame) -> DataFrame:
-    """MK3 per site; the list is bounded by the page budget of a site."""
+    """MK3 per site; the record shows the list of a site's video links."""
     return MK.videos(signals).groupBy("site_id").agg(
         F.sort_array(F.collect_list("video_url")).alias("videos"), F.count("*").alias("video_count"))
 
@@ -122,17 +117,18 @@ def main_columns(pages: DataFrame, signals: DataFrame, seeds: DataFrame | None)
     return heads.join(logo, "page_id", "left").drop("page_id", "description")
 
 
-def site_summary(pages: DataFrame, seeds: DataFrame | None = None, stats: DataFrame | None = None,
-                 as_of_year: int = 2026, analysis_date: str = "", limit: int = K.MAX_PAGES_PER_SITE) -> DataFrame:
-    """SS1: the full record of every site.
+def site_summary(pages: DataFrame, seeds: DataFrame | None = None, stats: DataFrame | None = None, as_of_year: int = 2026,
+                 analysis_date: str = "", signals: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """SS1: the full record of every site, from all its pages.
 
     ``pages(page_id, url, html, status_code, load_time)``; ``stats`` is the
     crawl result of :func:`siteweave.operators.graph.crawl_stats`; without it
     page and link totals come from the stored links and the depth is 0.
+    A job that has stored ``signals`` and ``links`` passes them on.  The HTML is
+    read by the signals, and again only for the pages that are parsed as trees.
     """
-    chosen = capped_pages(pages, seeds, limit)
-    signals = materialise(page_signals(chosen), "signals")
-    links = materialise(L.page_links(signals), "links")
+    signals = signals if signals is not None else materialise(page_signals(pages), "signals")
+    links = links if links is not None else materialise(L.page_links(signals), "links")
     structure = stats if stats is not None else L.site_structure(signals, links).withColumn("max_depth", F.lit(0).cast("bigint"))
     offers = materialise(PR.all_products(signals, pages), "offers")
     parts = {

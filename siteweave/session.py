@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; pick one only where none is set.
-
-    A cluster names its shared folder in ``spark.checkpoint.dir``.  A machine-local
-    folder is acceptable only where driver and executors are one process.
-    """
+    """Use the shared folder the session names in ``spark.checkpoint.dir``; whoever starts a session chooses it."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is not None:
         return
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input comes in fewer splits than that.
-
-    A large scan has more splits than cores and is left alone, so page bodies
-    are shuffled only when there are few of them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder the driver and all executors share")
+    sc.setCheckpointDir(shared)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -47,8 +29,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Used where many operators read one derived table: the copy is columnar, so
     each reads only its columns, it outlives any executor, and plans built on
-    it start from a plain scan.
+    it start from a plain scan.  Copies stay until :func:`clean` or until the
+    folder is emptied by its owner.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this session stored in the shared folder, once its results are written elsewhere."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,16 +30,31 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: folders of html files, one site per folder; the id is derived from the file's path."""
+    """SRC3: folders of html files, one site per folder.
+
+    The id is a hash of the file's path.  A file does not hold its URL: the
+    page is given one from its folder and name, which tells its site and kind.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     where = F.col("_metadata.file_path")
-    return files.select(
+    rows = files.select(
         F.xxhash64(where).alias("page_id"), F.element_at(F.split(where, "/"), -2).alias("folder"),
         F.element_at(F.split(where, "/"), -1).alias("file_name"), F.col("value").alias("html"))
+    stem = F.regexp_replace("file_name", r"\.html$", "")
+    path = F.when(F.startswith(stem, F.concat("folder", F.lit("_"))), F.substr(stem, F.length("folder") + 2)).otherwise(stem)
+    return rows.select(
+        "page_id", F.concat(F.lit("https://"), "folder", F.lit("/"), path).alias("url"), "html", F.lit(200).alias("status_code"),
+        F.lit(None).cast("double").alias("load_time"), "folder", "file_name")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: one report per domain folder: comprehensive ones first, then by name.
+    """SRC4 on the table that SNK7 writes: ``(folder, path, content)``, one report per domain."""
+    rows = spark.read.parquet(path)
+    return pick_reports(rows.select(F.concat_ws("/", "site_id", "file_name").alias("path"), "content"))
+
+
+def read_report_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC4 on text files: one report per domain folder: comprehensive ones first, then by name.
 
     Only file names are compared; the chosen contents are joined back by path.
     """

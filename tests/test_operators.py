@@ -192,7 +192,7 @@ def test_top_k_equals_sorted_prefix_on_a_hot_group(spark):
 def test_positions_match_row_numbers(spark):
     rows = [(i * 37 % 20000, f"https://{'hot' if i % 3 else 'x' + str(i % 5)}.com/{i}") for i in range(2000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("site_id", F.regexp_extract("url", "//([^/]*)", 1))
-    got = {r.page_id: r.position for r in P.site_positions(df, bucket_width=100).collect()}
+    got = {r.page_id: r.position for r in P.site_positions(df, ranges=9).collect()}
     sites = {}
     for pid, url in sorted(rows):
         sites.setdefault(url.split("/")[2], []).append(pid)
@@ -212,9 +212,9 @@ def test_price_extremes_are_sorted_and_small(spark):
 def test_page_budget_keeps_main_page_first(spark):
     pages = pages_of(spark, *["<p>x</p>"] * 6)
     seeds = spark.createDataFrame([("site.com", "https://www.site.com/p4")], "site_id string, main_url string")
-    kept = S.capped_pages(pages, seeds, limit=3)
+    kept = S.capped_pages(pages, 3, seeds)
     assert sorted(r.page_id for r in kept.collect()) == [0, 1, 4]
-    assert S.capped_pages(pages, seeds, limit=100).count() == 6
+    assert S.capped_pages(pages, 100, seeds).count() == 6
 
 
 def test_scores_stay_in_range(spark, sf):

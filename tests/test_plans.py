@@ -36,11 +36,13 @@ def test_report_round_trip(spark, sf, tmp_path):
         assert row.min_price_product_1_name == (want["Min Price Product 1 Name"] or "")
         assert row.total_word_count == str(want["Total Word Count"]) and row.notes_for_sdr.startswith("📊 Key Insights: |")
         assert "\n" not in "".join(row)
-    pipeline.write_all(sites, str(tmp_path / "out"))
+    pipeline.write_sites(sites, str(tmp_path / "out"))
     read = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "out" / "summary_csv"))
     assert read.count() == len(flat)
-    docs = spark.read.text(str(tmp_path / "out" / "master_json")).collect()
-    assert all(json.loads(d.value)["main_url"].startswith("http") for d in docs)
+    docs = spark.read.parquet(str(tmp_path / "out" / "master_json")).collect()
+    assert all(json.loads(d.document)["main_url"].startswith("http") for d in docs)
+    again = CP.compile_reports(readers.read_reports(spark, str(tmp_path / "out" / "reports"))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, back))
 
 
 def test_whole_job_walks_the_graph(spark, sf):
@@ -67,7 +69,7 @@ def test_reports_are_picked_from_folders(spark, tmp_path):
     for name in ["one/b_comprehensive_summary.txt", "one/a_summary.txt", "two/x_summary.txt", "two/y_summary.txt", "three/note.txt"]:
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("Domain: " + name)
-    got = {r.folder: r.content for r in readers.read_reports(spark, str(tmp_path)).collect()}
+    got = {r.folder: r.content for r in readers.read_report_files(spark, str(tmp_path)).collect()}
     assert got == {"one": "Domain: one/b_comprehensive_summary.txt", "two": "Domain: two/x_summary.txt"}
 
 
