@@ -415,9 +415,14 @@ def md1(spark, sf):
 
 # --- raw sinks ------------------------------------------------------------------------------------
 
-@check("snk1_sitemap_parts", O.WITH + f"""SELECT site_id, section, count(DISTINCT url) AS links FROM {SECTIONS_SQL} s GROUP BY 1, 2""")
+@check("snk1_sitemap_parts", O.WITH + PLACED_SQL + f""", s AS {SECTIONS_SQL.replace('is_about FROM links', 'is_about, is_navigation, is_footer FROM placed')},
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, section, url ORDER BY page_id, link_seq) AS rn FROM s)
+SELECT site_id, section, url, anchor_text, source_page, is_navigation, is_footer, is_contact, is_about FROM r WHERE rn = 1""")
 def snk1(spark, sf):
-    return sinks.sitemap_parts(links(spark, sf)).groupBy("site_id", "section").agg(F.sum("links").alias("links"))
+    """The entries of all parts, read back from their JSON."""
+    entry = "array<struct<url:string,anchor_text:string,source_page:string,is_navigation:boolean,is_footer:boolean,is_contact:boolean,is_about:boolean>>"
+    parts = sinks.sitemap_parts(placed(spark, sf))
+    return parts.select("site_id", "section", F.explode(F.from_json("entries", entry)).alias("e")).select("site_id", "section", "e.*")
 
 
 @check("snk2_page_metadata_json", O.WITH + f""", h AS (SELECT *, nullif({O.strip(O.entities("regexp_extract(markup, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, '') AS title FROM texts), k AS ({KIND_SQL[len(O.WITH):]})
