@@ -175,10 +175,30 @@ INDUSTRY_KEYWORDS = {
         "real estate", "property", "housing", "apartment", "condo", "broker", "realtor", "mortgage",
         "land", "estate agent", "rental"],
 }
-# the older, shorter dictionary: six industries, a prefix of each list above
-SHORT_INDUSTRY_SIZES = {
-    "Technology / SaaS": 12, "E-commerce / Retail": 10, "Marketing / Advertising": 10,
-    "Healthcare / Medical": 9, "Financial Services": 9, "Education / Training": 9,
+# the older, shorter dictionary of six industries
+SHORT_INDUSTRY_KEYWORDS = {
+    "Technology / SaaS": [
+        "software", "saas", "platform", "api", "cloud", "tech", "digital", "app", "application", "system",
+        "solution", "automation"
+    ],
+    "E-commerce / Retail": [
+        "ecommerce", "retail", "shop", "store", "marketplace", "selling", "products", "merchandise",
+        "commerce", "shopping"
+    ],
+    "Marketing / Advertising": [
+        "marketing", "advertising", "campaign", "brand", "promotion", "social media", "influencer",
+        "content", "ugc", "creator"
+    ],
+    "Healthcare / Medical": [
+        "healthcare", "medical", "health", "clinic", "hospital", "doctor", "patient", "treatment", "therapy"
+    ],
+    "Financial Services": [
+        "finance", "banking", "investment", "insurance", "loan", "credit", "payment", "fintech", "trading"
+    ],
+    "Education / Training": [
+        "education", "training", "course", "learning", "school", "university", "academy", "tutorial",
+        "certification"
+    ],
 }
 BUDGET_KEYWORDS = {
     "High-End": ["enterprise", "premium", "luxury", "high-end", "exclusive", "custom", "bespoke",

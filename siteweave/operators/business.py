@@ -11,7 +11,7 @@ from siteweave import constants as K
 from siteweave.functions import text as T
 from siteweave.operators.facts import best_hit, first_hit
 
-SHORT_INDUSTRIES = {name: K.INDUSTRY_KEYWORDS[name][:n] for name, n in K.SHORT_INDUSTRY_SIZES.items()}
+SHORT_INDUSTRIES = K.SHORT_INDUSTRY_KEYWORDS
 
 
 def keyword_masks(lowered: str, groups: dict[str, list[str]], prefix: str) -> list[Column]:
