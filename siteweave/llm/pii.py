@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,8 +46,11 @@ PATTERNS = {
     "name": rf"(?<=\b(?:{_TITLE})\.?\s)\p{{Lu}}[\p{{L}}'’-]+(?:\s\p{{Lu}}[\p{{L}}'’-]+)?",
 }
 FOUND = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-#: a text that matches none of these has no entity; evaluated before any text reaches Python
-MAYBE = rf"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)|(?:sk|ghp|gho|xox[bp]|glpat)[-_]|PRIVATE KEY|\b(?:{_TITLE})\b"
+#: every entity has one of these in it or, for secrets and names, right before it; a text without any never reaches Python
+SPOT = rf"[0-9@=:]|(?=[AsgxP])(?:AKIA|ASIA|sk[-_]|gh[po][-_]|xox[bp][-_]|glpat[-_]|PRIVATE KEY)|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})\.?\s"
+_SPOT = re.compile(SPOT)
+#: characters around a spot that are searched, and then on to the next white space
+AROUND = 100
 _GENDER = regex.compile(rf"\b({_TITLE})\.?\s$")
 # fixed values: endings of made-up given names by gender and script
 ENDINGS = {"latin": {"m": "on", "f": "a", "n": "e"}, "cyrillic": {"m": "ор", "f": "а", "n": "е"}, "greek": {"m": "ος", "f": "α", "n": "ι"}}
@@ -62,10 +66,34 @@ def luhn(digits: str) -> bool:
     return (sum(int(c) for c in digits[::-2]) + doubled) % 10 == 0
 
 
+def _matches(text: str) -> Iterator[regex.Match]:
+    """Matches of the patterns, searched around spots only; no entity crosses white space further than from spot to spot."""
+    if "PRIVATE KEY" in text:
+        yield from FOUND.finditer(text)
+        return
+    begin = end = 0
+    for spot in _SPOT.finditer(text):
+        if spot.start() >= end:
+            if end:
+                yield from FOUND.finditer(text, begin, end)
+            begin = _cut(text, max(end, spot.start() - AROUND), end, -1)
+        if spot.end() + AROUND // 2 > end:
+            end = _cut(text, min(len(text), spot.end() + AROUND), len(text), 1)
+    if end:
+        yield from FOUND.finditer(text, begin, end)
+
+
+def _cut(text: str, at: int, limit: int, step: int) -> int:
+    """The nearest white space from ``at`` on, in the direction of ``step``."""
+    while at != limit and not text[at - (step < 0)].isspace():
+        at += step
+    return at
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, type and canonical form of each entity."""
     out = []
-    for m in FOUND.finditer(text):
+    for m in _matches(text):
         kind, value = m.lastgroup, m[0]
         if kind == "email":
             value = value.lower()
@@ -167,7 +195,7 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))],
                                              ["__text_key", "kind", "value"])
 
-    rows = docs.where(F.col(text_col).rlike(MAYBE)).select(F.xxhash64(text_col).alias("__text_key"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(text_col).rlike(SPOT)).select(F.xxhash64(text_col).alias("__text_key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(task, "__text_key bigint, kind string, value string")
 
 
@@ -204,7 +232,7 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
     entry = F.struct("kind", "value", "surrogate")
     by_text = found.join(table, ["kind", "value"]).groupBy("__text_key").agg(F.collect_set(entry).alias("__entries"))  # entities of one text
     by_text = store(by_text, "by_text")
-    maybe = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
+    maybe = F.coalesce(F.col(text_col).rlike(SPOT), F.lit(False))
     plain = base.where(~maybe).withColumn("n_entities", F.lit(0).cast("bigint"))
     held = base.where(maybe).withColumn("__own_key", F.xxhash64(text_col)).join(by_text, F.col("__own_key") == F.col("__text_key"), "left").drop("__own_key", "__text_key")
     schema = plain.schema
