@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, quality, simhash, suffixes, wrappers
+from siteweave.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op8_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.by_position(mixing.mix(_read(spark, sf, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,5 +64,3 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_html_extraction, op3_quality, op4_decontamination, op5_language_id, op6_simhash, op7_embedding_dedup, op8_pii_surrogates, op9_mixing, op10_substring_dedup)}
-
-ORACLE_SQL: dict[str, str] = {}
