@@ -24,6 +24,7 @@ page cut off in the middle is aligned like any other; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -50,6 +51,8 @@ FRAME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related "
                         "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 MAIN = ("article", "main")
+WHOLE = frozenset(("html", "body", "main"))
+QUALIFIERS = frozenset("with without has no".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -118,19 +121,28 @@ def _mark(attributes: str) -> str:
     return "." + ".".join(sorted(set(names))) if names else ""
 
 
-def is_frame(sign: str) -> bool:
+def is_frame(sign: str, inside: bool = False) -> bool:
+    """Frame by tag, or by a word of its class; ``with-sidebar`` and the like describe a page, not a frame.
+
+    ``inside`` an article a header is its own and belongs to it.
+    """
     name, _, marks = sign.partition(".")
-    return name in FRAME or any(w in FRAME_WORDS for w in WORD.findall(marks))
+    if name in FRAME or name == "header" and not inside:
+        return True
+    words = set(WORD.findall(marks))
+    if name in WHOLE or words & QUALIFIERS:
+        return False
+    return bool((words - {"header"} if inside else words) & FRAME_WORDS)
 
 
+@functools.lru_cache(1 << 16)
 def in_frame(path: tuple[str, ...]) -> bool:
-    """Below a frame element; a ``header`` is frame unless it belongs to the article."""
+    """Below a frame element."""
     inside = False
     for sign in path:
-        name = _name(sign)
-        if is_frame(sign) or name == "header" and not inside:
+        if is_frame(sign, inside):
             return True
-        inside = inside or name in MAIN
+        inside = inside or _name(sign) in MAIN
     return False
 
 

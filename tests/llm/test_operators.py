@@ -254,8 +254,8 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 6 and not {r.surrogate for r in got} & {"s0", "a", "b", "ccc", "dddd", "eeeee"}
 
 
-PAGE = ('<html><head><title>T</title><script>var a="</p>";</script></head><body class="home"><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>'
-        '<div class="cookie-notice">We use cookies</div><article><header><h1>Big &amp; Title</h1></header><p>One <b>bold</b> text<br>next&nbsp;line.'
+PAGE = ('<html><head><title>T</title><script>var a="</p>";</script></head><body class="home has-sidebar"><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>'
+        '<div class="cookie-notice">We use cookies</div><article><header class="entry-header"><h1>Big &amp; Title</h1></header><p>One <b>bold</b> text<br>next&nbsp;line.'
         '<p>Two <span class="ad">Buy <span>now</span></span> end.<!-- x > y --><ul><li>a<li>b &lt;c&gt;</ul><form>Name<input></form><aside>rel</aside></article>'
         '<section id="comments"><p>nice</p></section><footer>f</footer>')
 
