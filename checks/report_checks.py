@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import oracle as O
 from checks import tables as TB
-from checks.registry import check
+from checks.registry import CHECKS, check
 from siteweave import constants as K
 from siteweave.plans import compiler as CP
 from siteweave.session import shared_folder
@@ -227,7 +227,65 @@ def rc20(spark, sf):
     return TB.derived(spark, sf, MESSY, "documents").select("doc_id", CP.sanitise(F.col("v")).alias("v"))
 
 
-@check("rc_all_compiled_columns")
+# what the compiler does to a column, spelled out here
+NUMBERS = set("""contact_page_maps_found direct_maps_links_found engagement_score firmographic_score google_maps_links_count iframe_maps_embeds_found ig_score
+  integrated_video_links_count javascript_maps_found structured_data_maps_found total_google_maps_found total_links_found total_pages_discovered total_word_count""".split())
+PROSE = {"about_us_text", "discovery_summary", "notes_for_sdr", "short_description"}
+FLAG_COLUMNS = set("""d2c_presence ecommerce_presence social_media_presence video_presence saas_platform blog_presence cta_presence product_listings contact_forms
+  newsletter_signup ssl_secure mobile_responsive worked_with_creators""".split())
+PLACE = {"address_city": "city", "address_state": "state", "address_country": "country"}
+
+
+def cleaned(name: str, x: str) -> str:
+    x = drop_fillers(x)
+    x = f"CASE {x} WHEN '✅ Yes' THEN 'True' WHEN '❌ No' THEN 'False' ELSE {x} END"
+    if "phone" in name:
+        x = O.strip(f"split_part({O.collapse(x)}, ',', 1)")
+    if "url" in name:
+        x = url_sql(f"({x})")
+    if name in NUMBERS:
+        x = f"regexp_replace({x}, '[^0-9.]', '', 'g')"
+    if name in PROSE:
+        x = O.collapse(O.strip(x))
+        for phrase in ("No information available", "No about us information found"):
+            x = O.strip(f"replace({x}, '{phrase}', '')")
+    return x
+
+
+def compiled(name: str) -> str:
+    if name in PLACE:
+        x = f"place.{PLACE[name]}"
+    elif name == "keywords":
+        x = "c.keywords_compilation"
+    elif name == "status":
+        x = f"'{K.REPORT_STATUS}'"
+    elif name == "google_maps_integration_status":
+        x = ("CASE WHEN c.google_maps_integration_status <> '' THEN c.google_maps_integration_status "
+             "WHEN c.primary_google_maps_link <> '' OR c.all_google_maps_links <> '' THEN 'Integrated' ELSE 'Not Found' END")
+    elif name in FLAG_COLUMNS:
+        x = f"CASE WHEN lower(c.{name}) IN ('true', '✅ yes', 'yes', '1') THEN 'True' ELSE 'False' END"
+    else:
+        x = f"c.{name}"
+    return O.strip(O.collapse(f"coalesce({x}, '')"))
+
+
+def _rc(name: str) -> str:
+    return f"({CHECKS[name][1]})"
+
+
+DERIVED = ["domain", "analysis_date", "about_us_text", "all_google_maps_links", "google_maps_links_count", "video_links", "notes_for_sdr", "discovery_summary",
+           "short_description"]
+PRICES = [f"{s}_price_product_{i}_{c}" for s in ("min", "max") for i in (1, 2, 3, 4) for c in ("name", "price", "url")]
+ALL_SQL = f"""WITH f AS {_rc('rc1_sections')}, dd AS {_rc('rc2_domain_and_date')}, ab AS {_rc('rc3_about_text')},
+ml AS (SELECT folder, links AS all_google_maps_links, CAST(n AS VARCHAR) AS google_maps_links_count FROM {_rc('rc4_rc5_map_links')} x),
+v AS {_rc('rc6_video_links')}, nd AS {_rc('rc7_rc9_notes_and_discovery')}, sd AS {_rc('rc8_short_description')}, pc AS {_rc('rc11_product_columns')},
+ad AS (SELECT 'site' || {k} AS folder, p.* FROM supplier JOIN {_rc('rc15_rc16_address_parts')} p USING (s_suppkey)),
+w AS (SELECT * FROM f JOIN dd USING (folder) JOIN ab USING (folder) JOIN ml USING (folder) JOIN v USING (folder) JOIN nd USING (folder) JOIN sd USING (folder) JOIN pc USING (folder)),
+c AS (SELECT folder, {', '.join(f'{cleaned(n, n)} AS {n}' for n in [*RC1_FIELDS, *DERIVED, *PRICES])} FROM w)
+SELECT {', '.join(f'{compiled(n)} AS {n}' for n in K.COMPILED_COLUMNS)} FROM c JOIN ad AS place USING (folder)"""
+
+
+@check("rc_all_compiled_columns", ALL_SQL)
 def rc_all(spark, sf):
     return CP.compile_reports(reports(spark, sf))
 
