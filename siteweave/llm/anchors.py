@@ -70,20 +70,20 @@ def removed(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
                 order, tkey = (rows.column(i).to_numpy() for i in (0, 1))
                 windows.add(a, scan.B.span(other, at, at + window), order[doc[at]], tkey[doc[at]], at - first[doc[at]])
             if windows.full():
-                yield repeats._batch(windows.rows())
-        yield repeats._batch(windows.rows())
+                yield repeats.blob_batch(windows.rows())
+        yield repeats.blob_batch(windows.rows())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, known = [], []
         for b in batches:
             for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 (known if kind == repeats.KNOWN else blobs).append(repeats.unpack(blob))
-        parts = [repeats.windows_removed(blobs), *known]
-        yield from repeats.removed_lists(*(np.concatenate(x) for x in zip(*parts)))
+        order, tkey, start, end = (np.concatenate(x) for x in zip(repeats.windows_removed(blobs), *known))
+        yield repeats.blob_batch(repeats.removed_rows(order, tkey, start, end - start, n))
 
     held = repeats.candidates(docs, first_of, lists)
-    found = held.mapInArrow(extend, repeats.BLOBS).repartition(n, "bucket").mapInArrow(judge, repeats.REMOVED)
-    return found, own, first_of
+    found = held.mapInArrow(extend, repeats.BLOBS).repartition(n, "bucket").mapInArrow(judge, repeats.BLOBS)
+    return repeats.gathered(found), own, first_of
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -46,7 +46,7 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("tkey"), text.alias("text"))
 
 
-def _blob_rows(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> Iterator[tuple[int, int, bytes]]:
+def blob_rows(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> Iterator[tuple[int, int, bytes]]:
     """Deal sorted columns out by bucket."""
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -55,7 +55,7 @@ def _blob_rows(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> Iter
         yield int(bucket[at[0]]), kind, pack(*[c[at] for c in columns])
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     types = (pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "kind", "blob"])
 
@@ -87,11 +87,11 @@ def recurrent(docs: DataFrame, anchors: Anchors, heavy: int = HEAVY) -> tuple[Da
             later = np.ones(len(h), bool)
             later[edges] = False
             bucket = (h % scan.U(n)).astype(np.int64)
-            rows = list(_blob_rows(bucket[one], [h[one], t[one]], SINGLE))
-            rows += _blob_rows(bucket[many], [h[many], t[many], count[count > 1].astype(np.int32)], SEVERAL)
+            rows = list(blob_rows(bucket[one], [h[one], t[one]], SINGLE))
+            rows += blob_rows(bucket[many], [h[many], t[many], count[count > 1].astype(np.int32)], SEVERAL)
             # the first of several is sent for the others of its hash; these know already, and are spread by text
-            rows += _blob_rows((t[later].view(np.uint64) % scan.U(n)).astype(np.int64), [h[later], t[later]], KNOWN)
-            return _batch(rows)
+            rows += blob_rows((t[later].view(np.uint64) % scan.U(n)).astype(np.int64), [h[later], t[later]], KNOWN)
+            return blob_batch(rows)
 
         done: set[int] = set()
         for rows, data, offsets in scan.slices(batches, "text"):
@@ -125,26 +125,38 @@ def recurrent(docs: DataFrame, anchors: Anchors, heavy: int = HEAVY) -> tuple[Da
         hs = np.concatenate([h[mask], *[p[0] for p in parts[KNOWN]]])
         ts = np.concatenate([t[mask], *[p[1] for p in parts[KNOWN]]])
         many = total >= heavy
-        schema = pa.schema([("tkey", pa.int64()), ("hs", pa.list_(pa.int32())), ("heavy", pa.int64()), ("n", pa.int64())])
+        # by text: one packed row per bucket of texts
         order = np.argsort(ts, kind="stable")
-        hs, ts = (hs[order] >> scan.U(32)).astype(np.uint32).view(np.int32), ts[order]
-        starts = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]])) if len(ts) else np.zeros(0, np.int64)
+        hs, ts = (hs[order] >> scan.U(32)).astype(np.uint32), ts[order]
+        rows = list(blob_rows((ts.view(np.uint64) % scan.U(n)).astype(np.int64), [ts, hs], KNOWN)) if len(ts) else []
+        batch = blob_batch(rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
+        if many.any():
+            none = [pa.nulls(many.sum(), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(h[edges][many].view(np.int64)), pa.array(total[many])], names)
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(blob) for b in batches for blob in b.column(2).to_pylist()]
+        if not parts:
+            return
+        ts, hs = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(ts, kind="stable")
+        ts, hs = ts[order], hs[order].view(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
         for k in range(0, len(starts), 1 << 14):
             some = starts[k: k + (1 << 14)]
             end = starts[k + len(some)] if k + len(some) < len(starts) else len(ts)
             bounds = np.append(some, end) - some[0]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hs[some[0]: end]))
-            yield pa.RecordBatch.from_arrays([pa.array(ts[some]), lists, pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], schema=schema)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(many.sum(), pa.int64()), pa.nulls(many.sum(), pa.list_(pa.int32())),
-                                              pa.array(h[edges][many].view(np.int64)), pa.array(total[many])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ts[some]), lists], ["tkey", "hs"])
 
+    names = ["bucket", "kind", "blob", "heavy", "n"]
     sent = docs.select("tkey", "text").mapInArrow(send, BLOBS).repartition(n, "bucket")
-    found = store(sent.mapInArrow(judge, "tkey bigint, hs array<int>, heavy bigint, n bigint"), "anchors")
+    found = store(sent.mapInArrow(judge, f"{BLOBS}, heavy bigint, n bigint"), "anchors")
     top = found.where("heavy is not null").orderBy(F.desc("n"), "heavy").limit(HEAVY_MOST).select("heavy").collect()
     heavies = np.sort(np.array([r.heavy for r in top], np.int64).view(np.uint64))
-    lists = found.where("tkey is not null").groupBy("tkey").agg(F.flatten(F.collect_list("hs")).alias("hs"))  # anchors of one text
-    return lists, heavies
+    packed = found.where("heavy is null").select("bucket", "kind", "blob").repartition(n, "bucket")
+    return packed.mapInArrow(by_text, "tkey bigint, hs array<int>"), heavies
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -193,7 +205,7 @@ class Windows:
         bucket = (columns[0] % scan.U(self.n)).astype(np.int64)
         first = np.flatnonzero(~later)
         order = first[np.lexsort((columns[4][first], columns[3][first], columns[2][first]))]  # by document: packs better
-        rows = list(_blob_rows(bucket[order], [c[order] for c in columns], SINGLE))
+        rows = list(blob_rows(bucket[order], [c[order] for c in columns], SINGLE))
         return rows + removed_rows(columns[2][later], columns[3][later], columns[4][later], 1, self.n)
 
 
@@ -212,7 +224,7 @@ def removed_rows(order: np.ndarray, tkey: np.ndarray, start: np.ndarray, width:
     if not len(order):
         return []
     columns = [order, tkey, start.astype(np.int32), (start + width).astype(np.int32)]
-    return list(_blob_rows((tkey.view(np.uint64) % scan.U(n)).astype(np.int64), columns, KNOWN))
+    return list(blob_rows((tkey.view(np.uint64) % scan.U(n)).astype(np.int64), columns, KNOWN))
 
 
 REMOVED = "ord bigint, tkey bigint, runs array<int>"
@@ -241,6 +253,16 @@ def removed_lists(order: np.ndarray, tkey: np.ndarray, start: np.ndarray, end: n
         yield pa.RecordBatch.from_arrays([pa.array(order[some]), pa.array(tkey[some]), lists], schema=schema)
 
 
+def gathered(judged: DataFrame) -> DataFrame:
+    """Packed removed windows of all buckets to one row of merged runs per document."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(blob) for b in batches for blob in b.column(2).to_pylist()]
+        if parts:
+            yield from removed_lists(*(np.concatenate(x) for x in zip(*parts)))
+
+    return judged.repartition(buckets(judged), "bucket").mapInArrow(task, REMOVED)
+
+
 def windows_removed(blobs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """``(ord, tkey, start, end)`` of the windows of a bucket that start earlier elsewhere."""
     if not blobs:

@@ -201,10 +201,10 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int
                 a, b = (p.span(p.prefix(data), at, at + length) for p in (scan.A, scan.B))
                 windows.add(a, b, order[d], tkey[d], at - offsets[d])
             if held.size > 16 * repeats.GATHER:
-                yield repeats._batch(held.rows())
+                yield repeats.blob_batch(held.rows())
             if windows.full():
-                yield repeats._batch(windows.rows())
-        yield repeats._batch(held.rows() + windows.rows())
+                yield repeats.blob_batch(windows.rows())
+        yield repeats.blob_batch(held.rows() + windows.rows())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[np.ndarray, ...]]] = {repeats.SINGLE: [], repeats.KNOWN: [], SEGMENTS: []}
@@ -214,11 +214,12 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int
         out = [repeats.windows_removed(parts[repeats.SINGLE]), *parts[repeats.KNOWN]]
         if parts[SEGMENTS]:
             out.append(indexed(*(np.concatenate(x) for x in zip(*parts[SEGMENTS])), length))
-        yield from repeats.removed_lists(*(np.concatenate(x) for x in zip(*out)))
+        order, tkey, start, end = (np.concatenate(x) for x in zip(*out))
+        yield repeats.blob_batch(repeats.removed_rows(order, tkey, start, end - start, n))
 
     held = repeats.candidates(docs, first_of, lists)
-    found = held.mapInArrow(cut, repeats.BLOBS).repartition(n, "bucket").mapInArrow(judge, repeats.REMOVED)
-    return found, own, first_of
+    found = held.mapInArrow(cut, repeats.BLOBS).repartition(n, "bucket").mapInArrow(judge, repeats.BLOBS)
+    return repeats.gathered(found), own, first_of
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
