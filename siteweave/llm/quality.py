@@ -140,19 +140,26 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (code * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int64), bounds
 
 
-def fit(texts: list[str], target: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray | None:
-    """Weights over hashed trigrams, intercept last; both classes weigh the same."""
+def features(rows: DataFrame) -> DataFrame:
+    """Pattern, hashed trigrams and their shares of the texts in ``rows``; at most ``2 ** BITS`` entries a text, however long."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in scan.slices(batches, "text"):
+            patterns = pattern_of(votes(data, offsets))
+            grams, bounds = trigrams(data, offsets)
+            found = [np.unique(grams[lo:hi], return_counts=True) for lo, hi in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(patterns), pa.array([g.astype(np.int32).tobytes() for g, _ in found], pa.binary()),
+                pa.array([(n / max(n.sum(), 1)).astype(np.float32).tobytes() for _, n in found], pa.binary())], ["pattern", "grams", "shares"])
+
+    return rows.select("text").mapInArrow(task, "pattern bigint, grams binary, shares binary")
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray | None:
+    """Weights over hashed trigrams, intercept last; both classes weigh the same.  Texts are trigrams and shares."""
     if not len(texts) or target.max(initial=0) < 0.5 or target.min(initial=1) >= 0.5:
         return None
-    rows, columns, values = [], [], []
-    for i, text in enumerate(texts):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        grams, _ = trigrams(raw, np.array([0, len(raw)]))
-        if len(grams):
-            own, n = np.unique(grams, return_counts=True)
-            rows.append(np.full(len(own), i, np.int32))
-            columns.append(own.astype(np.int32))
-            values.append((n / len(grams)).astype(np.float32))
+    rows = [np.full(len(g), i, np.int32) for i, (g, _) in enumerate(texts)]
+    columns, values = [g for g, _ in texts], [v for _, v in texts]
     row, column, value = (np.concatenate(x) for x in (rows, columns, values))
     scale = 100.0  # trigram shares are small
     value = value * scale
@@ -199,8 +206,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """Weak labels, estimation, training and scoring: one row per document."""
     patterns = store(labelled(docs, id_col, text_col).groupBy("pattern").agg(F.count("*").alias("n")), "patterns")
     posterior, _ = estimate({r.pattern: r.n for r in patterns.collect()})
-    rows = docs.where(F.trim(text_col) != "").select(F.col(text_col).alias("text"))
-    held = rows.withColumn("turn", F.xxhash64("text")).orderBy("turn").limit(sample).select("text").collect()
-    texts = [r.text for r in held]
-    target = np.array([posterior.get(int(pattern_of(votes(raw, np.array([0, len(raw)])))[0]), 0.5) for raw in (np.frombuffer(t.encode(), np.uint8) for t in texts)])
+    # the sample's bound is a hash, found on hashes alone; then only the sampled texts move, and only as features to the driver
+    rows = docs.where(F.trim(text_col) != "").select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("turn"))
+    bound = rows.select("turn").distinct().orderBy("turn").limit(sample).agg(F.max("turn")).first()[0]
+    held = features(rows.where(F.col("turn") <= bound).dropDuplicates(["turn"])).collect() if bound is not None else []
+    held.sort(key=lambda r: (r.pattern, bytes(r.grams), bytes(r.shares)))  # any order of rows fits the same weights
+    texts = [(np.frombuffer(r.grams, np.int32), np.frombuffer(r.shares, np.float32)) for r in held]
+    target = np.array([posterior.get(r.pattern, 0.5) for r in held])
     return score(docs, fit(texts, target), posterior, id_col, text_col)
