@@ -35,8 +35,8 @@ from siteweave.llm import repeats, scan
 from siteweave.llm.store import buckets
 
 LENGTH, GRAM = 100, 32
-#: windows of a batch whose suffix array is built at once
-BATCH = 1 << 17
+#: windows of a batch whose suffix array is built at once; windows that share a family of levels, if of several anchors
+BATCH, FAMILY = 1 << 16, 1 << 19
 SEGMENTS = 3  # kind of packed row, beside those of `repeats`
 
 
@@ -107,6 +107,19 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _run_hashes(data: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each of many runs that follow each other, some runs at a time."""
+    ends, out, k = np.cumsum(size), [np.empty(len(size), np.uint64) for _ in range(2)], 0
+    while k < len(size):
+        low = ends[k] - size[k]
+        stop = max(k + 1, int(np.searchsorted(ends, low + repeats.GATHER, "right")))
+        own = ends[k:stop] - low
+        for hashes, poly in zip(out, (scan.A, scan.B)):
+            hashes[k:stop] = poly.span(poly.prefix(data[low: ends[stop - 1]]), own - size[k:stop], own)
+        k = stop
+    return out
+
+
 class Segments:
     """Segments of a task; equal ones are reduced to the first before they are sent."""
 
@@ -137,9 +150,7 @@ class Segments:
 
 def equal_segments(h, order, tkey, start, count, left, data, length) -> tuple[np.ndarray, np.ndarray]:
     """First of each set of equal segments, and those that come later, by document order."""
-    size = count + length - 1
-    end = np.cumsum(size)
-    a, b = (p.span(p.prefix(data), end - size, end) for p in (scan.A, scan.B))
+    a, b = _run_hashes(data, count + length - 1)
     by = np.lexsort((start, tkey, order, left, count, b, a))
     same = np.concatenate([[False], *[(a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1]) & (count[by][1:] == count[by][:-1]) & (left[by][1:] == left[by][:-1])]])
     lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
@@ -147,6 +158,20 @@ def equal_segments(h, order, tkey, start, count, left, data, length) -> tuple[np
     return by[~same], by[same & ~itself]
 
 
+def _matches(use, order, tkey, start, count, begin, suffix, length) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of the windows of some segments, in document order, through one family of levels."""
+    index, ends, k = SuffixIndex(), np.cumsum(count[use]), 0
+    while k < len(use):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BATCH)))
+        n = count[use[k:stop]]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(use[k:stop], n)
+        seen = index.add(np.ascontiguousarray(suffix[begin[own] + inner]).view(f"S{length}").reshape(-1))
+        at = start[own[seen]] + inner[seen]
+        yield order[own[seen]], tkey[own[seen]], at, at + 1
+        k = stop
+
+
 def indexed(h, order, tkey, start, count, left, data, length: int) -> tuple[np.ndarray, ...]:
     """``(ord, tkey, start, end)`` of the windows in the segments of a bucket that start earlier elsewhere."""
     first, later = equal_segments(h, order, tkey, start, count, left, data, length)
@@ -156,23 +181,17 @@ def indexed(h, order, tkey, start, count, left, data, length: int) -> tuple[np.n
     edge = np.flatnonzero(np.concatenate([[True], h[first][1:] != h[first][:-1]]))
     several = np.repeat(np.diff(np.append(edge, len(first))) > 1, np.diff(np.append(edge, len(first))))
     use = first[several]
-    use = use[np.lexsort((start[use], tkey[use], order[use]))]
     begin = np.cumsum(count + length - 1) - (count + length - 1)
-    index = SuffixIndex()
-    ends = np.cumsum(count[use])
     suffix = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else data
-    k = 0
-    while k < len(use):
-        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BATCH)))
-        some = use[k:stop]
-        n = count[some]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = np.repeat(some, n)
-        windows = np.ascontiguousarray(suffix[begin[own] + inner]).view(f"S{length}").reshape(-1)
-        seen = index.add(windows)
-        at = start[own[seen]] + inner[seen]
-        parts.append((order[own[seen]], tkey[own[seen]], at, at + 1))
-        k = stop
+    # windows match within their anchor only: some anchors at a time share a family of levels
+    ends = np.cumsum(count[use])
+    last = np.flatnonzero(np.concatenate([h[use][1:] != h[use][:-1], [True]])) + 1 if len(use) else []
+    at = 0
+    for stop in last:
+        if stop == len(use) or ends[stop - 1] - (ends[at - 1] if at else 0) >= FAMILY:
+            some = use[at:stop]
+            parts += _matches(some[np.lexsort((start[some], tkey[some], order[some]))], order, tkey, start, count, begin, suffix, length)
+            at = stop
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -200,7 +219,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int
                 d = np.repeat(d, c)
                 a, b = (p.span(p.prefix(data), at, at + length) for p in (scan.A, scan.B))
                 windows.add(a, b, order[d], tkey[d], at - offsets[d])
-            if held.size > 16 * repeats.GATHER:
+            if held.size > 8 * repeats.GATHER:
                 yield repeats.blob_batch(held.rows())
             if windows.full():
                 yield repeats.blob_batch(windows.rows())
