@@ -34,16 +34,16 @@ def _dot_segments(path: Column, rooted: Column) -> Column:
         last = F.element_at(parts, -1)
         between = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
         segments = F.concat(F.filter(between, lambda s: rooted | (s != "")), F.array(last))
+        # the empty segment before the first slash is one that ".." can take away
         kept = F.aggregate(
             segments,
-            F.array().cast("array<string>"),
+            F.array(F.lit("")),
             lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
             .when(s == ".", acc)
             .otherwise(F.concat(acc, F.array(s))),
         )
-        return T.let(kept, lambda k: F.concat(
-            F.lit("/"), F.array_join(k, "/"),
-            F.when(last.isin(".", "..") & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))))
+        ended = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return T.let(F.array_join(F.concat(kept, ended), "/"), lambda joined: F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)))
 
     return T.let(F.split(path, "/", -1), fold)
 
