@@ -101,7 +101,8 @@ def recurrent(docs: DataFrame, anchors: Anchors, heavy: int = HEAVY) -> tuple[Da
             if len(done) > GATHER:
                 done.clear()
             use = fresh[doc]
-            held.append((h[use], tkeys[doc[use]]))
+            if use.any():  # short texts and copies have no anchors to send
+                held.append((h[use], tkeys[doc[use]]))
             if sum(len(x) for x, _ in held) > GATHER:
                 yield out()
         if held:

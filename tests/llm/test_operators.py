@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteweave.llm import anchors, components, decontam, embeddings, langid, mixing, pii, quality, queries, scan, simhash, suffixes, wrappers
+from siteweave.llm import anchors, components, decontam, embeddings, langid, mixing, pii, quality, queries, repeats, scan, simhash, suffixes, wrappers
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -76,6 +76,30 @@ def test_repeated_rows_and_null_ids(spark, passages):
         assert any(r.doc_id is None and r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("text", [None, "", " ", "one short text"])
+def test_repeats_of_short_texts_only(spark, text):
+    rows = [(1, text)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in anchors.dedup(frame(spark, rows)).collect()]
+    assert got == [(k, *v) for k, v in brute.substring_dedup(rows).items()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffixes.dedup(frame(spark, rows)).collect()]
+    assert got == [(k, *v) for k, v in brute.suffix_dedup(rows).items()]
+
+
+@pytest.mark.parametrize("tail", ["copies", "short"])
+def test_repeats_of_a_partition_that_ends_without_anchors(spark, passages, monkeypatch, tail):
+    monkeypatch.setattr(repeats, "GATHER", 10)
+    rows = [(1, passages[9][1] + " " + " ".join(f"v{i}" for i in range(200)))]
+    rows += [(i, rows[0][1] if tail == "copies" else "short") for i in range(2, 6)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a row is a slice
+    try:
+        docs = frame(spark, rows).coalesce(1)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in anchors.dedup(docs).collect()} == brute.substring_dedup(rows)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffixes.dedup(docs).collect()} == brute.suffix_dedup(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_decontamination(spark, passages):
     items = [(1, " ".join(passages[9][1].split()[:30])), (2, "Same same SAME"), (3, ""), (4, None), (10, passages[12][1]), (10, "zz"), (5, "é 日本")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
