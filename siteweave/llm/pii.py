@@ -35,9 +35,9 @@ TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk|ghp|gho|xox[bp]|glpat)[-_][A-Za-z0-9_-]{16,}"
-              r"|(?i:(?<=\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?))[A-Za-z0-9+/_.-]{8,}"
-              r"|(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)[A-Za-z0-9+/=\s]+",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk|ghp|gho|xox[bp]|glpat)[-_](?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{16,}"
+              r"|(?i:(?<=\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?))(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}"
+              r"|(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?=[+/=\s]*[A-Za-z0-9])[A-Za-z0-9+/=\s]+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
@@ -49,6 +49,8 @@ FOUND = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: every entity has one of these in it or, for secrets and names, right before it; a text without any never reaches Python
 SPOT = rf"[0-9@=:]|(?=[AsgxP])(?:AKIA|ASIA|sk[-_]|gh[po][-_]|xox[bp][-_]|glpat[-_]|PRIVATE KEY)|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})\.?\s"
 _SPOT = re.compile(SPOT)
+#: after so many attempts, and again after as many more, a surrogate is one character or syllable longer: few forms may all be taken
+WIDEN = 8
 #: characters around a spot that are searched, and then on to the next white space
 AROUND = 100
 _GENDER = regex.compile(rf"\b({_TITLE})\.?\s$")
@@ -149,36 +151,39 @@ class Draw:
 def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
     """Canonical form of the replacement."""
     draw = Draw(key, kind, value, attempt)
+    more = attempt // WIDEN
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        return f"{draw.like(local)}@mail{draw.below(10 ** 6)}.example.{'com' if domain.endswith('.com') else 'org'}"
+        return f"{draw.like(local + 'x' * more)}@mail{draw.below(10 ** 6)}.example.{'com' if domain.endswith('.com') else 'org'}"
     if kind == "ip":  # the reserved block 240.0.0.0/4 names no machine
+        if more:  # the documentation block of IPv6
+            return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
         return ".".join(str(x) for x in (240 + draw.below(15), draw.below(256), draw.below(256), draw.below(256)))
     if kind == "card":
-        body = value[0] + draw.like(value[1:-1])
+        body = value[0] + draw.like(value[1:-1] + "0" * more)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)) == luhn(value))
     if kind == "ssn":  # numbers from 900 are not issued
-        return "9" + draw.like(value[1:])
+        return "9" + draw.like(value[1:] + "0" * more)
     if kind == "phone":
         keep = 2 if value.startswith("+1") else 3 if value.startswith("+") else 0
-        return value[:keep] + draw.like(value[keep:])
+        return value[:keep] + draw.like(value[keep:] + "0" * more)
     if kind == "iban":
-        return value[:2] + draw.like(value[2:])
+        return value[:2] + draw.like(value[2:] + "0" * more)
     if kind.startswith(("given", "surname")):
         script = "cyrillic" if regex.search(r"\p{Cyrillic}", value) else "greek" if regex.search(r"\p{Greek}", value) else "latin"
-        word = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(4))
+        word = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(4 + more))
         return word + ("" if kind == "surname" else ENDINGS[script][kind[-1]])
     hexadecimal = not regex.search(r"[^0-9a-f]", value)
     prefix = regex.match(r"AKIA|ASIA|(?:sk|ghp|gho|xox[bp]|glpat)[-_]", value)
     at = prefix.end() if prefix else 0
-    return value[:at] + draw.like(value[at:], hexadecimal)
+    return value[:at] + draw.like(value[at:] + "0" * more, hexadecimal)
 
 
 def dress(kind: str, said: str, canonical: str) -> str:
     """The canonical surrogate in the punctuation and case of the mention."""
     if kind in ("card", "ssn", "phone", "iban"):
         rest = iter(canonical)
-        return "".join(next(rest, "") if c.isalnum() or c == "+" else c for c in said)
+        return "".join(next(rest, "") if c.isalnum() or c == "+" else c for c in said) + "".join(rest)
     if kind == "email":
         return canonical.upper() if said.isupper() else canonical
     if kind.startswith(("given", "surname")):

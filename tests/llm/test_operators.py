@@ -278,6 +278,37 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 6 and not {r.surrogate for r in got} & {"s0", "a", "b", "ccc", "dddd", "eeeee"}
 
 
+@pytest.fixture
+def few_rounds(monkeypatch):
+    """Fails where surrogates are drawn without end."""
+    calls, real = [], pii.store
+
+    def counted(df, name):
+        calls.append(name)
+        assert len(calls) < 60
+        return real(df, name)
+
+    monkeypatch.setattr(pii, "store", counted)
+
+
+def test_surrogates_of_blanks_end(spark, few_rounds):
+    blanks = ["Password: ________", "token=--------", "pwd: ........", "-----BEGIN RSA PRIVATE KEY-----\n[REDACTED]", "see sk-__________________ here"]
+    rows = [*enumerate(blanks), (10, "password: AKIA____"), *((20 + i, f"password: _______{i}") for i in range(10))]
+    got = {r.doc_id: r.text for r in pii.replace(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(blanks))] == blanks
+    real = {t.split()[-1] for _, t in rows}
+    drawn = [got[i].split()[-1] for i, _ in rows[len(blanks):]]
+    assert len(set(drawn)) == 11 and not set(drawn) & real
+
+
+def test_surrogates_of_a_full_range(spark, few_rounds):
+    """All numbers that keep the form are real: phones of +41 with four digits to draw would be 10,000; two digits show the same."""
+    entities = spark.createDataFrame([("phone", f"+41{i:02}") for i in range(100)] + [("secret", f"-------{c}") for c in "0123456789"], "kind string, value string")
+    got = pii.assign(entities).collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == 110 and not {r.surrogate for r in got} & {r.value for r in got}
+    assert pii.dress("phone", "+4 12 3", "+41789") == "+4 17 89"
+
+
 PAGE = ('<html><head><title>T</title><script>var a="</p>";</script></head><body class="home has-sidebar"><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>'
         '<div class="cookie-notice">We use cookies</div><article><header class="entry-header"><h1>Big &amp; Title</h1></header><p>One <b>bold</b> text<br>next&nbsp;line.'
         '<p>Two <span class="ad">Buy <span>now</span></span> end.<!-- x > y --><ul><li>a<li>b &lt;c&gt;</ul><form>Name<input></form><aside>rel</aside></article>'
