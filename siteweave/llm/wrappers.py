@@ -14,8 +14,10 @@ aligned in a fixed order, in groups first, then the groups' results.
 Slots tell content from frame by their place and by their texts: a slot below a
 frame element (navigation, footer, form, advert, comments, ...) is frame, and so
 is one whose text is the same on nearly all pages of a host whose other texts
-differ.  The wrapper's content is its ``article`` or ``main`` element, or else
-the smallest element with most of the remaining text.
+differ.  A page's content is its ``article`` elements, or else ``main``.  For
+pages with neither, the wrapper gives elements in order: the smallest with most
+of such pages' text, then the smallest with most of what is left, and so on to
+the whole page; a page's content is the first of them that it has.
 
 Defined cases: a null or empty page, or one without content, gives an empty
 text; pages without host are one host; repeated rows are extracted alike; a
@@ -218,7 +220,8 @@ def expression(node: list) -> str:
 def survey(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
     """Forms of pages and slots per host, each reduced in its task: ``tree`` and ``n``, or ``path`` and its figures.
 
-    ``same`` says that all pages of a task have the same text in a slot, ``text`` is its hash.
+    ``same`` says that all pages of a task have the same text in a slot, ``text`` is its hash; ``chars`` are those of
+    pages without an article or main element.
     """
     types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
     names = ["host", "tree", "path", "n", "chars", "same", "text"]
@@ -234,11 +237,12 @@ def survey(pages: DataFrame, host_col: str = "host", html_col: str = "html") ->
                     paths.append(path)
                     own.setdefault(path, []).append(text)
                 trees[host, json.dumps(form(paths), separators=(",", ":"))] += 1
+                marked = any(_name(s) in MAIN for path in own if not in_frame(path) for s in path)
                 for path, texts in own.items():
                     if not in_frame(path):
                         said = xxhash.xxh3_64_intdigest("\n".join(texts)) >> 1
                         x = found.setdefault((host, "/".join(path)), [0, 0, said, said])
-                        x[0], x[1], x[2], x[3] = x[0] + 1, x[1] + sum(map(len, texts)), min(x[2], said), max(x[3], said)
+                        x[0], x[1], x[2], x[3] = x[0] + 1, x[1] + (0 if marked else sum(map(len, texts))), min(x[2], said), max(x[3], said)
             rows = [(h, t, None, n, None, None, None) for (h, t), n in trees.items()]
             rows += [(h, None, p, n, c, lo == hi, lo) for (h, p), (n, c, lo, hi) in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
@@ -282,9 +286,10 @@ def slots(surveyed: DataFrame) -> DataFrame:
 
 
 def content(tree: list, n_pages: int, found: list[tuple[str, int, int, bool]]) -> tuple[list[str], list[str]]:
-    """Paths of the content elements of a wrapper, and of the slots below them that are frame.
+    """Paths of the elements that may be content of pages without article or main, in order, and of the slots that are frame.
 
-    ``found`` has path, pages, characters and constancy of the slots outside the frame.
+    ``found`` has path, pages, characters on such pages and constancy of the slots outside the frame.  Each path
+    takes four fifths of what those before it left, so there are few.
     """
     varying = any(not same for _, n, _, same in found if n > 1)
     constant = [p for p, n, _, same in found if same and varying and n >= max(SAME_PAGES, SAME_SHARE * n_pages)]
@@ -300,21 +305,19 @@ def content(tree: list, n_pages: int, found: list[tuple[str, int, int, bool]]) -
                 walk(child, own)
 
     walk(tree, ())
-    for name in MAIN:
-        # the outermost elements of that name
-        hits = [p for p in paths if _name(p[-1]) == name and not any(_name(s) == name for s in p[:-1])]
-        if hits:
-            return sorted({"/".join(p) for p in hits}), constant
     live = [(tuple(p.split("/")) if p else (), c) for p, _, c, _ in found if p not in constant]
-    total = sum(c for _, c in live)
-    best: tuple[str, ...] = ()
-    for path in sorted(set(paths), key=lambda p: (-len(p), p)):
-        if total and sum(c for p, c in live if p[: len(path)] == path) * 5 >= total * 4:
-            best = path
-            break
-    while best and _name(best[-1]) in ("p", "li", "td", "h1", "h2", "h3", "blockquote"):
-        best = best[:-1]
-    return ["/".join(best)], constant
+    by_depth, roots = sorted(set(paths), key=lambda p: (-len(p), p)), []
+    while total := sum(c for _, c in live):
+        weight: Counter = Counter()
+        for path, c in live:
+            for k in range(len(path) + 1):
+                weight[path[:k]] += c
+        best = next((p for p in by_depth if weight[p] * 5 >= total * 4), ())
+        while best and _name(best[-1]) in ("p", "li", "td", "h1", "h2", "h3", "blockquote"):
+            best = best[:-1]
+        roots.append("/".join(best))
+        live = [(p, c) for p, c in live if p[: len(best)] != best]
+    return [*roots, ""], constant
 
 
 def rules(wrappers: DataFrame, found: DataFrame) -> DataFrame:
@@ -331,10 +334,16 @@ def rules(wrappers: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, inside: list[str], constant: list[str]) -> str:
-    """Blocks of a page below the content elements, without the frame, one per line."""
-    roots = [tuple(p.split("/")) if p else () for p in inside]
-    fixed = {tuple(p.split("/")) for p in constant}
-    return "\n".join(text for path, text in blocks(page) if path not in fixed and any(path[: len(r)] == r for r in roots) and not in_frame(path))
+    """Blocks of a page below its content elements, without the frame, one per line; ``inside`` is for a page without article and main."""
+    own = [(path, text) for path, text in blocks(page) if not in_frame(path)]
+    fixed = {tuple(p.split("/")) if p else () for p in constant}
+    for name in MAIN:
+        if any(_name(s) == name for path, _ in own for s in path):
+            return "\n".join(text for path, text in own if path not in fixed and any(_name(s) == name for s in path))
+    for root in (tuple(p.split("/")) if p else () for p in inside):
+        if any(path[: len(root)] == root for path, _ in own):
+            return "\n".join(text for path, text in own if path not in fixed and path[: len(root)] == root)
+    return ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

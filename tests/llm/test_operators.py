@@ -328,6 +328,21 @@ def test_main_text(spark):
     assert text[6] == "Long text of the page here.\nAnd more of it."
 
 
+def test_main_text_of_mixed_templates(spark):
+    """Pages of one host, and of none, with an article, a main element, and two other templates."""
+    said = {"article": "<article><p>Story {0} of some length</p></article>", "main": "<main><p>About {0} of us</p></main>",
+            "large": "<div class=body><p>Long text {0} of the page " + "and more " * 40 + "</p><p>x {0}</p></div>", "small": "<section class=text><p>Few words {0}</p><p>Others {0}</p></section>"}
+    for kinds in (("article", "main", "large", "small"), ("large", "small")):
+        rows = [(100 * k + i, url, "<body><nav>Home</nav>" + said[kind].format(i) + "<footer>f</footer></body>")
+                for k, kind in enumerate(kinds) for i in range(12 if kind == "large" else 3) for url in [f"https://a.org/{kind}/{i}"]]
+        rows += [(i + 1000, None, page) for i, _, page in rows]
+        got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        for i, _, page in rows:
+            kind = kinds[i % 1000 // 100]
+            want = [" ".join(p.split("</p>")[0].split()) for p in page.split("<p>")[1:]]
+            assert got[i] == "\n".join(want), kind
+
+
 def test_wrappers_align():
     def made(page):
         return wrappers.form([p for p, _ in wrappers.blocks(page)])
