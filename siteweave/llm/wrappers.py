@@ -49,13 +49,24 @@ CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt",
           "th": ("td", "th", "p"), "option": ("option",)}
 BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 FRAME = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu title".split())
+#: elements that may stand in a head; any other ends it
+HEAD = frozenset("html head title base basefont bgsound link meta style script noscript template".split())
 FRAME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
                         "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related "
                         "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 MAIN = ("article", "main")
-WHOLE = frozenset(("html", "body", "main"))
+#: a form with an article or most of the page's text holds the page
+PAGE_FORM = "page-form"
+WHOLE = frozenset(("html", "body", "main", PAGE_FORM))
 QUALIFIERS = frozenset("with without has no".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+#: words that leave a frame word's meaning as it is: ``site-footer`` is a footer, ``related-work`` is not related links
+AFFIXES = frozenset("anchor area article articles bar block bottom box button buttons col column container content entry field fixed form global group icon icons "
+                    "inline inner item items left link links list main mobile outer page panel post posts primary region right row secondary section site slot "
+                    "sticky to top unit wp wrap wrapper".split())
+#: ids that show a frame inside an article, where others are slugs of headings
+ID_INSIDE = frozenset("comments disqus replies respond sidebar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<svg\b[^>]*>(?:.*?</svg\s*>)?|<(script|style|noscript|template|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -71,8 +82,27 @@ def _name(sign: str) -> str:
     return sign.partition(".")[0]
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
+def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """Path of open block elements and decoded text of each run of text between block tags, in page order."""
+    found = list(_blocks(page))
+    forms = {path[: k + 1] for path, _ in found for k, sign in enumerate(path) if _name(sign) == "form"}
+    if not forms:
+        return found
+    # a form is a frame unless it holds an article or most of the text
+    total, held, marked = 0, Counter(), set()
+    for path, text in found:
+        if not in_frame(tuple(PAGE_FORM if _name(sign) == "form" else sign for sign in path)):
+            total += len(text)
+            for k in range(len(path)):
+                if _name(path[k]) == "form":
+                    held[path[: k + 1]] += len(text)
+                    if any(_name(sign) in MAIN for sign in path[k:]):
+                        marked.add(path[: k + 1])
+    wide = {f for f in forms if f in marked or 2 * held[f] > total}
+    return [(tuple(PAGE_FORM if path[: k + 1] in wide else sign for k, sign in enumerate(path)), text) for path, text in found] if wide else found
+
+
+def _blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     stack: list[str] = []
     held: list[str] = []
     at, mute, depth = 0, "", 0
@@ -81,8 +111,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
+            end_head("")
             yield tuple(stack), text
 
+    def end_head(name: str) -> None:
+        """What cannot stand in a head ends it, open or not; only a body ends an open title."""
+        k = next((k for k, sign in enumerate(stack) if _name(sign) == "head"), -1)
+        if k >= 0 and name not in HEAD and (name == "body" or _name(stack[-1]) != "title"):
+            del stack[k:]
+
     for m in TOKEN.finditer(page):
         if not mute:
             held.append(page[at:m.start()])
@@ -95,7 +132,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 mute = mute if depth else ""
             elif name == "br":
                 held.append(" ")
-            elif m[4] and not end and name not in VOID and is_frame(name + _mark(m[4])):
+            elif m[4] and not end and name not in VOID and is_frame(_sign(name, m[4]), whole=True):
                 mute, depth = name, 1
             continue
         if not name:
@@ -109,32 +146,52 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                     del stack[k:]
                     break
         elif name not in VOID:
+            end_head(name)
             ends = CLOSES.get(name, ("p",) if name in BREAKS_P else ())
             while stack and _name(stack[-1]) in ends:
                 stack.pop()
-            stack.append(name + _mark(m[4]))
+            stack.append(_sign(name, m[4]))
     if not mute:
         held.append(page[at:])
     yield from flush()
 
 
-def _mark(attributes: str) -> str:
-    names = [x for found in NAMED.findall(attributes) for x in re.split(r"\W+", "".join(found[1:]).lower()) if x and not x.isdigit()]
-    return "." + ".".join(sorted(set(names))) if names else ""
+def _sign(name: str, attributes: str) -> str:
+    """Tag and class, an element's sign; of ids, which differ from page to page, only those that show a frame (``#menu``)."""
+    marks = set()
+    for kind, *values in NAMED.findall(attributes):
+        for value in "".join(values).lower().split():
+            words = [x for x in re.split(r"\W+", value) if x and not x.isdigit()]
+            if kind.lower() != "id":
+                marks.add("-".join(words))
+            elif name not in HEADINGS and _framed(set(WORD.findall(value)), True):
+                marks.add("#" + "-".join(words))
+    return ".".join((name, *sorted(marks - {""})))
+
+
+def _framed(words: set[str], whole: bool) -> bool:
+    """A frame word, and where ``whole`` counts nothing that changes its meaning."""
+    return bool(words & FRAME_WORDS) and (words <= FRAME_WORDS | AFFIXES if whole else not words & QUALIFIERS)
 
 
-def is_frame(sign: str, inside: bool = False) -> bool:
+def is_frame(sign: str, inside: bool = False, whole: bool = False) -> bool:
     """Frame by tag, or by a word of its class; ``with-sidebar`` and the like describe a page, not a frame.
 
-    ``inside`` an article a header is its own and belongs to it.
+    ``inside`` an article a header is its own and belongs to it, a class counts as a ``whole``, and ids are slugs.
     """
-    name, _, marks = sign.partition(".")
+    name, *marks = sign.split(".")
     if name in FRAME or name == "header" and not inside:
         return True
-    words = set(WORD.findall(marks))
-    if name in WHOLE or words & QUALIFIERS:
+    if name in WHOLE:
         return False
-    return bool((words - {"header"} if inside else words) & FRAME_WORDS)
+    for mark in marks:
+        words = set(WORD.findall(mark))
+        if mark.startswith("#"):
+            if not inside or words & ID_INSIDE:
+                return True
+        elif _framed(words - {"header"} if inside else words, inside or whole):
+            return True
+    return False
 
 
 @functools.lru_cache(1 << 16)

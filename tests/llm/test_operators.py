@@ -343,6 +343,29 @@ def test_main_text_of_mixed_templates(spark):
             assert got[i] == "\n".join(want), kind
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>Body", "Body"),
+    ("<head><title>T</title><link rel=x><div>Body</div>", "Body"),
+    ("<head><title>T <b>bold</b></title></head>Body", "Body"),
+    ("<head><title>T</title>Body <p>more", "Body\nmore"),
+    ("<body><form id=aspnetForm><nav>Home</nav><div class=page><p>The page itself</p></div></form>", "The page itself"),
+    ("<form><article><p>Told</p></article>Much more of a frame than of text</form>", "Told"),
+    ("<article><p>A long text of an article here</p><form>Name</form></article>", "A long text of an article here"),
+    ('<article><section id="related-work"><h2 id="search">Search</h2>Work</section><h2 id="how-to-share-files">Share</h2><div id="skip-lists" class="related-work">Lists</div></article>',
+     "Search\nWork\nShare\nLists"),
+    ('<article><p>Text <a id="binary-search">of</a> all <span class="share-link">Share</span></p><div class="share-buttons">Tell</div><section id="comments">c</section></article>', "Text of all"),
+    ('<div id="site-footer">f</div><div class="related-posts">r</div><div class="x-cookie-note">c</div><div id="related-work">Work</div>', "Work"),
+    ('<p>One</p><svg class="a" viewBox="0 0 1 1"/><p>Two</p><svg><path d=x><text>no</text></svg><p>Three</p><svg><p>Four</p>', "One\nTwo\nThree\nFour"),
+])
+def test_main_text_beside_frames(page, text):
+    assert wrappers.main_text(page, [""], []) == text
+
+
+def test_signs_leave_ids_out():
+    made = [wrappers.form([p for p, _ in wrappers.blocks(f'<article id="post-{x}"><h2 id="a-{x}">x</h2><p id={x}>y</p></article>')]) for x in ("8f3a12", "bc", "slug")]
+    assert made[0] == made[1] == made[2]
+
+
 def test_wrappers_align():
     def made(page):
         return wrappers.form([p for p, _ in wrappers.blocks(page)])
