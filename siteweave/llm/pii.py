@@ -5,7 +5,8 @@ an entity has one surrogate wherever it appears (coreference).  The surrogate
 is drawn from a keyed hash of the canonical form: e-mails keep their shape,
 phones their country code and punctuation, addresses of a network stay
 addresses, card numbers stay valid, secrets keep length and alphabet, names
-keep script, case and, by their title, gender.  Two checks run as joins over
+keep script, case and, by their title, gender.  A name is known by a title; once
+it is, it is one wherever it stands in the same text with a capital.  Two checks run as joins over
 all entities until nothing is left to change: no two entities of a type share a
 surrogate, and no surrogate is an entity of the corpus.
 
@@ -39,10 +40,12 @@ PATTERNS = {
               r"|(?i:(?<=\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?))(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}"
               r"|(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?=[+/=\s]*[A-Za-z0-9])[A-Za-z0-9+/=\s]+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "card": r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
+          r"|(?<![\w:.])(?i:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[23f][0-9a-f]{3}(?::[0-9a-f]{1,4}){0,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?!\w|:\w)",
+    "card": r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])|(?<![\w-])3\d{3}[ -]\d{6}[ -]\d{4,5}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+             r"|(?<![\w.+(-])(?=\(?0(?:\)? ?[.-]?\d){9,10}(?![ .-]?\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])",
     "name": rf"(?<=\b(?:{_TITLE})\.?\s)\p{{Lu}}[\p{{L}}'’-]+(?:\s\p{{Lu}}[\p{{L}}'’-]+)?",
 }
 FOUND = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
@@ -53,6 +56,7 @@ _SPOT = re.compile(SPOT)
 WIDEN = 8
 #: characters around a spot that are searched, and then on to the next white space
 AROUND = 100
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{N}_@'’-])\p{Lu}[\p{L}'’-]+(?![\p{N}_@])")
 _GENDER = regex.compile(rf"\b({_TITLE})\.?\s$")
 # fixed values: endings of made-up given names by gender and script
 ENDINGS = {"latin": {"m": "on", "f": "a", "n": "e"}, "cyrillic": {"m": "ор", "f": "а", "n": "е"}, "greek": {"m": "ος", "f": "α", "n": "ι"}}
@@ -97,7 +101,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for m in _matches(text):
         kind, value = m.lastgroup, m[0]
-        if kind == "email":
+        if kind in ("email", "ip"):
             value = value.lower()
         elif kind in ("card", "ssn", "phone", "iban"):
             value = regex.sub(r"[^\p{L}\d+]", "", value)
@@ -107,10 +111,38 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             gender = next((g for g, ts in TITLES.items() if title and title[1] in ts), "n")
             words = list(regex.finditer(r"\S+", value))
             for k, w in enumerate(words):
-                out.append((m.start() + w.start(), m.start() + w.end(), "surname" if k == len(words) - 1 else f"given_{gender}", w[0].lower()))
+                word = _own(w[0])
+                out.append((m.start() + w.start(), m.start() + w.start() + len(word), "surname" if k == len(words) - 1 else f"given_{gender}", word.lower()))
             continue
         out.append((m.start(), m.end(), kind, value))
-    return out
+    return _named_again(text, out)
+
+
+def _own(word: str) -> str:
+    """A name without the ending of its genitive."""
+    return regex.sub(r"['’-]+s?$", "", word)
+
+
+def _named_again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Adds the names that stand with a title somewhere in the text wherever else they stand in it, with a capital."""
+    names: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith(("given", "surname")):
+            names.setdefault(value, kind)
+    if not names:
+        return found
+    out, k = [], 0
+    for m in _CAPITAL.finditer(text):
+        word = _own(m[0])
+        value = word.lower()
+        if value not in names:
+            continue
+        end = m.start() + len(word)
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or found[k][0] >= end:
+            out.append((m.start(), end, names[value], value))
+    return sorted(found + out)
 
 
 class Draw:
@@ -156,7 +188,7 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.rpartition("@")
         return f"{draw.like(local + 'x' * more)}@mail{draw.below(10 ** 6)}.example.{'com' if domain.endswith('.com') else 'org'}"
     if kind == "ip":  # the reserved block 240.0.0.0/4 names no machine
-        if more:  # the documentation block of IPv6
+        if more or ":" in value:  # the documentation block of IPv6
             return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
         return ".".join(str(x) for x in (240 + draw.below(15), draw.below(256), draw.below(256), draw.below(256)))
     if kind == "card":
@@ -165,7 +197,7 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ssn":  # numbers from 900 are not issued
         return "9" + draw.like(value[1:] + "0" * more)
     if kind == "phone":
-        keep = 2 if value.startswith("+1") else 3 if value.startswith("+") else 0
+        keep = 2 if value.startswith("+1") else 3 if value.startswith("+") else 1 if value.startswith("0") else 0
         return value[:keep] + draw.like(value[keep:] + "0" * more)
     if kind == "iban":
         return value[:2] + draw.like(value[2:] + "0" * more)

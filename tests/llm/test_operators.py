@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from siteweave.llm import anchors, components, decontam, embeddings, langid, mixing, pii, quality, queries, repeats, scan, simhash, suffixes, wrappers
@@ -278,6 +279,30 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.surrogate for r in got}) == 6 and not {r.surrogate for r in got} & {"s0", "a", "b", "ccc", "dddd", "eeeee"}
 
 
+def test_names_without_their_title(spark):
+    text = "Mr John Smith called. John Smith said that SMITH and John's friend, or Smith, write to smith@b.org. Johnson and a smith stay; so does Mr Smith's dog."
+    new = pii.replace(frame(spark, [(1, text), (2, "Smith")])).collect()
+    one, two = (next(r for r in new if r.doc_id == i) for i in (1, 2))
+    given, surname = one.text.split()[1:3]
+    assert not {"John", "Smith", "SMITH"} & set(regex.findall(r"\w+", one.text)) and two.text == "Smith"
+    assert f"{given} {surname} said that {surname.upper()} and {given}'s friend, or {surname}, write" in one.text
+    assert one.text.endswith(f"Johnson and a smith stay; so does Mr {surname}'s dog.") and one.n_entities == 9
+
+
+@pytest.mark.parametrize("kind, said", [
+    ("card", "3782 822463 10005"), ("card", "3056-930902-5904"), ("phone", "020 7946 0958"), ("phone", "(020) 7946 0958"), ("phone", "01632 960 983"), ("phone", "06 12 34 56 78"),
+    ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "2A02:908::1:ff"), ("ip", "fe80::1")])
+def test_more_shapes(kind, said):
+    assert [(text[a:b], k) for text in [f"x {said}, y"] for a, b, k, _ in pii.find(text)] == [(said, kind)]
+    value = pii.find(said)[0][3]
+    new = pii.dress(kind, said, pii.surrogate("k", kind, value))
+    assert new != said and [(a, b, k) for a, b, k, _ in pii.find(new)] == [(0, len(new), kind)]
+
+
+def test_shapes_that_are_none():
+    assert not [x for t in ("x[1::2] a::b std::ab 10:20:30", "001 002 003", "2020 123456 12345", "01-02-2003", "0.123 456 789") for x in pii.find(t)]
+
+
 @pytest.fixture
 def few_rounds(monkeypatch):
     """Fails where surrogates are drawn without end."""
