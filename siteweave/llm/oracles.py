@@ -57,5 +57,26 @@ g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM r),
 k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n_kept FROM x ANTI JOIN g USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_CODES = "list_transform(string_split({0}, ''), lambda c: unicode(c))"
+
+SPELLING_VARIANTS = f"""WITH RECURSIVE t AS (SELECT unnest({_CRC_TABLE}) AS v, unnest(range(256)) AS k),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+r AS (SELECT row_number() OVER () AS rid, id, run, c FROM (SELECT id, translate(run, '{_UP}', '{_LOW}') AS run, count(*) AS c FROM d GROUP BY 1, 2) x),
+s AS (SELECT rid, flatten(list_transform({_CODES.format("id || ':' || run")}, lambda u: CASE WHEN u < 128 THEN [u] ELSE [195, u - 64] END)) AS b FROM r),
+h(rid, b, pos, crc) AS (SELECT rid, b, 1, 4294967295::BIGINT FROM s UNION ALL
+  SELECT rid, b, pos + 1, xor(crc >> 8, v::BIGINT) FROM h JOIN t ON t.k = xor(crc, b[pos]::BIGINT) & 255 WHERE pos <= len(b)),
+g AS (SELECT rid, xor(crc, 4294967295) AS h FROM h WHERE pos = len(b) + 1),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM r JOIN g USING (rid)),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) y),
+p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b USING (i, less) WHERE a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.less UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.less),
+o AS (SELECT a, count(*) AS n_near, max(w.n) AS most FROM p JOIN w ON w.word = p.b GROUP BY 1),
+f AS (SELECT o.a AS word, min(p.b) AS form, any_value(most) AS form_n FROM o JOIN p USING (a) JOIN w ON w.word = p.b AND w.n = most JOIN w own ON own.word = o.a WHERE most >= 5 * own.n GROUP BY 1),
+z(word, root, step) AS (SELECT word, form, 1 FROM f UNION ALL SELECT z.word, f.form, step + 1 FROM z JOIN f ON f.word = z.root),
+l AS (SELECT word, arg_max(root, step) AS root FROM z GROUP BY 1)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n FROM w LEFT JOIN f USING (word) LEFT JOIN l USING (word) LEFT JOIN o ON o.a = word"""
+
 ORACLE_SQL = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_decontamination": DECONTAMINATION, "op7_embedding_dedup": EMBEDDING_DEDUP, "op9_mixing": MIXING,
-              "op10_substring_dedup": SUBSTRING_DEDUP}
+              "op10_substring_dedup": SUBSTRING_DEDUP, "op11_spelling_variants": SPELLING_VARIANTS}
