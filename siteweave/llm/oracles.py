@@ -78,5 +78,16 @@ z(word, root, step) AS (SELECT word, form, 1 FROM f UNION ALL SELECT z.word, f.f
 l AS (SELECT word, arg_max(root, step) AS root FROM z GROUP BY 1)
 SELECT word, form, coalesce(root, word) AS root, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n FROM w LEFT JOIN f USING (word) LEFT JOIN l USING (word) LEFT JOIN o ON o.a = word"""
 
+RANKED_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM} AS w FROM documents),
+n AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM n),
+q AS (SELECT iid, item_id, t, count(*) AS c FROM (SELECT iid, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS iid, item_id, {_ALNUM} AS w FROM benchmark) x) y GROUP BY 1, 2, 3),
+x AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) y WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+v AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM x GROUP BY 1) y, g),
+s AS (SELECT iid, item_id, doc_id, rid, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // l)))) AS BIGINT) AS score
+  FROM q JOIN v USING (t) JOIN x USING (t) JOIN n USING (rid), g GROUP BY 1, 2, 3, 4),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
 ORACLE_SQL = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_decontamination": DECONTAMINATION, "op7_embedding_dedup": EMBEDDING_DEDUP, "op9_mixing": MIXING,
-              "op10_substring_dedup": SUBSTRING_DEDUP, "op11_spelling_variants": SPELLING_VARIANTS}
+              "op10_substring_dedup": SUBSTRING_DEDUP, "op11_spelling_variants": SPELLING_VARIANTS, "op12_ranked_search": RANKED_SEARCH}

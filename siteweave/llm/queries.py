@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, quality, simhash, spelling, suffixes, wrappers
+from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, quality, search, simhash, spelling, suffixes, wrappers
 from siteweave.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -66,6 +66,10 @@ def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(spelling.words(_read(spark, sf, "documents")))
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.rank(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_html_extraction, op3_quality, op4_decontamination, op5_language_id, op6_simhash, op7_embedding_dedup, op8_pii_surrogates, op9_mixing, op10_substring_dedup,
-    op11_spelling_variants)}
+    op11_spelling_variants, op12_ranked_search)}
