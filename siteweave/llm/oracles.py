@@ -89,5 +89,12 @@ s AS (SELECT iid, item_id, doc_id, rid, CAST(sum(c * w * ((1000000000 * tf) // (
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
 
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+c AS (SELECT s, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (5 * (3 - k))) & 31 AS INT) + 1, 1), '' ORDER BY g, k) AS payload_digest
+  FROM (SELECT s, g, CAST('0x' || substr(s, CAST(5 * g + 1 AS INT), 5) AS BIGINT) AS v FROM (SELECT DISTINCT s FROM d) x, range(8) r(g)) y, range(4) q(k) GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN c USING (s)"""
+
 ORACLE_SQL = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_decontamination": DECONTAMINATION, "op7_embedding_dedup": EMBEDDING_DEDUP, "op9_mixing": MIXING,
-              "op10_substring_dedup": SUBSTRING_DEDUP, "op11_spelling_variants": SPELLING_VARIANTS, "op12_ranked_search": RANKED_SEARCH}
+              "op10_substring_dedup": SUBSTRING_DEDUP, "op11_spelling_variants": SPELLING_VARIANTS, "op12_ranked_search": RANKED_SEARCH, "op13_warc": WARC}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, quality, search, simhash, spelling, suffixes, wrappers
+from siteweave.llm import anchors, decontam, embeddings, langid, mixing, pii, quality, search, simhash, spelling, suffixes, warc, wrappers
 from siteweave.llm.oracles import ORACLE_SQL  # noqa: F401
+from siteweave.llm.store import scratch
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,6 +71,12 @@ def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.rank(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
 
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(_read(spark, sf, "pages"), path)
+    return warc.read(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_html_extraction, op3_quality, op4_decontamination, op5_language_id, op6_simhash, op7_embedding_dedup, op8_pii_surrogates, op9_mixing, op10_substring_dedup,
-    op11_spelling_variants, op12_ranked_search)}
+    op11_spelling_variants, op12_ranked_search, op13_warc)}
