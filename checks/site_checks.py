@@ -20,6 +20,7 @@ from siteweave.operators import metadata as MD
 from siteweave.operators import products as PR
 from siteweave.operators.facts import first_values
 from siteweave.operators.signals import page_signals
+from siteweave.plans import documents as DOC
 from siteweave.plans import reports as R
 from siteweave.plans import summary as S
 
@@ -505,8 +506,10 @@ def ss7(spark, sf):
 @check("ss6_sitemap_report")
 def ss6(spark, sf):
     pages = crawl(spark, sf)
-    sites = S.site_summary(pages, analysis_date="2026-01-02 03:04:05")
-    return R.sitemap_report(sites, L.placed_links(D.parse(pages)))
+    found, videos = M.all_maps(signals(spark, sf)), MK.videos(signals(spark, sf))
+    sites = S.site_summary(pages, analysis_date="2026-01-02 03:04:05", found=found, videos=videos, lists=False)
+    whole = DOC.whole(DOC.sitemap_text(sites, L.placed_links(D.parse(pages)), DOC.site_lists(found, videos)))
+    return whole.withColumnRenamed("folder", "site_id")
 
 
 @check("snk4_master_json")

@@ -11,11 +11,13 @@ from siteweave.operators import dom as D
 from siteweave.operators import graph as G
 from siteweave.operators import links as L
 from siteweave.operators import maps as M
+from siteweave.operators import marketing as MK
 from siteweave.operators import pages as P
 from siteweave.operators.signals import page_signals
-from siteweave.plans import compiler, reports, summary
+from siteweave.plans import compiler, documents, summary
 from siteweave.session import materialise
 from siteweave.sources import sinks
+from siteweave.sources.documents import write_pieces
 
 
 @dataclass
@@ -26,7 +28,9 @@ class Crawl:
     signals: DataFrame
     links: DataFrame
     reached: DataFrame
-    sites: DataFrame
+    sites: DataFrame  # without the lists that grow with a site
+    found: DataFrame  # map links
+    videos: DataFrame
 
 
 def crawl(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",
@@ -43,30 +47,32 @@ def crawl(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 20
     starts = L.main_pages(signals, seeds).select("site_id", F.col("main_url").alias("url"))
     reached = materialise(G.reach(starts, G.site_edges(links), max_urls, max_depth), "reached")
     stats = materialise(G.crawl_stats(reached, links), "crawl_stats")
-    sites = summary.site_summary(good, seeds, stats, as_of_year, analysis_date, signals, links)
-    return Crawl(good, signals, links, reached, sites)
+    found = materialise(M.all_maps(signals), "map_links")
+    videos = materialise(MK.videos(signals), "videos")
+    sites = summary.site_summary(good, seeds, stats, as_of_year, analysis_date, signals, links, found, videos, lists=False)
+    return Crawl(good, signals, links, reached, materialise(sites, "records"), found, videos)
 
 
 def analyse(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",
             max_urls: int | None = None, max_depth: int | None = None) -> DataFrame:
-    """The site records of :func:`crawl`."""
-    return crawl(pages, seeds, as_of_year, analysis_date, max_urls, max_depth).sites
-
-
-def write_sites(sites: DataFrame, out: str) -> None:
-    """SNK1 (head), SNK4, SNK5, SNK7: what follows from the site records."""
-    sinks.write_csv(summary.flatten(sites), f"{out}/summary_csv")
-    sinks.write_documents(sinks.master_json(sites), f"{out}/master_json")
-    sinks.write_documents(sinks.sitemap_head(sites), f"{out}/sitemap_json")
-    sinks.write_documents(reports.business_report(sites), f"{out}/reports")
+    """The site records of :func:`crawl`, with their lists as arrays."""
+    done = crawl(pages, seeds, as_of_year, analysis_date, max_urls, max_depth)
+    return summary.with_lists(done.sites, done.found, done.videos)
 
 
 def write_all(done: Crawl, out: str) -> None:
-    """SNK1-SNK5, SNK7, SNK8 and SS6 of a crawl."""
-    write_sites(done.sites, out)
-    sinks.write_documents(sinks.sitemap_parts(L.with_depth(done.links, done.reached)), f"{out}/sitemap_links")
-    sinks.write_documents(reports.sitemap_report(done.sites, done.links), f"{out}/sitemap_reports")
-    records = materialise(sinks.page_records(done.signals, M.all_maps(done.signals), done.reached), "page_records")
+    """SNK1-SNK5, SNK7, SNK8 and SS6 of a crawl.
+
+    Named documents of each site: ``reports``, ``sitemaps`` and ``master`` hold a folder per site, ``summary_csv`` the summary rows; no row
+    holds a whole list.  Page records, HTML and unique pages are tables.
+    """
+    lists = materialise(documents.site_lists(done.found, done.videos), "site_lists")
+    links = materialise(L.with_depth(done.links, done.reached), "links_with_depth")
+    write_pieces(documents.report_text(done.sites, lists), documents.ORDER, f"{out}/reports")
+    write_pieces(documents.sitemap_json(done.sites, links, lists).unionByName(documents.sitemap_text(done.sites, links, lists)), documents.ORDER, f"{out}/sitemaps")
+    write_pieces(documents.master_json(done.sites, lists), documents.ORDER, f"{out}/master")
+    write_pieces(documents.summary_csv(done.sites, lists), documents.ORDER, out)
+    records = materialise(sinks.page_records(done.signals, done.found, done.reached), "page_records")
     sinks.write_documents(sinks.page_json(records), f"{out}/page_json")
     sinks.write_documents(sinks.html_files(done.pages), f"{out}/html")
     content = done.signals.select("page_id", F.col("text").alias("content"))

@@ -94,17 +94,26 @@ def phone_columns(signals: DataFrame) -> DataFrame:
 
 
 def map_columns(found: DataFrame, signals: DataFrame) -> DataFrame:
-    """MP5-MP7 per site; the record shows the list of a site's distinct map links."""
+    """MP5-MP7 per site, without the list of the links."""
     stats = M.site_maps(found.select("site_id").distinct(), found).withColumnRenamed("status", "maps_status")
-    lists = found.groupBy("site_id").agg(F.sort_array(F.collect_set("map_url")).alias("all_maps"))
-    on_contact = M.contact_page_maps(found, P.page_kinds(signals))
-    return stats.join(lists, "site_id").join(on_contact, "site_id", "left")
+    return stats.join(M.contact_page_maps(found, P.page_kinds(signals)), "site_id", "left")
 
 
-def video_columns(signals: DataFrame) -> DataFrame:
-    """MK3 per site; the record shows the list of a site's video links."""
-    return MK.videos(signals).groupBy("site_id").agg(
-        F.sort_array(F.collect_list("video_url")).alias("videos"), F.count("*").alias("video_count"))
+def video_columns(videos: DataFrame) -> DataFrame:
+    """MK3 per site, without the list of the links."""
+    return videos.groupBy("site_id").agg(F.count("*").alias("video_count"))
+
+
+def with_lists(sites: DataFrame, found: DataFrame, videos: DataFrame) -> DataFrame:
+    """The record with its two lists as arrays, sorted: for sites whose lists fit a row.
+
+    :mod:`siteweave.plans.documents` writes records and reports of any size without them.
+    """
+    maps = found.groupBy("site_id").agg(F.sort_array(F.collect_set("map_url")).alias("all_maps"))
+    seen = videos.groupBy("site_id").agg(F.sort_array(F.collect_set("video_url")).alias("videos"))
+    none = F.array().cast("array<string>")
+    joined = sites.join(side_by_side([maps, seen]), "site_id", "left")
+    return joined.select(*sites.columns, *[F.coalesce(c, none).alias(c) for c in ("all_maps", "videos")])
 
 
 def main_columns(pages: DataFrame, signals: DataFrame, seeds: DataFrame | None) -> DataFrame:
@@ -118,32 +127,38 @@ def main_columns(pages: DataFrame, signals: DataFrame, seeds: DataFrame | None)
 
 
 def site_summary(pages: DataFrame, seeds: DataFrame | None = None, stats: DataFrame | None = None, as_of_year: int = 2026,
-                 analysis_date: str = "", signals: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+                 analysis_date: str = "", signals: DataFrame | None = None, links: DataFrame | None = None, found: DataFrame | None = None,
+                 videos: DataFrame | None = None, lists: bool = True) -> DataFrame:
     """SS1: the full record of every site, from all its pages.
 
     ``pages(page_id, url, html, status_code, load_time)``; ``stats`` is the
     crawl result of :func:`siteweave.operators.graph.crawl_stats`; without it
     page and link totals come from the stored links and the depth is 0.
-    A job that has stored ``signals`` and ``links`` passes them on.  The HTML is
-    read by the signals, and again only for the pages that are parsed as trees.
+    A job that has stored ``signals``, ``links``, map links ``found`` and
+    ``videos`` passes them on.  The HTML is read by the signals, and again only
+    for the pages that are parsed as trees.  Without ``lists`` the record leaves
+    out the two lists that grow with a site; their counts are there.
     """
     signals = signals if signals is not None else materialise(page_signals(pages), "signals")
     links = links if links is not None else materialise(L.page_links(signals), "links")
     structure = stats if stats is not None else L.site_structure(signals, links).withColumn("max_depth", F.lit(0).cast("bigint"))
     offers = materialise(PR.all_products(signals, pages), "offers")
+    found = found if found is not None else materialise(M.all_maps(signals), "map_links")
+    videos = videos if videos is not None else materialise(MK.videos(signals), "videos")
     parts = {
         "text": text_facts(signals, as_of_year),
         "main": main_columns(pages, signals, seeds),
         "links": side_by_side([structure, L.counts(links).drop("total_links")]),
-        "maps": map_columns(materialise(M.all_maps(signals), "map_links"), signals),
+        "maps": map_columns(found, signals),
         "lists": side_by_side([C.social_columns(C.social_profiles(signals)), C.ld_brand(signals), phone_columns(signals),
-                               MD.keywords(signals), video_columns(signals)]),
+                               MD.keywords(signals), video_columns(videos)]),
         "products": PR.product_columns(PR.price_extremes(PR.cheapest_offers(offers))),
         "about": MD.about(pages, signals, links),
     }
     # one job per extractor: small plans, and a failed job repeats only its own part
     sites = side_by_side([materialise(df, name) for name, df in parts.items()]).where("pages_analysed is not null")
-    return finish(materialise(sites, "sites"), analysis_date)
+    done = finish(materialise(sites, "sites"), analysis_date)
+    return with_lists(done, found, videos) if lists else done
 
 
 def finish(sites: DataFrame, analysis_date: str = "") -> DataFrame:
@@ -151,10 +166,9 @@ def finish(sites: DataFrame, analysis_date: str = "") -> DataFrame:
     zero = ["internal_links", "external_links", "social_links", "maps_links", "contact_links", "direct_links", "iframe_embeds",
             "javascript_maps", "structured_data_maps", "contact_page_maps", "total_maps_found", "video_count"]
     filled = sites.select(
-        *[c for c in sites.columns if c not in zero + ["maps_status", "all_maps", "videos"]],
+        *[c for c in sites.columns if c not in [*zero, "maps_status"]],
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in zero],
         F.coalesce("maps_status", F.lit("Not Found")).alias("maps_status"),
-        *[F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c) for c in ("all_maps", "videos")],
     ).select(
         "*", F.lit(analysis_date).alias("analysis_date"), F.col("site_id").alias("domain"),
         F.coalesce("ld_brand", C.brand_from_title(F.col("title")), C.brand_from_host(F.col("main_url"))).alias("brand_name"),
@@ -179,14 +193,8 @@ def batch_outcome(seeds: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("done")).alias("completed"), F.count_if(F.col("done").isNull()).alias("failed"))
 
 
-def _product_fields() -> list[Column]:
-    fields = []
-    for side in ("min", "max"):
-        for i in (1, 2, 3, 4):
-            item = F.try_element_at(F.col(f"{side}_products"), F.lit(i))
-            label = f"{side.title()} Price Product {i}"
-            fields += [item["name"].alias(f"{label} Name"), item["price"].alias(f"{label} Price"), item["url"].alias(f"{label} URL")]
-    return fields
+PRODUCT_COLUMNS = {f"{side.title()} Price Product {i} {label}": (f"{side}_products", i, field) for side in ("min", "max") for i in (1, 2, 3, 4)
+                   for label, field in (("Name", "name"), ("Price", "price"), ("URL", "url"))}
 
 
 # fixed values: column names of the summary file and the fields they show
@@ -212,7 +220,7 @@ CSV_COLUMNS = {
 }
 
 
-def flatten(sites: DataFrame) -> DataFrame:
+def flatten(sites: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """SS4: 84 columns; booleans as Yes / No, lists joined, products spread out."""
     kinds = dict(sites.dtypes)
     fields = []
@@ -227,4 +235,5 @@ def flatten(sites: DataFrame) -> DataFrame:
         elif name == "keywords":
             c = F.coalesce(c, F.lit(""))
         fields.append(c.alias(label))
-    return sites.select(*fields, *_product_fields())
+    products = [F.try_element_at(F.col(column), F.lit(i))[field].alias(label) for label, (column, i, field) in PRODUCT_COLUMNS.items()]
+    return sites.select(*keep, *fields, *products)

@@ -12,9 +12,13 @@ from siteweave.operators import maps as M
 from siteweave.operators import pages as P
 from siteweave.operators.signals import page_signals
 from siteweave.plans import compiler as CP
+from siteweave.plans import documents as DOC
 from siteweave.plans import pipeline
+from siteweave.plans import reports as R
 from siteweave.plans import summary as S
+from siteweave.session import materialise
 from siteweave.sources import readers, sinks
+from siteweave.sources.documents import write_pieces
 from tests.test_operators import pages_of
 
 
@@ -35,20 +39,64 @@ def test_outputs_of_a_crawl_read_back(spark, sf, tmp_path):
         return spark.read.parquet(f"{out}/{name}")
 
     sites, n_pages = done.sites.count(), done.pages.count()
-    assert table("master_json").count() == table("sitemap_json").count() == table("reports").count() == table("sitemap_reports").count() == sites
     assert table("page_json").count() == table("html").count() == n_pages
     depths = {json.loads(r.document)["depth"] for r in table("page_json").collect()}
     assert max(depths) >= 1
-    entries = [e for r in table("sitemap_links").collect() for e in json.loads(r.entries)]
-    assert any(e["is_navigation"] for e in entries) and any(e["is_footer"] for e in entries) and any(e.get("depth", 0) >= 1 for e in entries)
-    text = "\n".join(r.content for r in table("sitemap_reports").collect())
-    assert "Navigation Links (" in text and "Footer Links (" in text
-    back = CP.compile_reports(readers.read_reports(spark, f"{out}/reports"))
-    flat = {r["Domain"]: r for r in S.flatten(done.sites).collect()}
+    full = S.with_lists(done.sites, done.found, done.videos)
+    flat = {r["Domain"]: r for r in S.flatten(full).collect()}
+    lists = {r.site_id: (r.all_maps, r.videos) for r in full.collect()}
+    first = {(r.site_id, r.section, r.url) for r in L.first_links(done.links).collect()}
+    texts = ""
+    for site, row in flat.items():
+        base = tmp_path / "out"
+        sitemap = json.loads((base / "sitemaps" / site / f"{site}_complete_sitemap.json").read_text())
+        assert sitemap["domain"] == site and sitemap["google_maps_info"]["all_maps_links"] == lists[site][0]
+        for section in ("internal", "external", "social", "contact"):
+            urls = [e["url"] for e in sitemap[f"{section}_links"]]
+            assert len(urls) == len(set(urls)) and set(urls) == {u for s, k, u in first if s == site and k == section}
+        if sitemap["internal_links"]:
+            assert list(sitemap["internal_links"][0]) == DOC.LONG_LINK
+        master = json.loads((base / "master" / site / f"{site}_master.json").read_text())
+        assert (master["all_maps"], master["videos"]) == lists[site] and master["main_url"] == row["Main URL"]
+        texts += (base / "sitemaps" / site / f"{site}_sitemap_summary.txt").read_text()
+    assert len(list((tmp_path / "out" / "reports").glob("*/*_comprehensive_summary.txt"))) == sites
+    assert "Navigation Links (" in texts and "Footer Links (" in texts
+    in_rows = {r.site_id: r.content for r in R.business_report(full).collect()}
+    files = {r.folder: r.content for r in readers.read_report_files(spark, f"{out}/reports").collect()}
+    assert files == in_rows
+    read = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{out}/summary_csv")
+    assert read.columns == S.flatten(full).columns
+    sinks.write_csv(S.flatten(full), f"{out}/plain_csv")
+    plain = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{out}/plain_csv")
+    assert sorted(map(str, read.collect())) == sorted(map(str, plain.collect()))
+    back = CP.compile_reports(readers.read_report_files(spark, f"{out}/reports"))
     for r in back.collect():
         assert r.email == (flat[r.domain]["Email"] or "") and r.total_word_count == str(flat[r.domain]["Total Word Count"])
-        assert "In Short:" in r.notes_for_sdr or r.notes_for_sdr
-    assert len(list((tmp_path / "out" / "reports").glob("bucket=*"))) <= 64
+
+
+def test_a_site_of_many_links_is_written_in_pieces(spark, tmp_path):
+    """No piece holds a list; the documents hold all of it, in order."""
+    n = 30_000
+    link = spark.range(n).select(
+        F.lit("hot.com").alias("site_id"), F.col("id").alias("page_id"), F.lit(0).alias("link_seq"), F.concat(F.lit("https://hot.com/"), "id").alias("source_page"),
+        F.concat(F.lit("https://facebook.com/"), "id").alias("url"), F.lit("t").alias("anchor_text"), F.lit("social").alias("link_type"), F.lit(None).cast("string").alias("context"),
+        *[F.lit(False).alias(c) for c in ("is_navigation", "is_footer", "is_contact", "is_about")])
+    found = spark.range(n).select(F.lit("hot.com").alias("site_id"), F.concat(F.lit("https://maps/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("map_url"))
+    videos = spark.createDataFrame([("hot.com", "https://v/1")], "site_id string, video_url string")
+    pages = pages_of(spark, "<title>T</title>").withColumn("url", F.lit("https://hot.com/"))
+    sites = S.site_summary(pages, lists=False).withColumn("total_maps_found", F.lit(n)).withColumn("video_count", F.lit(1)).withColumn("social_links", F.lit(n))
+    lists = materialise(DOC.site_lists(found, videos), "lists")
+    pieces = DOC.sitemap_text(sites, link, lists).unionByName(DOC.sitemap_json(sites, link, lists)).unionByName(DOC.report_text(sites, lists))
+    assert pieces.agg(F.max(F.length("text"))).first()[0] < 10_000
+    assert write_pieces(pieces, DOC.ORDER, str(tmp_path / "out")) == 3
+    base = tmp_path / "out" / "hot.com"
+    text = (base / "hot.com_sitemap_summary.txt").read_text()
+    shown = [line for line in text.split("\n") if "facebook.com" in line]
+    assert shown == [f"  • https://facebook.com/{i} (from: https://hot.com/{i})" for i in range(n)]
+    numbered = [line for line in (base / "hot.com_comprehensive_summary.txt").read_text().split("\n") if "https://maps/" in line]
+    assert numbered == [f"  {i + 1}. https://maps/{i:06d}" for i in range(n)]
+    sitemap = json.loads((base / "hot.com_complete_sitemap.json").read_text())
+    assert [e["url"] for e in sitemap["social_links"]] == [f"https://facebook.com/{i}" for i in range(n)] and len(sitemap["google_maps_info"]["all_maps_links"]) == n
 
 
 def test_buckets_follow_the_place_on_the_page(spark):
