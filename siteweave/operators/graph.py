@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave.operators.links import complexity
+from siteweave.operators.walk import depths
 from siteweave.session import materialise, shared_folder
 
 
@@ -20,7 +21,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int | None = None, max_
     the page was opened before the site reached ``max_urls``.
 
     Without ``max_urls`` every page is opened, so no queue is kept: ``position``
-    is null and a level costs joins and aggregates by (site, url) only.
+    is null and the depths come from :func:`siteweave.operators.walk.depths`.
 
     The cap acts between pages, as in a queue: a page is opened only while
     fewer than ``max_urls`` URLs are known, and then all its links count.
@@ -33,6 +34,10 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int | None = None, max_
     executor costs one level and plans stay small.  The loop itself fetches
     one row per level, to see whether it is done.
     """
+    if max_urls is None:
+        found = depths(starts, edges, max_depth)
+        none = F.lit(None).cast("bigint")
+        return found.select("site_id", "url", F.col("depth").cast("int").alias("depth"), none.alias("position"), F.lit(True).alias("processed"))
     spark = starts.sparkSession
     links = materialise(edges.groupBy("site_id", "source", "url").agg(F.min("link_seq").alias("link_seq")), "edges")
     folder = shared_folder(spark, "levels")
@@ -46,7 +51,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int | None = None, max_
         .write.parquet(f"{folder}/depth=0")
     by_site = Window.partitionBy("site_id")
     for depth in count() if max_depth is None else range(max_depth):
-        frontier = level(depth) if max_urls is None else level(depth).where(F.col("known") < max_urls)
+        frontier = level(depth).where(F.col("known") < max_urls)
         if frontier.isEmpty():
             break
         seen = spark.read.schema(schema).parquet(f"{folder}/depth=*").select("site_id", "url")
@@ -55,10 +60,6 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int | None = None, max_
         new = found.groupBy("site_id", "url").agg(
             F.min(F.struct("parent", "link_seq")).alias("at"), F.max("known").alias("known")
         ).join(seen, ["site_id", "url"], "left_anti")
-        if max_urls is None:
-            none = F.lit(None).cast("bigint")
-            new.select("site_id", "url", none.alias("parent"), none.alias("position"), "known").write.parquet(f"{folder}/depth={depth + 1}")
-            continue
         # known + URLs first seen on earlier parents = URLs known when the parent is opened
         ranked = new.withColumn("before", F.col("known") + F.rank().over(by_site.orderBy("at.parent")) - 1)
         kept = ranked.where(F.col("before") < max_urls).withColumn(
@@ -68,8 +69,6 @@ def reach(starts: DataFrame, edges: DataFrame, max_urls: int | None = None, max_
             (F.col("known") + F.count("*").over(by_site)).alias("known"),
         ).write.parquet(f"{folder}/depth={depth + 1}")
     levels = spark.read.schema(schema + ", depth int").option("basePath", folder).parquet(folder)
-    if max_urls is None:
-        return levels.select("site_id", "url", "depth", F.lit(None).cast("bigint").alias("position"), F.lit(True).alias("processed"))
     # the parent whose links reach the cap is the last one opened on its level
     full = levels.where((F.col("position") >= max_urls) & (F.col("depth") > 0)).groupBy("site_id", (F.col("depth") - 1).alias("depth")).agg(
         F.min("parent").alias("last"))
