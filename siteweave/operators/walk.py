@@ -15,7 +15,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.session import materialise, shared_folder
@@ -33,17 +33,23 @@ class Bucketed:
     path: str
     keys: tuple[str, str]
     buckets: int
+    begun: bool = False
 
     @classmethod
     def create(cls, spark: SparkSession, name: str, keys: tuple[str, str]) -> Bucketed:
         path = shared_folder(spark, name)
         return cls(spark, f"{name}_{uuid.uuid4().hex}", path, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def add(self, rows: DataFrame, by: str | None = None) -> Bucketed:
-        """Write rows; those that a join or aggregate on the keys has dealt out already are not moved again."""
-        writer = rows.write.mode("append").option("path", self.path).bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
-        (writer.partitionBy(by) if by else writer).saveAsTable(self.name)
-        return self
+    def add(self, rows: DataFrame) -> int:
+        """Write rows and tell how many; those that a join or aggregate on the keys has dealt out already are not moved again."""
+        told = Observation()
+        rows = rows.observe(told, F.count(F.lit(1)).alias("n"))
+        if self.begun:
+            rows.write.insertInto(self.name)
+        else:
+            rows.write.option("path", self.path).bucketBy(self.buckets, *self.keys).saveAsTable(self.name)
+            self.begun = True
+        return told.get["n"]
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -62,9 +68,10 @@ def depths(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, pl
     trace = [] if trace is None else trace
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = edges.where("source <> url").select("site_id", "source", "url").distinct().withColumn("length", F.lit(1).cast("bigint"))
-    graph = Bucketed.create(spark, "edges", ("site_id", "source")).add(one.repartition(n, "site_id", "source"))
+    graph = Bucketed.create(spark, "edges", ("site_id", "source"))
+    graph.add(one.repartition(n, "site_id", "source"))
     labels = Bucketed.create(spark, "labels", ("site_id", "url"))
-    labels.add(starts.select("site_id", "url", F.lit(0).cast("bigint").alias("depth"), F.lit(0).alias("round")).distinct().repartition(n, "site_id", "url"), "round")
+    labels.add(starts.select("site_id", "url", F.lit(0).cast("bigint").alias("depth"), F.lit(0).alias("round")).distinct().repartition(n, "site_id", "url"))
     runs: list[DataFrame] = []
     at = 0
     used = [graph, labels]
@@ -72,13 +79,13 @@ def depths(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, pl
         if at and at % plain == 0:
             shorter, inside = _contracted(graph.table(), labels.table(), at, trace)
             runs.append(inside)
-            graph = Bucketed.create(spark, "edges", ("site_id", "source")).add(shorter.repartition(n, "site_id", "source"))
+            graph = Bucketed.create(spark, "edges", ("site_id", "source"))
+            graph.add(shorter.repartition(n, "site_id", "source"))
             used.append(graph)
         trace.append("level")
-        labels.add(level(graph.table(), labels.table(), at, max_depth), "round")
-        at += 1
-        if labels.table().where(F.col("round") == at).isEmpty():
+        if not labels.add(level(graph.table(), labels.table(), at, max_depth)):
             break
+        at += 1
     known = spark.read.schema("site_id string, url string, depth bigint").parquet(labels.path).groupBy("site_id", "url").agg(F.min("depth").alias("depth"))
     for inside in reversed(runs):
         known = materialise(known, "depths")
@@ -98,10 +105,9 @@ def level(graph: DataFrame, labels: DataFrame, at: int, max_depth: int | None =
     if max_depth is not None:
         found = found.where(F.col("depth") <= max_depth)
     best = found.groupBy("site_id", "url").agg(F.min("depth").alias("depth"))
-    known = labels.select("site_id", F.col("url"), F.col("depth").alias("old"))
-    # a known page may have several labels; only one below all of them is new
-    worse = best.join(known, ["site_id", "url"], "left").groupBy("site_id", "url").agg(F.min("depth").alias("depth"), F.min("old").alias("old"))
-    return worse.where("old is null or depth < old").select("site_id", "url", "depth", F.lit(at + 1).alias("round"))
+    known = labels.select(F.col("site_id").alias("known_site"), F.col("url").alias("known_url"), F.col("depth").alias("old"))
+    same = (best["site_id"] == known["known_site"]) & (best["url"] == known["known_url"]) & (known["old"] <= best["depth"])
+    return best.join(known, same, "left_anti").select("site_id", "url", "depth", F.lit(at + 1).alias("round"))
 
 
 def _contracted(graph: DataFrame, labels: DataFrame, at: int, trace: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +140,9 @@ def _contracted(graph: DataFrame, labels: DataFrame, at: int, trace: list[str])
         F.when(F.col("out_of") & (F.col("before") != F.col("url")), F.col("before")).alias("before"), F.col("source").alias("page"))
     steps = materialise(steps.where("anchor is not null or before is not null").select(
         "site_id", "source", "url", "length", "anchor", F.col("before").alias("to_source"), F.col("page").alias("to_url")), "steps")
-    rounds = max(1, steps.count()).bit_length() + 1
-    for _ in range(rounds):  # a ring that nothing leads into never ends, and is not reached
+    open_steps = steps.where("anchor is null").count()
+    # a ring that nothing leads into never ends, and is not reached
+    for _ in range((open_steps + 1).bit_length() + 1 if open_steps else 0):
         trace.append("double")
         open_ = steps.where("anchor is null")
         ahead = steps.select("site_id", F.col("source").alias("to_source"), F.col("url").alias("to_url"), F.col("length").alias("more"),
@@ -143,8 +150,10 @@ def _contracted(graph: DataFrame, labels: DataFrame, at: int, trace: list[str])
         jumped = open_.join(ahead, ["site_id", "to_source", "to_url"]).select(
             "site_id", "source", "url", (F.col("length") + F.col("more")).alias("length"), F.col("end").alias("anchor"),
             F.col("next_source").alias("to_source"), F.col("next_url").alias("to_url"))
+        told = Observation()
+        jumped = jumped.observe(told, F.count_if(F.col("anchor").isNull()).alias("n"))
         steps = materialise(jumped.unionByName(steps.where("anchor is not null")), "steps")
-        if steps.where("anchor is null").isEmpty():
+        if not told.get["n"]:
             break
     ends = materialise(steps.where("anchor is not null").select("site_id", "source", "url", "anchor", "length"), "ends")
     # a run leads on to the page behind it, for whoever came in at the other side

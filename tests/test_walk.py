@@ -90,9 +90,9 @@ def test_a_level_moves_neither_edges_nor_labels(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         edges = spark.range(2000).select(F.lit("s").alias("site_id"), F.col("id").cast("string").alias("source"), (F.col("id") * 7 % 1999).cast("string").alias("url"), F.lit(1).cast("bigint").alias("length"))
-        graph = W.Bucketed.create(spark, "edges", ("site_id", "source")).add(edges.repartition(n, "site_id", "source"))
-        labels = W.Bucketed.create(spark, "labels", ("site_id", "url"))
-        labels.add(edges.limit(9).select("site_id", "url", F.lit(0).cast("bigint").alias("depth"), F.lit(0).alias("round")), "round")
+        graph, labels = W.Bucketed.create(spark, "edges", ("site_id", "source")), W.Bucketed.create(spark, "labels", ("site_id", "url"))
+        assert graph.add(edges.repartition(n, "site_id", "source")) == 2000
+        labels.add(edges.limit(9).select("site_id", "url", F.lit(0).cast("bigint").alias("depth"), F.lit(0).alias("round")))
         found = W.level(graph.table(), labels.table(), 0)
         found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
