@@ -349,6 +349,25 @@ def lk18(spark, sf):
     return G.crawl_stats(*reached(spark, sf))
 
 
+CAP = 25
+
+
+@check("lk17_capped_walk", GRAPH_SQL.replace("WITH crawl", "WITH RECURSIVE crawl", 1) + f""", firsts AS (SELECT site_id, source_page AS source, url, min(link_seq) AS seq FROM links WHERE link_type = 'internal' GROUP BY 1, 2, 3),
+adj AS (SELECT site_id, source, list(url ORDER BY seq, url) AS l FROM firsts GROUP BY 1, 2),
+q(site_id, queue, depths, opened) AS (SELECT site_id, [main_url], [0], 0 FROM mains
+  UNION ALL SELECT site_id, list_concat(queue, new), list_concat(depths, list_transform(new, lambda u: depths[opened + 1] + 1)), opened + 1
+  FROM (SELECT q.*, list_filter(coalesce(l, []), lambda u: NOT list_contains(queue, u)) AS new FROM q LEFT JOIN adj ON adj.site_id = q.site_id AND adj.source = queue[opened + 1]
+    WHERE opened < len(queue) AND len(queue) < {CAP}) x),
+f AS (SELECT site_id, arg_max(queue, opened) AS queue, arg_max(depths, opened) AS depths, max(opened) AS opened FROM q GROUP BY 1)
+SELECT site_id, queue[i] AS url, CAST(depths[i] AS BIGINT) AS depth, i AS position, i <= opened AS processed FROM (SELECT *, unnest(range(1, len(queue) + 1)) AS i FROM f) x""")
+def lk17_capped(spark, sf):
+    """A queue that stops opening pages once 25 URLs of the site are known; the pages that were not opened are known all the same."""
+    pages = crawl(spark, sf)
+    every = L.page_links(page_signals(pages))
+    starts = L.main_pages(pages).select("site_id", F.col("main_url").alias("url"))
+    return big(G.reach(starts, G.site_edges(every), max_urls=CAP), "depth")
+
+
 TREE_SQL = """SELECT p_brand AS site_id, CAST(p_partkey AS STRING) AS source, CAST(p_partkey % 7 * 31 + p_size AS STRING) AS url, p_partkey AS link_seq FROM part"""
 
 
@@ -408,6 +427,15 @@ def snk8(spark, sf):
     return sinks.unique_page_json(docs).groupBy("file_name").agg(F.count_distinct("document").alias("pages"))
 
 
+@check("snk8_unique_page_documents", """SELECT source AS file_name, text AS content, lang AS title, 'https://' || source AS url, count(*) AS documents
+FROM (SELECT source, lang, text FROM documents GROUP BY ALL) x GROUP BY ALL""")
+def snk8_documents(spark, sf):
+    """Every document, read back field by field."""
+    docs = TB.table(spark, sf, "documents").selectExpr("doc_id AS page_id", "'https://' || source AS url", "lang AS title", "text AS content", "cast(null as array<map<string,string>>) AS meta")
+    back = sinks.unique_page_json(docs).select("file_name", F.from_json("document", "content string, title string, url string").alias("d"))
+    return back.groupBy("file_name", "d.content", "d.title", "d.url").agg(F.count("*").alias("documents"))
+
+
 @check("md1_page_titles", O.WITH + f"""SELECT site_id, page_id, t AS title FROM (SELECT site_id, page_id, {O.strip(O.entities("regexp_extract(markup, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS t FROM base) x WHERE t <> ''""")
 def md1(spark, sf):
     return MD.page_titles(signals(spark, sf))

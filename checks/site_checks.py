@@ -469,6 +469,27 @@ def ss5(spark, sf):
     return S.batch_outcome(readers.seeds(pages), L.main_pages(P.accepted(pages)))
 
 
+OUTCOMES_SQL = O.WITH + f""", p AS (SELECT {O.site('url')} AS site_id, url, status_code, html, coalesce(status_code = 200 AND length(html) > 1000, FALSE) AS kept FROM base),
+c AS (SELECT *, CASE WHEN contains(html, '520: Web server is returning an unknown error') THEN '520 Unknown Server Error' WHEN contains(html, 'Just a moment...') THEN 'Cloudflare Challenge'
+  WHEN contains(html, 'Access Denied') THEN 'Access Denied' WHEN contains(html, 'Service Unavailable') THEN 'Service Unavailable' WHEN contains(html, 'Cloudflare') THEN 'Cloudflare Protection'
+  WHEN {" OR ".join(f"contains(lower(html), '{p}')" for p in K.EFFECTIVE_ERROR_PHRASES)} THEN 'CAPTCHA Challenge'
+  WHEN contains(html, 'Not Found') OR contains(html, '404 Error') THEN '404 Not Found' WHEN status_code <> 200 THEN 'status ' || status_code ELSE 'body of 1000 characters or less' END AS why FROM p),
+r AS (SELECT site_id, why, count(*) AS n FROM c WHERE NOT kept GROUP BY 1, 2), w AS (SELECT site_id, why, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, why) AS rn FROM r),
+t AS (SELECT site_id, count(*) AS pages, count(*) FILTER (NOT kept) AS refused FROM c GROUP BY 1)
+SELECT s.site_id, s.url AS main_url, CASE WHEN pages > refused THEN 'completed' ELSE 'failed' END AS outcome, CASE WHEN pages = refused THEN why END AS reason, pages, refused
+FROM (SELECT DISTINCT site_id, url FROM p) s JOIN t USING (site_id) LEFT JOIN w ON w.site_id = s.site_id AND rn = 1"""
+
+
+@check("ss5_site_outcomes", OUTCOMES_SQL)
+def ss5_sites(spark, sf):
+    """Why sites have no summary."""
+    from siteweave.operators import pages as P
+    from siteweave.sources import readers
+
+    pages = crawl(spark, sf)
+    return S.site_outcomes(readers.seeds(pages), pages, L.main_pages(P.accepted(pages)))
+
+
 @check("lk20_capped_pages", O.WITH + """, r AS (SELECT b.page_id, b.url, row_number() OVER (PARTITION BY b.site_id ORDER BY b.page_id <> m.page_id, b.url, b.page_id) AS rn FROM base b JOIN mains m USING (site_id))
 SELECT page_id, url FROM r WHERE rn <= 100""")
 def capped_100(spark, sf):

@@ -15,7 +15,7 @@ from siteweave.operators import marketing as MK
 from siteweave.operators import pages as P
 from siteweave.operators.signals import page_signals
 from siteweave.plans import compiler, documents, summary
-from siteweave.session import materialise
+from siteweave.session import Kept, Stages, materialise
 from siteweave.sources import sinks
 from siteweave.sources.documents import write_pieces
 
@@ -34,23 +34,42 @@ class Crawl:
 
 
 def crawl(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",
-          max_urls: int | None = None, max_depth: int | None = None) -> Crawl:
+          max_urls: int | None = None, max_depth: int | None = None, stages: Kept | None = None) -> Crawl:
     """Accept pages, read signals and links once, walk the link graph, summarise every site.
 
     Signals and links are stored first; the graph, its counts and the summary
     read those.  Nothing is cut unless ``max_urls`` or ``max_depth`` is given:
-    they bound the walk, and so the totals and depth it finds.
+    they bound the walk, and so the totals and depth it finds.  ``stages`` says
+    where the stages are stored.
     """
+    keep = (stages or Kept()).keep
     good = P.accepted(pages)
-    signals = materialise(page_signals(good), "signals")
-    links = materialise(L.placed_links(D.parse(good)), "links")
-    starts = L.main_pages(signals, seeds).select("site_id", F.col("main_url").alias("url"))
-    reached = materialise(G.reach(starts, G.site_edges(links), max_urls, max_depth), "reached")
-    stats = materialise(G.crawl_stats(reached, links), "crawl_stats")
-    found = materialise(M.all_maps(signals), "map_links")
-    videos = materialise(MK.videos(signals), "videos")
-    sites = summary.site_summary(good, seeds, stats, as_of_year, analysis_date, signals, links, found, videos, lists=False)
-    return Crawl(good, signals, links, reached, materialise(sites, "records"), found, videos)
+    signals = keep("signals", lambda: page_signals(good))
+    links = keep("links", lambda: L.placed_links(D.parse(good)))
+
+    def walk() -> DataFrame:
+        starts = L.main_pages(signals, seeds).select("site_id", F.col("main_url").alias("url"))
+        return G.reach(starts, G.site_edges(links), max_urls, max_depth)
+
+    reached = keep("reached", walk)
+    stats = keep("crawl_stats", lambda: G.crawl_stats(reached, links))
+    found = keep("map_links", lambda: M.all_maps(signals))
+    videos = keep("videos", lambda: MK.videos(signals))
+    sites = keep("records", lambda: summary.site_summary(
+        good, seeds, stats, as_of_year, analysis_date, signals, links, found, videos, lists=False, stages=stages))
+    return Crawl(good, signals, links, reached, sites, found, videos)
+
+
+def resumable(pages: DataFrame, folder: str, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",
+              max_urls: int | None = None, max_depth: int | None = None, keep_jobs: int = 3) -> Crawl:
+    """A crawl whose stages lie below ``folder``: called again after a stop, it goes on with the first stage that is missing."""
+    said = {"as_of_year": as_of_year, "analysis_date": analysis_date, "max_urls": max_urls, "max_depth": max_depth}
+    if seeds is not None:
+        said["seeds"] = str(sorted(seeds.inputFiles()) or seeds.semanticHash())
+    stages = Stages.of(pages.sparkSession, folder, pages, **said)
+    done = crawl(pages, seeds, as_of_year, analysis_date, max_urls, max_depth, stages)
+    stages.prune(keep_jobs)
+    return done
 
 
 def analyse(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 2026, analysis_date: str = "",

