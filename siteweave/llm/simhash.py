@@ -17,7 +17,9 @@ and only if they share such a word, ``r`` even).
 Defined cases: null, empty and blank texts have fingerprint zero and link like
 any other; fewer words than a shingle are one shingle; repeated shingles count
 each time; repeated rows share a fingerprint; rows with a null id keep a null
-component and do not name one.
+component and do not name one.  :func:`keep_one` keeps a null id only where a
+component has no other.  Extra columns stay, whatever their names (but for
+those that begin with two underscores).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave.llm import scan
@@ -83,14 +85,14 @@ def fingerprint_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed 64-bit integer."""
+    """``(id, fp, tkey)`` with the fingerprint as a signed 64-bit integer and a hash of the text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in scan.slices(batches, "text"):
             found = fingerprint_bits(*shingle_hashes(data, offsets, size))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found.view(np.int64)), rows.column(2)], ["id", "fp", "tkey"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(task, "id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
+    return rows.mapInArrow(task, "id bigint, fp bigint, tkey bigint")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -141,19 +143,34 @@ def _through_words(fps: DataFrame, half: int) -> DataFrame:
     return two.unionByName(more)
 
 
+def _rooted(own: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root, least)``: the smallest fingerprint reachable from each, and the smallest id of each."""
+    nodes = store(own.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    linked = components(links(nodes.select("fp"), radius))
+    return nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: ``id``, ``fp`` and ``component_id``, the smallest id reachable by links."""
     own = store(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = store(own.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    linked = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(own, radius)
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = store(rooted.join(best, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The document of each component with the smallest id; of repeated ids one row stays; a null id stays."""
-    found = store(classes(docs, id_col, text_col, size, radius).where(f"{id_col} = component_id").select(id_col).distinct(), "kept")
-    kept = docs.join(found, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each component: the smallest id (null ids last), then fingerprint and hash of the text; of repeated rows one stays.
+
+    Documents are told by id and text, so an id that stands for several texts keeps the text that was chosen.
+    """
+    own = store(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    root = store(_rooted(own, radius).select("fp", "root"), "roots")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "tkey")
+    best = own.groupBy("fp").agg(F.min(order).alias("d")).join(root, "fp").groupBy("root").agg(F.min("d").alias("d"))
+    chosen = store(best.select(F.col("d.id").alias("__id"), F.col("d.tkey").alias("__tkey")), "kept")
+    told = docs.withColumn("__text", F.xxhash64(text_col))
+    same = told[id_col].cast("bigint").eqNullSafe(chosen["__id"]) & (told["__text"] == chosen["__tkey"])
+    kept = told.join(chosen, same, "left_semi")
+    rows = Window.partitionBy(F.col(id_col).cast("bigint"), "__text").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("__row", F.row_number().over(rows)).where("__row = 1").select(*docs.columns)
