@@ -57,17 +57,6 @@ def ends_with_any(c: Column, suffixes: Sequence[str]) -> Column:
     return c.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + r")\z")
 
 
-def keyword_mask(sql: str, words: Sequence[str]) -> Column:
-    """One bit per distinct keyword present (at most 63).
-
-    A bit mask makes "count of distinct keywords over all pages of a site" a
-    plain ``bit_or`` aggregate: fixed width, hash-aggregated, combined on the
-    map side, whatever the size of the site.
-    """
-    assert len(words) < 63
-    return F.expr(" + ".join(f"if(contains({sql}, '{word}'), {1 << i}L, 0L)" for i, word in enumerate(words)))
-
-
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     """Regex group of the first match, null when there is no match or it is empty."""
     return blank_to_null(F.regexp_extract(c, pattern, group))

@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 from siteweave import constants as K
 from siteweave.functions import text as T
+from siteweave.functions.keywords import Keywords
 from siteweave.operators.facts import best_hit, first_hit
 
 SHORT_INDUSTRIES = K.SHORT_INDUSTRY_KEYWORDS
 
 
-def keyword_masks(lowered: str, groups: dict[str, list[str]], prefix: str) -> list[Column]:
+def keyword_masks(known: Keywords, found: Column | str, groups: dict[str, list[str]], prefix: str) -> list[Column]:
     """One bit mask per keyword group."""
-    return [T.keyword_mask(lowered, words).alias(f"{prefix}{i}") for i, words in enumerate(groups.values())]
+    return [known.mask(found, words).alias(f"{prefix}{i}") for i, words in enumerate(groups.values())]
+
+
+def _group_masks(texts: DataFrame, groups: dict[str, list[str]], prefix: str) -> DataFrame:
+    known = Keywords(*groups.values())
+    rows = texts.select("site_id", known.found(F.lower("text")).alias("found"))
+    return rows.select("site_id", *keyword_masks(known, "found", groups, prefix))
 
 
 def mask_scores(groups: dict[str, list[str]], prefix: str) -> list[Column]:
@@ -35,7 +42,7 @@ def best_group(groups: dict[str, list[str]], prefix: str) -> Column:
 def industries(texts: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """BZ1: industry per site by count of distinct keywords."""
     groups = groups or K.INDUSTRY_KEYWORDS
-    masks = texts.select("site_id", *keyword_masks("lower(text)", groups, "k"))
+    masks = _group_masks(texts, groups, "k")
     scores = masks.groupBy("site_id").agg(*mask_scores(groups, "k"))
     return scores.select("site_id", F.coalesce(best_group(groups, "k"), F.lit("Unknown")).alias("industry"))
 
@@ -88,9 +95,9 @@ def size_facts(texts: DataFrame, as_of_year: int) -> DataFrame:
 
 def budget(texts: DataFrame) -> DataFrame:
     """BZ14: High-End if any high keyword, else Mid-Budget, else Unknown (Q7)."""
-    lowered = "lower(text)"
-    rows = texts.select("site_id", T.contains_any(lowered, K.BUDGET_KEYWORDS["High-End"]).alias("hi"),
-                        T.contains_any(lowered, K.BUDGET_KEYWORDS["Mid-Budget"]).alias("mid"))
+    known = Keywords(K.BUDGET_KEYWORDS["High-End"], K.BUDGET_KEYWORDS["Mid-Budget"])
+    rows = texts.select("site_id", known.found(F.lower("text")).alias("found")).select(
+        "site_id", known.any_of("found", K.BUDGET_KEYWORDS["High-End"]).alias("hi"), known.any_of("found", K.BUDGET_KEYWORDS["Mid-Budget"]).alias("mid"))
     return rows.groupBy("site_id").agg(budget_label(F.bool_or("hi"), F.bool_or("mid")).alias("segmentation"))
 
 
@@ -100,7 +107,7 @@ def budget_label(high: Column, mid: Column) -> Column:
 
 def older_budget(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """BZ15: segment with most distinct keywords, else by employees (over 100, over 20), else Unknown."""
-    masks = texts.select("site_id", *keyword_masks("lower(text)", K.BUDGET_KEYWORDS, "b"))
+    masks = _group_masks(texts, K.BUDGET_KEYWORDS, "b")
     scores = masks.groupBy("site_id").agg(*mask_scores(K.BUDGET_KEYWORDS, "b"))
     number = F.substring_index("employees", "-", 1).try_cast("bigint")
     by_size = F.when(number > 100, "High-End").when(number > 20, "Mid-Budget").when(number.isNotNull(), "Low-End")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteweave import constants as K
 from siteweave.functions import html as H
 from siteweave.functions import text as T
+from siteweave.functions.keywords import Keywords
 from siteweave.functions.rows import unnest
 from siteweave.operators.business import social_count
 
@@ -17,14 +18,11 @@ def instagram_handle(profile: Column) -> Column:
     return F.concat(F.lit("@"), T.first_group(profile, r"instagram\.com/([^/?]+)"))
 
 
-def names_creators(text: str = "text") -> Column:
-    """MK2 for one page."""
-    return T.contains_any(f"lower({text})", K.CREATOR_KEYWORDS)
-
-
 def creator_sites(texts: DataFrame) -> DataFrame:
     """MK2 per site."""
-    return texts.groupBy("site_id").agg(F.bool_or(names_creators()).alias("worked_with_creators"))
+    known = Keywords(K.CREATOR_KEYWORDS)
+    named = F.size(known.found(F.lower("text"))) > 0
+    return texts.groupBy("site_id").agg(F.bool_or(named).alias("worked_with_creators"))
 
 
 def video_sources(signals: DataFrame) -> DataFrame:
@@ -67,15 +65,17 @@ def engagement_map() -> Column:
     return F.map_from_entries(entries)
 
 
-def text_features(lowered: str = "lower(text)") -> list[Column]:
+def text_features(known: Keywords, found: Column | str) -> list[Column]:
     """FT1 for one page; the keyword rule for social presence is kept apart (FT2)."""
-    return [T.contains_any(lowered, words).alias(name) for name, words in K.FEATURE_KEYWORDS.items()] + [
-        T.contains_any(lowered, K.SOCIAL_TEXT_KEYWORDS).alias("social_in_text")]
+    return [known.any_of(found, words).alias(name) for name, words in K.FEATURE_KEYWORDS.items()] + [
+        known.any_of(found, K.SOCIAL_TEXT_KEYWORDS).alias("social_in_text")]
 
 
 def features(signals: DataFrame) -> DataFrame:
     """FT1, FT3 per site."""
-    rows = signals.select("site_id", *text_features(), F.col("video_marker").alias("video_presence"))
+    known = Keywords(*K.FEATURE_KEYWORDS.values(), K.SOCIAL_TEXT_KEYWORDS)
+    rows = signals.select("site_id", known.found(F.lower("text")).alias("found"), "video_marker")
+    rows = rows.select("site_id", *text_features(known, "found"), F.col("video_marker").alias("video_presence"))
     names = [c for c in rows.columns if c != "site_id"]
     return rows.groupBy("site_id").agg(*[F.bool_or(c).alias(c) for c in names])
 

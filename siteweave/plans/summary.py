@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siteweave import constants as K
 from siteweave.functions import text as T
 from siteweave.functions import urls as U
+from siteweave.functions.keywords import Keywords
 from siteweave.operators import business as B
 from siteweave.operators import contact as C
 from siteweave.operators import dom as D
@@ -53,14 +54,15 @@ def capped_pages(pages: DataFrame, limit: int, seeds: DataFrame | None = None) -
 def text_facts(signals: DataFrame, as_of_year: int) -> DataFrame:
     """SS2, CT4-CT8, BZ1-BZ4, BZ14, MK2, FT1, FT3 in one projection and one aggregate."""
     text = F.col("text")
-    staged = signals.select("site_id", "page_id", "text", F.lower(text).alias("low"), "anchors", "load_time", "video_marker")
+    known = Keywords(*K.INDUSTRY_KEYWORDS.values(), *K.BUDGET_KEYWORDS.values(), K.CREATOR_KEYWORDS, *K.FEATURE_KEYWORDS.values(), K.SOCIAL_TEXT_KEYWORDS)
+    staged = signals.select("site_id", "page_id", "text", known.found(F.lower(text)).alias("found"), "anchors", "load_time", "video_marker")
     rows = staged.select(
         "site_id", "page_id", "load_time", T.word_count(text).alias("words"),
         C.mailto(F.col("anchors")).alias("m"), F.array_min(C.emails_in(text)).alias("t"), C.address_hit(text).alias("adr"),
         B.employees_hit(text).alias("emp"), B.revenue_hit(text).alias("rev"), *B.year_hits(text),
-        *B.keyword_masks("low", K.INDUSTRY_KEYWORDS, "k"),
-        T.contains_any("low", K.BUDGET_KEYWORDS["High-End"]).alias("hi"), T.contains_any("low", K.BUDGET_KEYWORDS["Mid-Budget"]).alias("mid"),
-        T.contains_any("low", K.CREATOR_KEYWORDS).alias("creators"), *MK.text_features("low"), "video_marker")
+        *B.keyword_masks(known, "found", K.INDUSTRY_KEYWORDS, "k"),
+        known.any_of("found", K.BUDGET_KEYWORDS["High-End"]).alias("hi"), known.any_of("found", K.BUDGET_KEYWORDS["Mid-Budget"]).alias("mid"),
+        known.any_of("found", K.CREATOR_KEYWORDS).alias("creators"), *MK.text_features(known, "found"), "video_marker")
     sites = rows.groupBy("site_id").agg(
         F.count("*").alias("pages_analysed"), F.sum("words").alias("total_words"), F.avg("load_time").alias("avg_load_time"),
         F.coalesce(first_of(F.col("m"), "page_id"), F.min("t")).alias("email"), best_hit("adr").alias("address"),

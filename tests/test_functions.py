@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siteweave.functions import html as H
 from siteweave.functions import text as T
+from siteweave.functions.keywords import Keywords
 from siteweave.functions import urls as U
 
 
@@ -91,5 +92,5 @@ def test_site_drops_www_anywhere(spark):
 def test_keyword_mask_counts_distinct_words(spark):
     df = spark.createDataFrame([("s", "shop shopping"), ("s", "store shop"), ("t", "none")], "site string, t string")
     words = ["shop", "shopping", "store"]
-    got = df.select("site", T.keyword_mask("t", words).alias("m")).groupBy("site").agg(F.bit_count(F.bit_or("m")).alias("n")).collect()
+    got = df.select("site", Keywords(words).found("t").alias("f")).select("site", Keywords(words).mask("f", words).alias("m")).groupBy("site").agg(F.bit_count(F.bit_or("m")).alias("n")).collect()
     assert {r.site: r.n for r in got} == {"s": 3, "t": 0}
