@@ -4,12 +4,16 @@ Entities found in the texts become one row each per type and canonical form, so
 an entity has one surrogate wherever it appears (coreference).  The surrogate
 is drawn from a keyed hash of the canonical form: e-mails keep their shape,
 phones their country code and punctuation, addresses of a network stay
-addresses, card numbers stay valid, secrets keep length and alphabet, names
-keep script, case and, by their title, gender.  A name is known by a title; once
-it is, it is one wherever it stands in the same text with a capital.  Two checks run as joins over
-all entities until nothing is left to change: no two entities of a type share a
+addresses, card and account numbers stay valid, secrets keep length and
+alphabet, names keep script, case and gender.  A given name is one entity
+whatever its titles are; its gender is that of most texts that show one.  A name
+is known by a title, titles in a row being one, and does not cross a line end;
+once known it is one wherever it stands in the same text with a capital.  Two
+checks run as joins over all entities until nothing is left to change: no two entities of a type share a
 surrogate, and no surrogate is an entity of the corpus.
 
+The key comes from the caller: whoever has it can draw the surrogates again.
+
 Defined cases: a null text stays null, an empty one empty; repeated rows get
 the same text; matches that overlap go to the one that starts first, then to
 the type named first; extra columns pass through unchanged.
@@ -24,16 +28,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteweave.llm import scan
 from siteweave.llm.store import store
 
-KEY = "surrogates"
-# fixed values: titles that show a person's name, by gender
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"), "n": ("Dr", "Prof")}
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+#: setting of the session that names the key
+KEY_SETTING = "spark.siteweave.surrogate.key"
+# fixed values: titles that show a person's name, by gender; "M" only with a full stop
+TITLES = {"m": ("Mr", "M", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "Sig", "Господин", "Κύριος", "Κύριο"),
+          "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Mademoiselle", "Señora", "Sra", "Doña", "Signora", "Госпожа", "Κυρία"), "n": ("Dr", "Prof")}
+_TITLE = "|".join(r"M(?=\.)" if t == "M" else t for ts in TITLES.values() for t in ts)
+#: between the words of a name: no line end
+_GAP = r"[ \t\u00A0]"
+# fixed values: country codes of two digits; 1 and 7 have one digit, all others three
+CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk|ghp|gho|xox[bp]|glpat)[-_](?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{16,}"
@@ -46,18 +56,18 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
              r"|(?<![\w.+(-])(?=\(?0(?:\)? ?[.-]?\d){9,10}(?![ .-]?\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])",
-    "name": rf"(?<=\b(?:{_TITLE})\.?\s)\p{{Lu}}[\p{{L}}'’-]+(?:\s\p{{Lu}}[\p{{L}}'’-]+)?",
+    "name": rf"(?<=\b(?:{_TITLE})\.?{_GAP})(?!(?:{_TITLE})\b)\p{{Lu}}[\p{{L}}'’-]+(?:{_GAP}(?!(?:{_TITLE})\b)\p{{Lu}}[\p{{L}}'’-]+)?",
 }
 FOUND = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: every entity has one of these in it or, for secrets and names, right before it; a text without any never reaches Python
-SPOT = rf"[0-9@=:]|(?=[AsgxP])(?:AKIA|ASIA|sk[-_]|gh[po][-_]|xox[bp][-_]|glpat[-_]|PRIVATE KEY)|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})\.?\s"
+SPOT = rf"[0-9@=:]|(?=[AsgxP])(?:AKIA|ASIA|sk[-_]|gh[po][-_]|xox[bp][-_]|glpat[-_]|PRIVATE KEY)|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})\.?{_GAP}"
 _SPOT = re.compile(SPOT)
 #: after so many attempts, and again after as many more, a surrogate is one character or syllable longer: few forms may all be taken
 WIDEN = 8
 #: characters around a spot that are searched, and then on to the next white space
 AROUND = 100
 _CAPITAL = regex.compile(r"(?<![\p{L}\p{N}_@'’-])\p{Lu}[\p{L}'’-]+(?![\p{N}_@])")
-_GENDER = regex.compile(rf"\b({_TITLE})\.?\s$")
+_GENDER = regex.compile(rf"(?:\b({_TITLE})\.?{_GAP})+$")
 # fixed values: endings of made-up given names by gender and script
 ENDINGS = {"latin": {"m": "on", "f": "a", "n": "e"}, "cyrillic": {"m": "ор", "f": "а", "n": "е"}, "greek": {"m": "ος", "f": "α", "n": "ι"}}
 SYLLABLES = {
@@ -72,6 +82,29 @@ def luhn(digits: str) -> bool:
     return (sum(int(c) for c in digits[::-2]) + doubled) % 10 == 0
 
 
+def iban_check(country: str, account: str) -> str:
+    """The check digits of an account number: the whole, country and check last, leaves 1 when divided by 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country) + '00') % 97:02d}"
+
+
+def code_length(digits: str) -> int:
+    """Digits of the country code that a number begins with."""
+    return 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in CODES else 3
+
+
+def entity(kind: str) -> str:
+    """The type of an entity: a given name is one whatever the gender of its title."""
+    return kind.split("_")[0]
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's owner has set."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}, or pass a key")
+    return key
+
+
 def _matches(text: str) -> Iterator[regex.Match]:
     """Matches of the patterns, searched around spots only; no entity crosses white space further than from spot to spot."""
     if "PRIVATE KEY" in text:
@@ -107,8 +140,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             value = regex.sub(r"[^\p{L}\d+]", "", value)
         elif kind == "name":
             # given name and surname are entities of their own: "Mr John Smith" and "Mr Smith" stay one person
-            title = _GENDER.search(text[max(0, m.start() - 12): m.start()])
-            gender = next((g for g, ts in TITLES.items() if title and title[1] in ts), "n")
+            titles = _GENDER.search(text[max(0, m.start() - 40): m.start()])
+            gender = next((g for g in "mf" if titles and any(t in TITLES[g] for t in titles.captures(1))), "n")
             words = list(regex.finditer(r"\S+", value))
             for k, w in enumerate(words):
                 word = _own(w[0])
@@ -197,10 +230,11 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ssn":  # numbers from 900 are not issued
         return "9" + draw.like(value[1:] + "0" * more)
     if kind == "phone":
-        keep = 2 if value.startswith("+1") else 3 if value.startswith("+") else 1 if value.startswith("0") else 0
+        keep = 1 + code_length(value[1:]) if value.startswith("+") else 1 if value.startswith("0") else 0
         return value[:keep] + draw.like(value[keep:] + "0" * more)
     if kind == "iban":
-        return value[:2] + draw.like(value[2:] + "0" * more)
+        account = draw.like(value[4:] + "0" * more)
+        return value[:2] + (iban_check(value[:2], account) if iban_check(value[:2], value[4:]) == value[2:4] else draw.like(value[2:4])) + account
     if kind.startswith(("given", "surname")):
         script = "cyrillic" if regex.search(r"\p{Cyrillic}", value) else "greek" if regex.search(r"\p{Greek}", value) else "latin"
         word = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(4 + more))
@@ -236,7 +270,16 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(task, "__text_key bigint, kind string, value string")
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def settled(found: DataFrame) -> DataFrame:
+    """Distinct ``(kind, value)`` of all mentions; a given name has one kind, by the gender that more texts show (neither, if equal)."""
+    given = F.col("kind").startswith("given_")
+    said = [F.count_if(F.col("kind") == f"given_{g}").alias(g) for g in "mf"]
+    names = found.where(given).groupBy("value").agg(*said)
+    kind = F.when(F.col("m") > F.col("f"), "given_m").when(F.col("f") > F.col("m"), "given_f").otherwise("given_n")
+    return found.where(~given).select("kind", "value").distinct().unionByName(names.select(kind.alias("kind"), "value"))
+
+
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """``(kind, value)`` to ``(kind, value, surrogate)`` without two equal surrogates or one that is an entity."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,16 +301,18 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         now = store(judged.where("not bad").select("kind", "value", "attempt", "surrogate").unionByName(again), "surrogates")
 
 
-def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with entities replaced in ``text_col``; adds ``n_entities`` (a column of that name is replaced).
 
     Texts without a possible entity never leave the JVM and are not shuffled.
     """
     base = docs.drop("n_entities")
     found = store(mentions(base, text_col), "mentions")
-    table = assign(store(found.select("kind", "value").distinct(), "entities"), key)
+    table = assign(store(settled(found), "entities"), key)
+    base_kind = F.substring_index("kind", "_", 1).alias("kind")
+    table = table.select(base_kind, "value", "surrogate")
     entry = F.struct("kind", "value", "surrogate")
-    by_text = found.join(table, ["kind", "value"]).groupBy("__text_key").agg(F.collect_set(entry).alias("__entries"))  # entities of one text
+    by_text = found.select("__text_key", base_kind, "value").distinct().join(table, ["kind", "value"]).groupBy("__text_key").agg(F.collect_set(entry).alias("__entries"))  # entities of one text
     by_text = store(by_text, "by_text")
     maybe = F.coalesce(F.col(text_col).rlike(SPOT), F.lit(False))
     plain = base.where(~maybe).withColumn("n_entities", F.lit(0).cast("bigint"))
@@ -282,7 +327,7 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
                 names = {(e["kind"], e["value"]): e["surrogate"] for e in entries or ()}
                 out, at, n = [], 0, 0
                 for start, end, kind, value in find(text) if names else ():
-                    out += [text[at:start], dress(kind, text[start:end], names[kind, value])]
+                    out += [text[at:start], dress(kind, text[start:end], names[entity(kind), value])]
                     at, n = end, n + 1
                 texts.append("".join(out) + text[at:])
                 counts.append(n)

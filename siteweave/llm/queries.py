@@ -50,7 +50,8 @@ def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.replace(_read(spark, sf, "documents").select("doc_id", "text"))
+    key = spark.conf.get(pii.KEY_SETTING, "key of the registered query")
+    return pii.replace(_read(spark, sf, "documents").select("doc_id", "text"), key)
 
 
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:

@@ -253,7 +253,7 @@ TEXT = ('Mr John Smith and Mrs Anna Smith met Dr Смирнов. Mail bosbt.42@m
 def test_surrogates(spark):
     rows = [(1, TEXT), (2, "x bosbt.42@mail8.example.com y Mr Smith"), (3, None), (4, ""), (5, "plain text"), (2, "x bosbt.42@mail8.example.com y Mr Smith")]
     wide = frame(spark, rows).withColumn("kind", F.lit("k")).withColumn("n_entities", F.lit(9))
-    got = pii.replace(wide).collect()
+    got = pii.replace(wide, 'k').collect()
     by_id = {r.doc_id: r for r in got}
     assert len(got) == 6 and by_id[3].text is None and by_id[4].text == "" and by_id[5].text == "plain text" and by_id[1].kind == "k"
     new = by_id[1].text
@@ -275,13 +275,13 @@ def test_surrogates(spark):
 def test_surrogates_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: f"s{len(value) % 3}" if attempt < 2 else f"{value}-{attempt}")
     entities = spark.createDataFrame([("email", v) for v in ("s0", "a", "b", "ccc", "dddd", "eeeee")], "kind string, value string")
-    got = pii.assign(entities).collect()
+    got = pii.assign(entities, 'k').collect()
     assert len({r.surrogate for r in got}) == 6 and not {r.surrogate for r in got} & {"s0", "a", "b", "ccc", "dddd", "eeeee"}
 
 
 def test_names_without_their_title(spark):
     text = "Mr John Smith called. John Smith said that SMITH and John's friend, or Smith, write to smith@b.org. Johnson and a smith stay; so does Mr Smith's dog."
-    new = pii.replace(frame(spark, [(1, text), (2, "Smith")])).collect()
+    new = pii.replace(frame(spark, [(1, text), (2, "Smith")]), 'k').collect()
     one, two = (next(r for r in new if r.doc_id == i) for i in (1, 2))
     given, surname = one.text.split()[1:3]
     assert not {"John", "Smith", "SMITH"} & set(regex.findall(r"\w+", one.text)) and two.text == "Smith"
@@ -289,6 +289,48 @@ def test_names_without_their_title(spark):
     assert one.text.endswith(f"Johnson and a smith stay; so does Mr {surname}'s dog.") and one.n_entities == 9
 
 
+@pytest.mark.parametrize(("text", "names"), [
+    ("Prof. Dr. Weber met Dr Klein.", ["Weber", "Klein"]), ("We met Mr Smith\nThe house of The end", ["Smith"]), ("Mr\nSmith", []), ("Mlle Martin, M. Dupont and Don Pedro", ["Martin", "Dupont", "Pedro"]),
+    ("für Herrn Schulz", ["Schulz"]), ("Κύριος Παππάς", ["Παππάς"]), ("GM Motors, M Block", []), ("Frau Dr. Anna Weber", ["Anna", "Weber"])])
+def test_titles(text, names):
+    assert [text[a:b] for a, b, _, _ in pii.find(text)] == names
+
+
+def test_a_given_name_is_one_entity_whatever_its_title(spark):
+    texts = ["Dr Anna Weber wrote. Frau Anna Weber came.", "Prof. Kim Lee", "Mr Kim Lee", "Mrs Kim Lee", "Frau Dr. Eva Lee"]
+    new = {r.doc_id: r.text for r in pii.replace(frame(spark, list(enumerate(texts))), "k").collect()}
+    first = new[0].split()
+    assert first[1:3] == [first[5], first[6]] or first[1] == first[5]
+    assert first[1].endswith("a") and len({new[i].split()[1] for i in (1, 2, 3)}) == 1 and new[1].split()[1].endswith("e")
+    other = pii.replace(frame(spark, [(0, texts[0])]), "another key").first().text
+    assert other != new[0]
+
+
+def test_key_comes_from_the_caller(spark):
+    with pytest.raises(ValueError, match="surrogate.key"):
+        pii.session_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+@pytest.mark.parametrize(("said", "kept"), [("+420 601 123 456", "+420"), ("+7 495 123 45 67", "+7"), ("+49 30 1234 567", "+49"), ("+1 816 555 9493", "+1"), ("+353 1 234 5678", "+353")])
+def test_country_codes_stay(said, kept):
+    value = next(v for _, _, k, v in pii.find(said) if k == "phone")
+    drawn = {pii.surrogate("k", "phone", value, a) for a in range(6)}
+    assert all(d.startswith(kept) and len(d) == len(value) for d in drawn) and len({d[len(kept)] for d in drawn}) > 1
+
+
+def test_account_numbers_stay_valid():
+    value = "DE89370400440532013000"
+    assert pii.iban_check("DE", value[4:]) == "89"
+    for a in range(4):
+        new = pii.surrogate("k", "iban", value, a)
+        assert new != value and pii.iban_check(new[:2], new[4:]) == new[2:4]
+
+
 @pytest.mark.parametrize("kind, said", [
     ("card", "3782 822463 10005"), ("card", "3056-930902-5904"), ("phone", "020 7946 0958"), ("phone", "(020) 7946 0958"), ("phone", "01632 960 983"), ("phone", "06 12 34 56 78"),
     ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ip", "2A02:908::1:ff"), ("ip", "fe80::1")])
@@ -319,7 +361,7 @@ def few_rounds(monkeypatch):
 def test_surrogates_of_blanks_end(spark, few_rounds):
     blanks = ["Password: ________", "token=--------", "pwd: ........", "-----BEGIN RSA PRIVATE KEY-----\n[REDACTED]", "see sk-__________________ here"]
     rows = [*enumerate(blanks), (10, "password: AKIA____"), *((20 + i, f"password: _______{i}") for i in range(10))]
-    got = {r.doc_id: r.text for r in pii.replace(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in pii.replace(frame(spark, rows), 'k').collect()}
     assert [got[i] for i in range(len(blanks))] == blanks
     real = {t.split()[-1] for _, t in rows}
     drawn = [got[i].split()[-1] for i, _ in rows[len(blanks):]]
@@ -329,7 +371,7 @@ def test_surrogates_of_blanks_end(spark, few_rounds):
 def test_surrogates_of_a_full_range(spark, few_rounds):
     """All numbers that keep the form are real: phones of +41 with four digits to draw would be 10,000; two digits show the same."""
     entities = spark.createDataFrame([("phone", f"+41{i:02}") for i in range(100)] + [("secret", f"-------{c}") for c in "0123456789"], "kind string, value string")
-    got = pii.assign(entities).collect()
+    got = pii.assign(entities, 'k').collect()
     assert len({(r.kind, r.surrogate) for r in got}) == 110 and not {r.surrogate for r in got} & {r.value for r in got}
     assert pii.dress("phone", "+4 12 3", "+41789") == "+4 17 89"
 
@@ -433,7 +475,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     results = [anchors.dedup(docs), suffixes.dedup(docs), decontam.judged(decontam.scan_hits(docs, bench)), decontam.clean(docs, bench), simhash.classes(docs),
                simhash.keep_one(docs), langid.predict(docs, langid.fit(docs)), mixing.by_position(mixing.mix(docs)), mixing.training_order(mixing.mix(docs)),
-               pii.replace(docs), quality.classify(docs), wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")),
+               pii.replace(docs, 'k'), quality.classify(docs), wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")),
                embeddings.dedup(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int"))]
     assert [r.count() for r in results] == [0] * len(results)
     full = frame(spark, [(1, "a b")])
