@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; ``n_chars``, where there is one, is counted anew for changed texts."""
     def change(rows: DataFrame) -> DataFrame:
-        changed = pii.replace(rows)
+        changed = pii.replace(rows, spark.conf.get(pii.KEY_SETTING, "key of the registered pipeline"))
         if "n_chars" not in rows.columns:
             return changed
         return changed.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
