@@ -32,14 +32,18 @@ def phones_in(text: Column, kind: str) -> Column:
         digits, lambda d: F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))))
 
 
-def phones(texts: DataFrame) -> DataFrame:
-    """CT2: per site and kind the first three distinct phones."""
+def phone_rows(texts: DataFrame) -> DataFrame:
+    """CT2: every phone of every page."""
     def tagged(kind: str) -> Column:
         return F.transform(phones_in(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phone")))
 
     found = F.concat(*[tagged(kind) for kind in PHONE_KINDS])
-    rows = unnest_structs(texts, ["site_id", "page_id"], found)
-    return first_values(rows, "phone", ["site_id", "kind"], 3).withColumnRenamed("joined", "phones")
+    return unnest_structs(texts, ["site_id", "page_id"], found)
+
+
+def phones(texts: DataFrame) -> DataFrame:
+    """CT2: per site and kind the first three distinct phones."""
+    return first_values(phone_rows(texts), "phone", ["site_id", "kind"], 3).withColumnRenamed("joined", "phones")
 
 
 def email_is_valid(email: Column) -> Column:
@@ -145,13 +149,17 @@ def brand_from_host(url: Column) -> Column:
     return F.initcap(F.replace(label, F.lit("-"), F.lit(" ")))
 
 
-def ld_brand(signals: DataFrame) -> DataFrame:
-    """CT1, JSON-LD rule: name of the first Organization or WebSite of a site."""
+def ld_names(signals: DataFrame) -> DataFrame:
+    """CT1, JSON-LD rule: names of Organizations and WebSites."""
     docs = ld_rows(signals)
     kind = F.try_variant_get(F.col("doc"), '$["@type"]', "string")
     name = F.try_variant_get(F.col("doc"), "$.name", "string")
-    rows = docs.where(kind.isin("Organization", "WebSite") & (name != "")).select("site_id", "page_id", "ld_seq", T.strip(name).alias("name"))
-    return rows.groupBy("site_id").agg(F.min(F.struct("page_id", "ld_seq", "name"))["name"].alias("ld_brand"))
+    return docs.where(kind.isin("Organization", "WebSite") & (name != "")).select("site_id", "page_id", "ld_seq", T.strip(name).alias("name"))
+
+
+def ld_brand(signals: DataFrame) -> DataFrame:
+    """CT1, JSON-LD rule: name of the first Organization or WebSite of a site."""
+    return ld_names(signals).groupBy("site_id").agg(F.min(F.struct("page_id", "ld_seq", "name"))["name"].alias("ld_brand"))
 
 
 def brands(mains: DataFrame, ld: DataFrame) -> DataFrame:

@@ -28,8 +28,17 @@ def about_pages(signals: DataFrame, links: DataFrame) -> DataFrame:
     every other page links to is one row on the link side.  Candidates are
     reduced to (site, length, page) before the shuffle.
     """
-    named = links.where("is_about").select("site_id", "url").distinct().withColumn("named", F.lit(True))
-    rows = signals.select("site_id", "url", "page_id", F.length("text").alias("n"), P.is_about_page().alias("own"))
+    return longest_about(about_candidates(signals), links.where("is_about").select("site_id", "url").distinct())
+
+
+def about_candidates(signals: DataFrame) -> DataFrame:
+    """MD2: every page with its length and whether it is an about page by itself."""
+    return signals.select("site_id", "url", "page_id", F.length("text").alias("n"), P.is_about_page().alias("own"))
+
+
+def longest_about(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """MD2 over :func:`about_candidates` and the distinct targets of about links."""
+    named = links.select("site_id", "url").withColumn("named", F.lit(True))
     about = rows.join(named, ["site_id", "url"], "left").where(F.col("own") | F.col("named"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), "page_id", "url"))
     return about.groupBy("site_id").agg(best.alias("b")).select("site_id", "b.page_id", "b.url")
@@ -41,10 +50,14 @@ def keyword_list(metas: Column) -> Column:
     return F.filter(words, lambda w: F.length(w) > 2)
 
 
+def keyword_rows(signals: DataFrame) -> DataFrame:
+    """MD7: every keyword of every page."""
+    return unnest(signals, ["site_id", "page_id"], keyword_list(F.col("metas")), "keyword")
+
+
 def keywords(signals: DataFrame, k: int = 20) -> DataFrame:
     """MD7: the first 20 distinct meta keywords per site, sorted (Q2)."""
-    rows = unnest(signals, ["site_id", "page_id"], keyword_list(F.col("metas")), "keyword")
-    return first_values(rows, "keyword", ["site_id"], k).withColumnRenamed("joined", "keywords")
+    return first_values(keyword_rows(signals), "keyword", ["site_id"], k).withColumnRenamed("joined", "keywords")
 
 
 def about_fallback(sections: DataFrame, limit: int = 3000) -> DataFrame:

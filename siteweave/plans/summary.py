@@ -27,7 +27,6 @@ from siteweave.operators import marketing as MK
 from siteweave.operators import metadata as MD
 from siteweave.operators import pages as P
 from siteweave.operators import products as PR
-from siteweave.operators.facts import best_hit, first_of
 from siteweave.operators.signals import page_signals
 from siteweave.operators.topk import top_k
 from siteweave.session import Kept, materialise
@@ -51,8 +50,8 @@ def capped_pages(pages: DataFrame, limit: int, seeds: DataFrame | None = None) -
     return pages.join(materialise(kept.select("page_id"), "page_budget"), "page_id", "left_semi").select(*pages.columns)
 
 
-def text_facts(signals: DataFrame, as_of_year: int) -> DataFrame:
-    """SS2, CT4-CT8, BZ1-BZ4, BZ14, MK2, FT1, FT3 in one projection and one aggregate."""
+def text_state(signals: DataFrame) -> DataFrame:
+    """What the text facts of a site come from, in a form that merges: sums, first and best hits as structs, bit masks, flags."""
     text = F.col("text")
     known = Keywords(*K.INDUSTRY_KEYWORDS.values(), *K.BUDGET_KEYWORDS.values(), K.CREATOR_KEYWORDS, *K.FEATURE_KEYWORDS.values(), K.SOCIAL_TEXT_KEYWORDS)
     staged = signals.select("site_id", "page_id", "text", known.found(F.lower(text)).alias("found"), "anchors", "load_time", "video_marker")
@@ -63,16 +62,52 @@ def text_facts(signals: DataFrame, as_of_year: int) -> DataFrame:
         *B.keyword_masks(known, "found", K.INDUSTRY_KEYWORDS, "k"),
         known.any_of("found", K.BUDGET_KEYWORDS["High-End"]).alias("hi"), known.any_of("found", K.BUDGET_KEYWORDS["Mid-Budget"]).alias("mid"),
         known.any_of("found", K.CREATOR_KEYWORDS).alias("creators"), *MK.text_features(known, "found"), "video_marker")
-    sites = rows.groupBy("site_id").agg(
-        F.count("*").alias("pages_analysed"), F.sum("words").alias("total_words"), F.avg("load_time").alias("avg_load_time"),
-        F.coalesce(first_of(F.col("m"), "page_id"), F.min("t")).alias("email"), best_hit("adr").alias("address"),
-        best_hit("emp").alias("employees"), best_hit("rev").alias("annual_revenue"), B.founded(as_of_year).alias("founded_year"),
-        *B.mask_scores(K.INDUSTRY_KEYWORDS, "k"), B.budget_label(F.bool_or("hi"), F.bool_or("mid")).alias("segmentation"),
-        F.bool_or("creators").alias("worked_with_creators"), *[F.bool_or(f).alias(f) for f in K.FEATURE_KEYWORDS],
-        F.bool_or("video_marker").alias("video_presence"))
-    industry = F.coalesce(B.best_group(K.INDUSTRY_KEYWORDS, "k"), F.lit("Unknown")).alias("industry")
-    plain = [c for c in sites.columns if not c.startswith("k") or not c[1:].isdigit()]
-    return sites.select(*plain, industry)
+
+    def first(value: str) -> Column:
+        return F.min(F.when(F.col(value).isNotNull(), F.struct("page_id", F.col(value).alias("v"))))
+
+    def best(hit: str) -> Column:
+        return F.min(F.when(F.col(hit).isNotNull(), F.struct(F.col(f"{hit}.pattern"), F.col("page_id"), F.col(f"{hit}.v").alias("v"))))
+
+    return rows.groupBy("site_id").agg(
+        F.count("*").alias("n_pages"), F.sum("words").alias("n_words"), F.sum("load_time").alias("load"), F.count("load_time").alias("n_load"),
+        first("m").alias("min_m"), F.min("t").alias("min_t"), *[best(h).alias(f"min_{h}") for h in ("adr", "emp", "rev")],
+        *[first(f"year{i}").alias(f"min_year{i}") for i in range(len(K.FOUNDED_PATTERNS))],
+        *[F.bit_or(f"k{i}").alias(f"bits_k{i}") for i in range(len(K.INDUSTRY_KEYWORDS))],
+        *[F.bool_or(c).alias(f"any_{c}") for c in ("hi", "mid", "creators", *K.FEATURE_KEYWORDS, "video_marker")])
+
+
+#: how columns of a state merge, by how their names begin
+MERGE = {"n_": F.sum, "load": F.sum, "min_": F.min, "bits_": F.bit_or, "any_": F.bool_or}
+
+
+def merged(states: DataFrame, *keys: str) -> DataFrame:
+    """One state per key from several."""
+    def merge(name: str) -> Column:
+        return next(how for start, how in MERGE.items() if name.startswith(start))(name).alias(name)
+
+    return states.groupBy(*keys).agg(*[merge(c) for c in states.columns if c not in keys])
+
+
+def text_finish(states: DataFrame, as_of_year: int) -> DataFrame:
+    """The text facts of merged states."""
+    def year(i: int) -> Column:
+        v = F.col(f"min_year{i}.v")
+        return F.when(v.try_cast("int").between(1800, as_of_year), v)
+
+    counted = states.select("*", *[F.bit_count(f"bits_k{i}").cast("int").alias(f"k{i}") for i in range(len(K.INDUSTRY_KEYWORDS))])
+    return counted.select(
+        "site_id", F.col("n_pages").alias("pages_analysed"), F.col("n_words").alias("total_words"), (F.col("load") / F.col("n_load")).alias("avg_load_time"),
+        F.coalesce("min_m.v", "min_t").alias("email"), F.col("min_adr.v").alias("address"), F.col("min_emp.v").alias("employees"),
+        F.col("min_rev.v").alias("annual_revenue"), F.coalesce(*[year(i) for i in range(len(K.FOUNDED_PATTERNS))]).alias("founded_year"),
+        B.budget_label(F.col("any_hi"), F.col("any_mid")).alias("segmentation"), F.col("any_creators").alias("worked_with_creators"),
+        *[F.col(f"any_{f}").alias(f) for f in K.FEATURE_KEYWORDS], F.col("any_video_marker").alias("video_presence"),
+        F.coalesce(B.best_group(K.INDUSTRY_KEYWORDS, "k"), F.lit("Unknown")).alias("industry"))
+
+
+def text_facts(signals: DataFrame, as_of_year: int) -> DataFrame:
+    """SS2, CT4-CT8, BZ1-BZ4, BZ14, MK2, FT1, FT3 in one projection and one aggregate."""
+    return text_finish(text_state(signals), as_of_year)
 
 
 def totals(signals: DataFrame) -> DataFrame:
