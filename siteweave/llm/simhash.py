@@ -168,9 +168,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     root = store(_rooted(own, radius).select("fp", "root"), "roots")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "tkey")
     best = own.groupBy("fp").agg(F.min(order).alias("d")).join(root, "fp").groupBy("root").agg(F.min("d").alias("d"))
-    chosen = store(best.select(F.col("d.id").alias("__id"), F.col("d.tkey").alias("__tkey")), "kept")
-    told = docs.withColumn("__text", F.xxhash64(text_col))
-    same = told[id_col].cast("bigint").eqNullSafe(chosen["__id"]) & (told["__text"] == chosen["__tkey"])
-    kept = told.join(chosen, same, "left_semi")
-    rows = Window.partitionBy(F.col(id_col).cast("bigint"), "__text").orderBy(F.xxhash64(*docs.columns))
+    keys = ["__none", "__id", "__text"]  # the join and the choice among repeated rows share one shuffle
+    chosen = store(best.select(F.col("d.none").alias("__none"), F.coalesce("d.id", F.lit(0)).alias("__id"), F.col("d.tkey").alias("__text")), "kept")
+    own_id = F.col(id_col).cast("bigint")
+    told = docs.select("*", own_id.isNull().alias("__none"), F.coalesce(own_id, F.lit(0)).alias("__id"), F.xxhash64(text_col).alias("__text"))
+    kept = told.join(chosen, keys, "left_semi")
+    rows = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("__row", F.row_number().over(rows)).where("__row = 1").select(*docs.columns)
