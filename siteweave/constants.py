@@ -414,3 +414,21 @@ COMPILED_COLUMNS = (
 
 # fixed value: an attribute that may name an about section
 ABOUT_MARKER = r"""(?:id|class)\s*=\s*["'][^"']*(?:about|story|mission|company)"""
+
+# --- fixed values: blocks and lines of a text report, and its filler phrases -------------
+REPORT_PATTERNS = {
+    "domain": r"Domain:\s*(.+?)(?:\n|\z)",
+    "generated": r"Generated:\s*(.+?)(?:\n|\z)",
+    "about": r"About Us Text:\s*\n(.*?)(?:\n\n|\n=|📇 CONTACT INFORMATION)",
+    "maps": r"📋 Complete Google Maps Discovery:(.*?)(?:\n\n|\n🔍)",
+    "map_line": r"\d+\.\s*(https?://\S+)",
+    "primary_map": r"🎯 Primary Google Maps Link:\s*(.+?)(?:\n|\z)",
+    "videos": r"📹 Video Content:(.*?)(?:\n\n|\n=)",
+    "video_line": r"https?://\S+",
+    "notes": r"🎯 ENHANCED ANALYSIS NOTES FOR SDR\s*\n=+\s*\n(.*?)(?:\n\n|\n=)",
+    "discovery": r"🔍 Complete Website Mapping Results:(.*?)(?:\n\n|\n🗺️)",
+    "min_products": r"• 4 Minimum Price Products:\s*\n(.*?)(?=\n• 4 Maximum Price Products:|\n\n)",
+    "max_products": r"• 4 Maximum Price Products:\s*\n(.*?)(?=\n\n|\n=)",
+    "product_line": r"•\s*(.+?)\s*\(([^\d\n]*?)([\d.]+)\)\s*-\s*(https?://\S+)",
+}
+REPORT_FILLERS = ["No information available", "No about us information found"]

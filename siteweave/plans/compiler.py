@@ -38,41 +38,41 @@ def _block(pattern: str) -> Column:
 
 def domain() -> Column:
     """RC2; the folder name stands in."""
-    found = T.strip(F.regexp_extract(CONTENT, r"Domain:\s*(.+?)(?:\n|\z)", 1))
+    found = T.strip(F.regexp_extract(CONTENT, K.REPORT_PATTERNS["domain"], 1))
     return F.coalesce(T.blank_to_null(_artifacts(found)), F.col("folder")).alias("domain")
 
 
 def analysis_date() -> Column:
     """RC2."""
-    return T.strip(F.regexp_extract(CONTENT, r"Generated:\s*(.+?)(?:\n|\z)", 1)).alias("analysis_date")
+    return T.strip(F.regexp_extract(CONTENT, K.REPORT_PATTERNS["generated"], 1)).alias("analysis_date")
 
 
 def about_text() -> Column:
     """RC3."""
-    raw = T.strip(_block(r"About Us Text:\s*\n(.*?)(?:\n\n|\n=|📇 CONTACT INFORMATION)"))
+    raw = T.strip(_block(K.REPORT_PATTERNS["about"]))
     return F.substring(T.collapse(raw), 1, 2000).alias("about_us_text")
 
 
 def map_links() -> Column:
     """RC4 as an array."""
-    return F.regexp_extract_all(_block(r"📋 Complete Google Maps Discovery:(.*?)(?:\n\n|\n🔍)"), F.lit(r"\d+\.\s*(https?://\S+)"), 1)
+    return F.regexp_extract_all(_block(K.REPORT_PATTERNS["maps"]), F.lit(K.REPORT_PATTERNS["map_line"]), 1)
 
 
 def primary_map() -> Column:
     """RC5."""
-    found = T.strip(F.regexp_extract(CONTENT, r"🎯 Primary Google Maps Link:\s*(.+?)(?:\n|\z)", 1))
+    found = T.strip(F.regexp_extract(CONTENT, K.REPORT_PATTERNS["primary_map"], 1))
     return F.when(found == "Not found", "").otherwise(found).alias("google_map")
 
 
 def video_links() -> Column:
     """RC6."""
-    found = F.regexp_extract_all(_block(r"📹 Video Content:(.*?)(?:\n\n|\n=)"), F.lit(r"https?://\S+"), 0)
+    found = F.regexp_extract_all(_block(K.REPORT_PATTERNS["videos"]), F.lit(K.REPORT_PATTERNS["video_line"]), 0)
     return F.array_join(found, "; ").alias("video_links")
 
 
 def sales_notes() -> Column:
     """RC7: the block below the heading's rule (Q12), bullets turned into bars."""
-    raw = T.strip(_block(r"🎯 ENHANCED ANALYSIS NOTES FOR SDR\s*\n=+\s*\n(.*?)(?:\n\n|\n=)"))
+    raw = T.strip(_block(K.REPORT_PATTERNS["notes"]))
     return F.substring(_flat(F.regexp_replace(raw, r"\n\s*[•·]\s*", " | ")), 1, 1000).alias("notes_for_sdr")
 
 
@@ -89,14 +89,12 @@ def short_description() -> Column:
 
 def discovery_summary() -> Column:
     """RC9."""
-    return F.substring(_flat(T.strip(_block(r"🔍 Complete Website Mapping Results:(.*?)(?:\n\n|\n🗺️)"))), 1, 500).alias("discovery_summary")
+    return F.substring(_flat(T.strip(_block(K.REPORT_PATTERNS["discovery"]))), 1, 500).alias("discovery_summary")
 
 
 def product_items(side: str) -> Column:
     """RC10: products of one block as structs (name, price, url)."""
-    pattern = (r"• 4 Minimum Price Products:\s*\n(.*?)(?=\n• 4 Maximum Price Products:|\n\n)" if side == "min"
-               else r"• 4 Maximum Price Products:\s*\n(.*?)(?=\n\n|\n=)")
-    line = r"•\s*(.+?)\s*\(([^\d\n]*?)([\d.]+)\)\s*-\s*(https?://\S+)"
+    pattern, line = K.REPORT_PATTERNS[f"{side}_products"], K.REPORT_PATTERNS["product_line"]
     lines = F.filter(F.split(_block(pattern), "\n"), lambda x: T.strip(x).rlike(line))
     return F.transform(lines, lambda x: F.struct(
         F.regexp_extract(x, line, 1).alias("name"), F.regexp_extract(x, line, 2).alias("currency"),
@@ -126,7 +124,7 @@ def clean_field(name: str) -> Column:
         c = F.regexp_replace(c, r"[^\d.]", "")
     if name in K.TEXT_REPORT_FIELDS:
         c = T.collapse(T.strip(c))
-        for phrase in ["No information available", "No about us information found"]:
+        for phrase in K.REPORT_FILLERS:
             c = T.strip(F.replace(c, F.lit(phrase), F.lit("")))
     return c.alias(name)
 
