@@ -296,7 +296,8 @@ STREAM_SCHEMA = "page_id bigint, url string, html string"
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.readStream.schema(STREAM_SCHEMA).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    """The page table as a stream, whether it is one file or a folder of files: a pattern may stand for either, a plain path only for a folder."""
+    return spark.readStream.schema(STREAM_SCHEMA).parquet(f"{sf}/pages.parque[t]")
 
 
 def _folder(spark: SparkSession) -> str:
