@@ -9,6 +9,7 @@ from checks import load, tables
 from siteweave import constants as K
 from siteweave.functions import text as T
 from siteweave.operators import contact as C
+from siteweave.operators import dom as D
 from siteweave.operators import links as L
 from siteweave.operators import maps as M
 from siteweave.operators.signals import page_signals
@@ -81,3 +82,15 @@ def test_large_tables_have_more_tasks(spark, sf, monkeypatch):
 def test_contact_page_maps_read_the_pages_once(spark, sf):
     got = load()["mp6_contact_page_maps"][0](spark, sf)
     assert "pages.parquet" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_records_read_the_pages_once(spark, sf):
+    got = load()["snk2_page_records"][0](spark, sf)
+    assert "pages.parquet" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_are_cleaned_once(spark):
+    text = "We are a small house with a long and proud tradition of honest work, and we serve the whole city well. " * 2
+    pages = spark.createDataFrame([(1, "https://a.com/", f'<section id="about"><p>{text}</p></section>')], "page_id bigint, url string, html string")
+    got = D.about_sections(D.parse(pages))
+    assert times(got, "[.!?]+") == 1 and got.count() > 0
