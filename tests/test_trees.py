@@ -4,10 +4,12 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siteweave import constants as K
+from siteweave.functions import tree
 from siteweave.operators import dom as D
 from siteweave.operators import maps as M
 from siteweave.operators.signals import page_signals
@@ -181,3 +183,40 @@ def test_master_document_holds_every_field(spark, sf):
     assert documents.keys() == rows.keys()
     for site, row in rows.items():
         assert documents[site] == {k: v for k, v in row.items() if v is not None}
+
+
+PIECES = ["<", ">", "</", "&", "&amp;", "&#65;", "&#x41;", "&copy ", "&copy-", "&nope;", "&#", "&#150;", "&#99999999;", "a", "< ", "<p>", "</p >", "</ p>", "</>",
+          '<a href="x&amp;y" HREF=z>', "<a href=/z/>", "<A HREF='q' b>", "</a>", "<img/>", "<img src=a/ alt>", '<p a="1"b="2">', "<p a= 'x'>", "<!-- c -->", "<!--", "-- >",
+          "<!doctype html>", "<!x>", "<?pi>", "<script>", "</script>", "</SCRIPT >", "<script/>", '<style a="b">', "</style>", "<title>", "</title>", "<div/>", "</div>",
+          "<br />", "<template>", "</template>", "<svg:x y=1>", "\n", "\xa0", "\x0b", "\x00", "é"]
+
+
+def library_columns(html):
+    nodes, texts = tree._tree_of(html)
+    return (*[[n[name] for n in nodes] for name in ("tag", "attrs", "parent", "anc", "stop", "t0", "t1", "raw")], texts)
+
+
+def test_plain_pages_are_read_like_the_library_reads_them():
+    rng = random.Random(7)
+    plain = 0
+    for _ in range(20000):
+        html = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12)))
+        found = tree._plain_columns(html)
+        plain += found is not None
+        assert found in (None, library_columns(html)), html
+        assert tree._columns_of(html) == library_columns(html), html
+    assert plain > 2000
+
+
+def test_plain_pages_do_not_need_the_library(monkeypatch):
+    """One pattern reads an ordinary page; the general parser takes only what that leaves over."""
+    page = ('<!DOCTYPE html><html><head><title>A &amp; B</title><script>if (a < b) {}</script></head><body class="x">1 < 2 & 3<br>'
+            '<a href="/q?a=1&amp;b=2">go</a><img src=x.png /><!-- no --></body></html>')
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["u", "v"], "html": [page, None]})
+    want = library_columns(page)
+    monkeypatch.setattr(tree, "_tree_of", None)
+    rows = next(tree.parse_batches(iter([batch]))).to_pylist()
+    assert [n["tag"] for n in rows[0]["nodes"]] == want[0]
+    assert [dict(n["attrs"]) for n in rows[0]["nodes"]] == want[1]
+    assert [n["anc"] for n in rows[0]["nodes"]] == want[3]
+    assert rows[0]["texts"] == want[8] and rows[1]["nodes"] == [] and rows[1]["texts"] == []
