@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from checks import load, tables
 from siteweave import constants as K
 from siteweave.functions import text as T
+from siteweave.operators import business as B
 from siteweave.operators import contact as C
 from siteweave.operators import dom as D
 from siteweave.operators import links as L
 from siteweave.operators import maps as M
+from siteweave.operators.facts import first_hit
 from siteweave.operators.signals import page_signals
+from siteweave.plans import summary as S
 from siteweave.session import materialise
 
 HTML = ('<a href="https://maps.google.com/x">m</a><a href="/y/../z">z</a><a>none</a><a href="#top">t</a><a href="/f.pdf">f</a>'
@@ -94,3 +97,39 @@ def test_sections_are_cleaned_once(spark):
     pages = spark.createDataFrame([(1, "https://a.com/", f'<section id="about"><p>{text}</p></section>')], "page_id bigint, url string, html string")
     got = D.about_sections(D.parse(pages))
     assert times(got, "[.!?]+") == 1 and got.count() > 0
+
+
+def test_patterns_are_tried_only_where_they_can_hit(spark):
+    """Ends of texts, keyword groups and numbers are told without searching the whole text again."""
+    df = spark.createDataFrame([(1, "s", "text", 0.5, False, ["<a>"])], "page_id bigint, site_id string, text string, load_time double, video_marker boolean, anchors array<string>")
+    made = plan(S.text_state(df))
+    assert "arrays_overlap" not in made and "trim(" in made
+    assert "regexp_replace" not in plan(df.select(T.strip(F.col("text"))))
+
+
+def test_strip_takes_every_white_space(spark):
+    signs = [chr(i) for i in range(0x3100)] + ["\U0001f600", "﻿"]
+    rows = [(i, a + "x" + a + "é" + a * 3) for i, a in enumerate(signs)] + [(-1, ""), (-2, " \t\xa0　"), (-3, None)]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", "t", T.strip(F.col("t")).alias("new"), F.regexp_replace("t", rf"\A{K.WS}+|{K.WS}+\z", "").alias("old"))
+    assert [r.t for r in df.collect() if r.new != r.old] == []
+
+
+def test_employees_are_those_of_a_plain_search(spark):
+    rng = random.Random(11)
+    pieces = ["12", "7", "50-90", " ", " ", "employees", "EMPLOYEE", "team of", "ſtaff of", "STAFF  of", "people", "memberſ", "\n", "-", "x", "$5 million"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 8))) for _ in range(2000)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "t", B.employees_hit(F.col("t")).alias("new"), first_hit(F.col("t"), K.EMPLOYEE_PATTERNS, B._employees).alias("old"))
+    rows = df.collect()
+    assert [r for r in rows if r.new != r.old] == [] and sum(r.new is not None for r in rows) > 200
+
+
+def test_maps_of_odd_references_are_found(spark):
+    """A host may be split by a line break, come from the page's own URL, or be written in capitals."""
+    hrefs = ["https://MAPS.google.com/x", "https://goo\n.gl/maps/1", "//www.goo\tgle.com/maps", "/maps/here", "../maps", "a/./../maps?q", "https://goo.gl/x/../maps", "#m", "?q=goo.gl/maps", ""]
+    html = "".join(f'<a href="{h}">x</a><iframe src="{h}"></iframe>' for h in hrefs)
+    pages = spark.createDataFrame([(1, "https://www.google.com/a/b", html), (2, "https://other.com/a/b", html)], "page_id bigint, url string, html string")
+    sig = materialise(page_signals(pages), "signals")
+    parts = M.direct(sig).unionByName(M.iframes(sig)).unionByName(M.scripts(sig)).unionByName(M.structured(sig))
+    found = sorted(map(tuple, M.all_maps(sig).collect()))
+    assert found == sorted(map(tuple, parts.collect())) and len(found) > 10
