@@ -25,14 +25,14 @@ from siteweave.operators import products as PR
 from siteweave.operators.facts import first_values
 from siteweave.operators.signals import page_signals
 from siteweave.plans import summary as S
-from siteweave.session import materialise
+from siteweave.session import PAGE_ROWS, materialise
 
 COUNTS = ["internal_links", "external_links", "social_links", "maps_links", "contact_links"]
 
 
 def day_states(pages: DataFrame, seeds: DataFrame | None = None) -> dict[str, DataFrame]:
     """The states of some accepted pages by name."""
-    signals = materialise(page_signals(pages), "signals")
+    signals = materialise(page_signals(pages), "signals", PAGE_ROWS)
     links = materialise(L.page_links(signals), "links")
     found = materialise(M.all_maps(signals), "map_links")
     candidates = MD.about_candidates(signals)

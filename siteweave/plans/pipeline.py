@@ -15,7 +15,7 @@ from siteweave.operators import marketing as MK
 from siteweave.operators import pages as P
 from siteweave.operators.signals import page_signals
 from siteweave.plans import compiler, documents, summary
-from siteweave.session import Kept, Stages, materialise
+from siteweave.session import PAGE_ROWS, Kept, Stages, materialise
 from siteweave.sources import sinks
 from siteweave.sources.documents import write_pieces
 
@@ -44,7 +44,7 @@ def crawl(pages: DataFrame, seeds: DataFrame | None = None, as_of_year: int = 20
     """
     keep = (stages or Kept()).keep
     good = P.accepted(pages)
-    signals = keep("signals", lambda: page_signals(good))
+    signals = keep("signals", lambda: page_signals(good), PAGE_ROWS)
     links = keep("links", lambda: L.placed_links(D.parse(good)))
 
     def walk() -> DataFrame:
