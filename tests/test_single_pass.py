@@ -141,8 +141,8 @@ def test_stored_pages_are_read_in_parts_of_bounded_rows(spark):
     stored = {}
 
     class Noted(Kept):
-        def keep(self, name, build, *rows):
-            stored[name] = super().keep(name, build, *rows)
+        def keep(self, name, build):
+            stored[name] = super().keep(name, build)
             return stored[name]
 
     pages = spark.range(2500).coalesce(1).select(
