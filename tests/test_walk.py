@@ -6,6 +6,8 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from checks import load
+from checks.corpus import BASE_ID
 from siteweave.operators import graph as G
 from siteweave.operators import walk as W
 
@@ -107,3 +109,13 @@ def test_no_links_and_no_sites(spark):
     links = spark.createDataFrame([("s", "a", "b", 0)], "site_id string, source string, url string, link_seq int")
     rows = G.reach(spark.createDataFrame([("s", "a")], "site_id string, url string"), links).collect()
     assert sorted((r.url, r.depth, r.position, r.processed) for r in rows) == [("a", 0, None, True), ("b", 1, None, True)]
+
+
+def test_page_records_hold_the_depth_of_every_page(spark, tmp_path):
+    """Pages of a chain link to the next one; those behind the 45th have their depth too."""
+    keys = [1 + 291 * i for i in range(60)]
+    customers = [(k, f"Customer {k}", 1, 1.0, "BUILDING") for k in keys]
+    spark.createDataFrame(customers, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = load()["snk2_page_records"][0](spark, str(tmp_path)).collect()
+    assert {r.page_id: r.depth for r in rows} == {BASE_ID + k: i for i, k in enumerate(keys)}
