@@ -16,6 +16,7 @@ from siteweave.operators import links as L
 from siteweave.operators import maps as M
 from siteweave.operators.facts import first_hit
 from siteweave.operators.signals import page_signals
+from siteweave.plans import documents as DOC
 from siteweave.plans import summary as S
 from siteweave.session import Kept, materialise
 
@@ -178,3 +179,38 @@ def test_text_steps_equal_their_plain_patterns(spark):
     plain = rows.select("page_id", *[C.phones_in(t, k).alias(k) for k in C.PHONE_KINDS]).collect()
     want = {(r.page_id, k, p) for r in plain for k in C.PHONE_KINDS for p in r[k] or []}
     assert {(r.page_id, r.kind, r.phone) for r in C.phone_rows(rows).collect()} == want and len({k for _, k, _ in want}) > 2
+
+
+def test_sitemap_report_reads_stored_signals(spark, tmp_path, monkeypatch):
+    """The given tables are read for the signals and for the trees; map links and videos are made from the signals, once."""
+    customers = [(k, f"Customer {k}", 1, 1.0, "BUILDING") for k in (1, 3, 292)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "https://a.com/0", HTML)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    given, summary = {}, S.site_summary
+    monkeypatch.setattr(S, "site_summary", lambda pages, **named: given.update(named) or summary(pages, **named))
+    rows = {r.site_id: r.content for r in load()["ss6_sitemap_report"][0](spark, str(tmp_path)).collect()}
+    for name in ("signals", "found", "videos"):
+        assert not [f for f in given[name].inputFiles() if str(tmp_path) in f], name
+    assert set(rows) == {"a.com", "shop0.example.com", "shop1.example.com"}
+    assert "\n  1. https://goo.gl/maps/1\n  2. https://maps.google.com/x\n" in rows["a.com"]
+
+
+def test_documents_are_put_together_in_runs(spark):
+    """No task sorts every item of a long document; order and gaps are those of a plain join."""
+    rng = random.Random(4)
+    rows = [(folder, f"{folder}.txt", site, slot, rank, rng.choice([None, "", f"{folder}{site}/{slot}/{rank};"]))
+            for folder, site in (("a", "s"), ("a", None), ("b", "t")) for slot in range(4) for rank in range(1 if slot % 2 == 0 else rng.randint(0, 25))]
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[2] or "", r[3], r[4])):
+        want[r[0]] = want.get(r[0], "") + (r[5] or "")
+    rng.shuffle(rows)
+    pieces = spark.createDataFrame(rows, "folder string, file_name string, site_id string, slot int, rank bigint, text string")
+    for block in (1, 7, DOC.BLOCK):
+        assert {r.folder: r.content for r in DOC.whole(pieces, block).collect()} == want
+
+
+def test_ends_are_those_of_a_plain_search(spark):
+    urls = [u + e for u in ("", "x", "https://a.com/f") for e in ("", ".pdf", ".PDF", ".pdfx", ".jpeg", "jpeg", ".gz", "z", ".mp4\n", ".\u212apg", "\u0130.gif")] + [None]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").withColumn("u", F.lower("u"))
+    got = rows.select("u", T.ends_with_any(F.col("u"), K.EXCLUDED_EXTENSIONS).alias("hit")).collect()
+    assert [r.hit for r in got] == [None if r.u is None else r.u.endswith(tuple(K.EXCLUDED_EXTENSIONS)) for r in got]
